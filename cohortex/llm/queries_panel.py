@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortex.llm.clusters import describe_clusters, similar_groups, usual_levels
 from cohortex.llm.queries import VALID_SQL, panel, query, table
 from cohortex.llm.sampling import Sample, proportional_sample
+from cohortex.llm.sketches import medians, merge_sketches, percentiles, sketch_fields
 from cohortex.llm.splits import leaking_entities, split_records
 from cohortex.llm.topn import top_n_banded
+from cohortex.staging import stage
 
 PERSON_SQL = f"""WITH RECURSIVE {VALID_SQL},
 e AS (SELECT DISTINCT cliente_anterior a, cliente_nuevo b FROM reingresos WHERE cliente_anterior IS NOT NULL AND cliente_nuevo IS NOT NULL),
@@ -103,3 +106,63 @@ def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     """Wanted, available and drawn rows of every target category."""
     return _sample(spark, sf).report
+
+
+AMOUNTS = ["mpayroll", "mrentabilidad"]
+PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+@query(
+    sql=f"""WITH {VALID_SQL}, months AS (SELECT foto_mes, median(mpayroll) AS mpayroll, median(mrentabilidad) AS mrentabilidad FROM v WHERE foto_mes IS NOT NULL GROUP BY 1),
+long AS (SELECT foto_mes, 'mpayroll' AS campo, mpayroll AS m FROM months UNION ALL SELECT foto_mes, 'mrentabilidad', mrentabilidad FROM months),
+p AS (SELECT *, lag(m) OVER (PARTITION BY campo ORDER BY foto_mes) AS prev FROM long)
+SELECT foto_mes, campo FROM p WHERE abs(m - prev) > abs(prev) / 2"""
+)
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    v = stage(panel(spark, sf, "foto_mes", *AMOUNTS).where("foto_mes is not null"), "amounts")
+    months = v.select("foto_mes").distinct().crossJoin(spark.createDataFrame([(f,) for f in AMOUNTS], "campo string"))
+    m = medians(v, "foto_mes", AMOUNTS).select(F.col("grp").cast("int").alias("m"), "field", "median")
+    all_months = months.join(m, (F.col("foto_mes") == F.col("m")) & (F.col("campo") == F.col("field")), "left")
+    before = F.lag("median").over(Window.partitionBy("campo").orderBy("foto_mes"))
+    return all_months.withColumn("before", before).where(F.abs(F.col("median") - F.col("before")) > F.abs("before") / 2).select("foto_mes", "campo")
+
+
+@query
+def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles per month from the sketches, with the bounds of their stated rank error."""
+    s = sketch_fields(panel(spark, sf, "foto_mes", *AMOUNTS), "foto_mes", AMOUNTS)
+    return percentiles(s, PERCENTILES).select(F.col("grp").cast("int").alias("foto_mes"), F.col("field").alias("campo"), "p", "n", "value", "lo", "hi")
+
+
+@query
+def p6_combined(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles per calendar year, from the monthly sketches alone."""
+    s = sketch_fields(panel(spark, sf, "foto_mes", *AMOUNTS), "foto_mes", AMOUNTS)
+    years = merge_sketches(s.withColumn("grp", F.substring("grp", 1, 4)))
+    return percentiles(years, PERCENTILES).select(F.col("grp").cast("int").alias("year"), F.col("field").alias("campo"), "p", "n", "value", "lo", "hi")
+
+
+def _groups(spark: SparkSession, sf: str) -> DataFrame:
+    v = panel(spark, sf, "numero_de_cliente", "mrentabilidad", "cproductos")
+    levels = stage(usual_levels(v, "numero_de_cliente", ["mrentabilidad", "cproductos"]), "levels")
+    return similar_groups(levels, "numero_de_cliente", "mrentabilidad", "cproductos")
+
+
+@query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    g = stage(_groups(spark, sf).select("numero_de_cliente", "cluster"), "groups")
+    side = lambda c: g.select(F.col("numero_de_cliente").alias(c), F.col("cluster").alias(f"{c}_cluster"))
+    pairs = table(spark, sf, "pares_control").join(side("cliente_a"), "cliente_a").join(side("cliente_b"), "cliente_b")
+    return pairs.where("cliente_a_cluster = cliente_b_cluster").select("cliente_a", "cliente_b")
+
+
+@query
+def p3_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cluster's size and its three most typical clients."""
+    return describe_clusters(stage(_groups(spark, sf), "members"), "numero_de_cliente")
+
+
+@query
+def p3_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The cluster of every client."""
+    return _groups(spark, sf)
