@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortex.llm.leaks import leaked_items
 from cohortex.llm.mixing import Mix, mix_sources
 from cohortex.llm.queries import query, table
+from cohortex.llm.truncation import cut_records, source_rates
 
 
 def _leaks(spark: SparkSession, sf: str, **how) -> DataFrame:
@@ -56,3 +57,24 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     """Wanted and reached tokens and shares of each source."""
     return _mix(spark, sf).report
+
+
+def _cuts(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_records(table(spark, sf, "documents"), "doc_id", "text", "source", "n_chars")
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _cuts(spark, sf).where("cut").select("doc_id")
+
+
+@query
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its probability of having lost its end."""
+    return _cuts(spark, sf)
+
+
+@query
+def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source truncates, and its length limit."""
+    return source_rates(_cuts(spark, sf))
