@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,13 +20,19 @@ RUN = 2000
 _RUNS = re.compile(r"\S{%d}|\s{%d}" % (RUN, RUN))
 
 
-@lru_cache(maxsize=4)
 def encoding(path: str):
+    """The tokenizer of a vocabulary file, loaded once a Python worker (functions are shipped anew with every task)."""
+    import sys
+    import types
+
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    kept = sys.modules.setdefault("_cohortex_worker_cache", types.ModuleType("_cohortex_worker_cache")).__dict__
+    if path not in kept:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        kept[path] = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return kept[path]
 
 
 def count_tokens(text: str, path: str = VOCABULARY) -> int:

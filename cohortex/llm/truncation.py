@@ -25,7 +25,7 @@ from cohortex.operators.ranking import uniform
 from cohortex.staging import stage
 
 WORD_BUCKETS = 1 << 18
-SLOTS = 1 << 14
+SLOTS = 1 << 18
 #: Slots kept for the limit features; hashed features never use them.
 AT_LIMIT, BELOW_LIMIT = SLOTS, SLOTS + 1
 DIM = SLOTS + 2
@@ -33,6 +33,9 @@ DIM = SLOTS + 2
 #: Lengths on each side of a spike that say how many rows are usual there.
 SIDE = 15
 
+#: Occurrences per million words below which a word is rare, or middling; the same at every corpus size.
+RARE = (4.0, 17.0)
+
 _SPAN = re.compile(r"(\w+)((?:''+|\]\])*[.!?…;:]*)")
 _LAST = re.compile(r"(\w+)\W*$")
 #: What a broken transfer or an abridging program leaves behind the cut.
@@ -41,7 +44,7 @@ _RESIDUE = re.compile(r"(?P<dots>\.{3}|…)$|(?P<mark>\s*[\[(]\s*(?:…|\.{3})?\
 
 @dataclass(frozen=True)
 class Options:
-    """train_rows: the documented bound of the labelled sample; cuts: positives made of each text; threshold: score from which a record counts as cut; prior: log odds added to the balanced model away from a length limit, since cuts are rarer there than in its sample; suspect: log odds from which an original is no longer used as intact."""
+    """train_rows: the documented bound of the labelled sample; cuts: positives made of each text; threshold: score from which a record counts as cut; prior: log odds added to the balanced model, since cuts are rarer than in its sample; suspect: log odds from which an original is no longer used as intact."""
 
     train_rows: int = 20_000
     cuts: int = 2
@@ -51,7 +54,7 @@ class Options:
     spike_rows: int = 8
     spike_share: float = 0.02
     rounds: int = 250
-    l2: float = 1e-4
+    l2: float = 1e-8
     seed: int = 3
 
 
@@ -60,7 +63,7 @@ def bucket(word: str, n: int) -> int:
 
 
 def word_statistics(docs: DataFrame, text: str) -> np.ndarray:
-    """Over all documents, per hash bucket of words: how often it occurs, and how often with sentence punctuation behind it.
+    """Over all documents, per hash bucket of words: how often it occurs, how often with sentence punctuation behind it, and (first bucket) all words.
 
     The result has WORD_BUCKETS rows whatever the size of the corpus; tasks
     send sums per bucket.
@@ -81,8 +84,8 @@ def word_statistics(docs: DataFrame, text: str) -> np.ndarray:
         yield pd.DataFrame({"b": at, "n": total[0, at], "e": total[1, at]})
 
     rows = docs.select(F.col(text).alias("t")).where("t <> ''").mapInPandas(count, "b long, n long, e long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).toPandas()
-    out = np.zeros((2, WORD_BUCKETS), np.int64)
-    out[0, rows["b"]], out[1, rows["b"]] = rows["n"], rows["e"]
+    out = np.zeros((3, WORD_BUCKETS), np.int64)
+    out[0, rows["b"]], out[1, rows["b"]], out[2, 0] = rows["n"], rows["e"], rows["n"].sum()
     return out
 
 
@@ -139,8 +142,9 @@ def features(t: str, relation: str, stats: np.ndarray) -> list[int]:
     w = _LAST.search(tail)
     word = w.group(1).lower() if w else ""
     at_end = bool(w) and core.endswith(w.group(1))
-    n, e = (int(x) for x in stats[:, bucket(word, WORD_BUCKETS)]) if word else (0, 0)
-    common = 0 if n <= 2 else 1 if n <= 6 else 2 if n <= 30 else 3
+    n, e = (int(x) for x in stats[:2, bucket(word, WORD_BUCKETS)]) if word else (0, 0)
+    rate = n / max(1, int(stats[2, 0])) * 1e6
+    common = 0 if n <= 2 or rate < RARE[0] else 1 if rate < RARE[1] else 2
     ends = 0 if e == 0 else 1 if e < 0.05 * n else 2 if e < 0.2 * n else 3 if e < 0.5 * n else 4
     state = (f"number{min(len(word), 5)}" if word.isdigit() else f"{common}{ends}") if at_end else "-"
     shape = "".join(_char_kind(c)[0] for c in core[-3:])
@@ -154,7 +158,7 @@ def features(t: str, relation: str, stats: np.ndarray) -> list[int]:
     lonely = len(core) < 120 and not re.search(r"[.\]}|=]", core)
     upper = line[:1].isupper() or not line[:1].isalpha()
     got = [
-        "bias", f"closed:{kind in CLOSED}:{open_comment}:{open_line}", f"kind:{kind}", f"last:{kind}:{_char_kind(last)}", f"shape:{shape}", f"residue:{residue}", f"residue:{residue}:{kind}:{state}", f"state:{kind}:{state}", f"word:{word if at_end and common == 3 else common}:{residue}",
+        "bias", f"closed:{kind in CLOSED}:{open_comment}:{open_line}", f"kind:{kind}", f"last:{kind}:{_char_kind(last)}", f"shape:{shape}", f"residue:{residue}", f"residue:{residue}:{kind}:{state}", f"state:{kind}:{state}", f"word:{(word if common == 2 else common) if at_end else '-'}:{residue}",
         f"said:{said}", f"open-line:{open_line}", f"open-ref:{open_ref}", f"open-template:{open_template}:{kind}", f"open-table:{open_table}:{kind}", f"open-comment:{open_comment}", f"quotes:{quotes}",
         f"relation:{relation}", f"lonely:{lonely}:{upper}", f"prose-state:{said}:{lonely}:{state}",
     ]
@@ -219,17 +223,22 @@ def _unfinished(t: str, at: int) -> bool:
 
 def train(f: np.ndarray, extra: np.ndarray, y: np.ndarray, opt: Options) -> np.ndarray:
     """Weights of a logistic regression by gradient steps with per-weight rates; f: slots (n, k), extra: one slot of the limit features a row, or -1."""
-    w, g2 = np.zeros(DIM), np.full(DIM, 1e-8)
+    used, at = np.unique(np.concatenate((f.ravel(), extra[extra >= 0])), return_inverse=True)  # weights of other slots stay 0
     n, k = f.shape
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * 1.0
-    has = extra >= 0
+    slot, has = at[: n * k].reshape(n, k), extra >= 0
+    limit = np.zeros(n, np.int64)
+    limit[has] = at[n * k :]
+    w, g2 = np.zeros(len(used)), np.full(len(used), 1e-8)
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(opt.rounds):
-        z = w[f].sum(1) + np.where(has, w[extra], 0.0)
+        z = w[slot].sum(1) + np.where(has, w[limit], 0.0)
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        g = np.bincount(f.ravel(), weights=np.repeat(err, k), minlength=DIM) + np.bincount(extra[has], weights=err[has], minlength=DIM) + opt.l2 * w / SLOTS
+        g = np.bincount(slot.ravel(), weights=np.repeat(err, k), minlength=len(used)) + np.bincount(limit[has], weights=err[has], minlength=len(used)) + opt.l2 * w
         g2 += g * g
         w -= 0.5 * g / np.sqrt(g2)
-    return w
+    out = np.zeros(DIM)
+    out[used] = w
+    return out
 
 
 def _score(df: DataFrame, w: np.ndarray) -> DataFrame:
@@ -304,7 +313,7 @@ def cut_records(docs: DataFrame, doc: str, text: str, source: str, stated: str |
     length = F.when(F.col("measure") == "size", F.col("size")).otherwise(F.col("chars"))
     slack = F.when(F.col("measure") == "size", F.lit(3)).otherwise(F.lit(0))
     at = length.between(F.col("at") - slack, F.col("at"))
-    step = F.when(at, F.col("odds") + float(w2[AT_LIMIT])).otherwise(F.lit(opt.prior + float(w2[BELOW_LIMIT] if limits else 0.0)))
+    step = F.when(at, F.col("odds") + opt.prior + float(w2[AT_LIMIT])).otherwise(F.lit(opt.prior + float(w2[BELOW_LIMIT] if limits else 0.0)))
     z = F.col("z") + step
     score = 1 / (1 + F.exp(-z))
     return j.select(F.col("of").alias("doc_id"), "source", score.alias("score"), (score >= opt.threshold).alias("cut"), F.col("at").alias("limit"))
