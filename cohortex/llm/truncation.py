@@ -33,10 +33,11 @@ DIM = SLOTS + 2
 #: Lengths on each side of a spike that say how many rows are usual there.
 SIDE = 15
 
-#: Occurrences per million words below which a word is rare, or middling; the same at every corpus size.
-RARE = (4.0, 17.0)
+#: Occurrences per million words below which a word is rare; the same at every corpus size.
+RARE = 17.0
 
 _SPAN = re.compile(r"(\w+)((?:''+|\]\])*[.!?…;:]*)")
+_BUILT = re.compile(r"[.\]}|=]")
 _LAST = re.compile(r"(\w+)\W*$")
 #: What a broken transfer or an abridging program leaves behind the cut.
 _RESIDUE = re.compile(r"(?P<dots>\.{3}|…)$|(?P<mark>\s*[\[(]\s*(?:…|\.{3})?\s*[\])]?)$|(?P<entity>\s*&#?\w{0,8})$")
@@ -113,6 +114,13 @@ def _line_kind(line: str) -> str:
     return "prose"
 
 
+def ending(t: str) -> str:
+    """How a text ends: a closed line's kind, ``ended`` for prose with a full stop, else ``open``."""
+    core = t.rstrip()
+    kind = _line_kind(core[core.rfind("\n") + 1 :].strip())
+    return kind if kind in CLOSED else "ended" if kind == "prose" and re.search(r"[.!?]\W*$", core[-20:]) else "open"
+
+
 CLOSED = frozenset({"heading", "table-end", "comment", "link-line", "template", "tag"})
 
 
@@ -144,7 +152,7 @@ def features(t: str, relation: str, stats: np.ndarray) -> list[int]:
     at_end = bool(w) and core.endswith(w.group(1))
     n, e = (int(x) for x in stats[:2, bucket(word, WORD_BUCKETS)]) if word else (0, 0)
     rate = n / max(1, int(stats[2, 0])) * 1e6
-    common = 0 if n <= 2 or rate < RARE[0] else 1 if rate < RARE[1] else 2
+    common = int(n > 2 and rate >= RARE)
     ends = 0 if e == 0 else 1 if e < 0.05 * n else 2 if e < 0.2 * n else 3 if e < 0.5 * n else 4
     state = (f"number{min(len(word), 5)}" if word.isdigit() else f"{common}{ends}") if at_end else "-"
     shape = "".join(_char_kind(c)[0] for c in core[-3:])
@@ -155,10 +163,10 @@ def features(t: str, relation: str, stats: np.ndarray) -> list[int]:
     open_comment = t.count("<!--") > t.count("-->")
     quotes = line.count("''") % 2
     said = kind == "prose" and bool(re.search(r"[.!?]\W*$", core))
-    lonely = len(core) < 120 and not re.search(r"[.\]}|=]", core)
+    lonely = len(core) < 120 and not _BUILT.search(core)
     upper = line[:1].isupper() or not line[:1].isalpha()
     got = [
-        "bias", f"closed:{kind in CLOSED}:{open_comment}:{open_line}", f"kind:{kind}", f"last:{kind}:{_char_kind(last)}", f"shape:{shape}", f"residue:{residue}", f"residue:{residue}:{kind}:{state}", f"state:{kind}:{state}", f"word:{(word if common == 2 else common) if at_end else '-'}:{residue}",
+        "bias", f"closed:{kind in CLOSED}:{open_comment}:{open_line}", f"kind:{kind}", f"last:{kind}:{_char_kind(last)}", f"shape:{shape}", f"residue:{residue}", f"residue:{residue}:{kind}:{state}", f"state:{kind}:{state}", f"word:{(word if common else 0) if at_end else '-'}:{residue}",
         f"said:{said}", f"open-line:{open_line}", f"open-ref:{open_ref}", f"open-template:{open_template}:{kind}", f"open-table:{open_table}:{kind}", f"open-comment:{open_comment}", f"quotes:{quotes}",
         f"relation:{relation}", f"lonely:{lonely}:{upper}", f"prose-state:{said}:{lonely}:{state}",
     ]
@@ -175,8 +183,9 @@ def _relation(stated: float | None, chars: int, size: int) -> str:
 def extract(docs: DataFrame, doc: str, text: str, source: str, stated: str | None, stats: np.ndarray, share: float, opt: Options) -> DataFrame:
     """Feature rows: one per record (``label`` null), and the cut copies (1) and originals (0) of a hashed ``share`` of them.
 
-    ``of`` groups the rows of one record; ``limit_cut`` marks copies cut at the
-    length of another record, which stand for cuts at a limit.
+    ``of`` groups the rows of one record; ``limit_cut`` marks copies that stand
+    for cuts at a limit.  Rows of label 2 say how a text ends that is cut
+    anywhere, also between sentences or lines, as limits cut.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,13 +194,14 @@ def extract(docs: DataFrame, doc: str, text: str, source: str, stated: str | Non
             for d, s, t, n, u in batch[["d", "s", "t", "n", "u"]].itertuples(index=False):
                 chars, size = len(t), len(t.encode())
                 f = features(t, _relation(n, chars, size), stats)
-                out.append((d, s, chars, size, None, False, f))
+                out.append((d, s, chars, size, None, False, ending(t), f))
                 if u >= share or chars < 40:
                     continue
-                out.append((d, s, chars, size, 0, False, f))
+                out.append((d, s, chars, size, 0, False, "", f))
                 if not _finished(t):
                     continue
                 rng = random.Random(f"{opt.seed}:{d}")
+                out.append((d, s, 0, 0, 2, False, ending(t[: rng.randrange(20, chars - 1)]), f))
                 for k in range(opt.cuts):
                     cut = t[: rng.randrange(20, chars - 1)]
                     if not _unfinished(t, len(cut)):
@@ -201,18 +211,18 @@ def extract(docs: DataFrame, doc: str, text: str, source: str, stated: str | Non
                     rel = "null" if rng.random() < 0.02 else "more" if rng.random() < 0.5 else "equal"
                     r = rng.random()
                     cut += "..." if r < 0.04 else " […]" if r < 0.1 else " (" if r < 0.14 else " &nb" if r < 0.18 else "\n" if r < 0.24 else ""
-                    out.append((d, s, len(cut), len(cut.encode()), 1, k == 1, features(cut, rel, stats)))
-            yield pd.DataFrame(out, columns=["of", "source", "chars", "size", "label", "limit_cut", "f"]).astype({"label": "Int64"})
+                    out.append((d, s, len(cut), len(cut.encode()), 1, k == 1, "", features(cut, rel, stats)))
+            yield pd.DataFrame(out, columns=["of", "source", "chars", "size", "label", "limit_cut", "ending", "f"]).astype({"label": "Int64"})
 
     n = F.col(stated).cast("double") if stated else F.lit(None).cast("double")
     slim = docs.select(F.col(doc).cast("long").alias("d"), F.lower(F.trim(source)).alias("s"), F.col(text).alias("t"), n.alias("n")).where("d is not null and t <> ''")
-    return slim.withColumn("u", uniform("d", seed=opt.seed)).mapInPandas(rows, "of long, source string, chars int, size int, label long, limit_cut boolean, f array<int>")
+    return slim.withColumn("u", uniform("d", seed=opt.seed)).mapInPandas(rows, "of long, source string, chars int, size int, label long, limit_cut boolean, ending string, f array<int>")
 
 
 def _finished(t: str) -> bool:
-    """Ends like a whole text: only such texts are cut for positives."""
+    """Has some sentence or markup and ends like a whole text: only such texts are cut for positives."""
     core = t.rstrip()
-    return core[-1:] in ".!?]}>|=" or core[core.rfind("\n") + 1 :].startswith("*")
+    return bool(_BUILT.search(core)) and core[-1:] in ".!?]}>|=" or core[core.rfind("\n") + 1 :].startswith("*")
 
 
 def _unfinished(t: str, at: int) -> bool:
@@ -245,9 +255,9 @@ def _score(df: DataFrame, w: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             z = w[np.array(batch["f"].tolist(), np.int64).reshape(len(batch), -1)].sum(1)
-            yield batch[["of", "source", "chars", "size"]].assign(z=z)
+            yield batch[["of", "source", "chars", "size", "ending"]].assign(z=z)
 
-    return df.mapInPandas(run, "of long, source string, chars int, size int, z double")
+    return df.mapInPandas(run, "of long, source string, chars int, size int, ending string, z double")
 
 
 def length_limits(scored: DataFrame, opt: Options) -> list[tuple[str, str, int, float]]:
@@ -283,11 +293,17 @@ def cut_records(docs: DataFrame, doc: str, text: str, source: str, stated: str |
     are compared trimmed and in lower case, a null source is one of its own.
     Whole texts are read twice: for the word statistics and for the features;
     everything later reads the staged features.
+
+    A text that ends in a closed line or a full sentence exactly at its
+    source's limit may have been cut there by chance, or be whole.  The share
+    of such endings among texts cut anywhere says how many of the rows at the
+    limit chance explains; that share of them is their score.
     """
     stats = word_statistics(docs, text)
     rows = docs.select(F.col(text).alias("t")).where("t <> ''").count()
     f = stage(extract(docs, doc, text, source, stated, stats, min(1.0, opt.train_rows / max(1, rows)), opt), "features")
-    sample = f.where("label is not null").drop("source").toPandas()
+    sample = f.where("label in (0, 1)").drop("source").toPandas()
+    chance = {r["ending"]: r["count"] for r in f.where("label = 2").groupBy("ending").count().collect()}
     spark = docs.sparkSession
     empty = "doc_id long, source string, score double, cut boolean, limit long"
     real = f.where("label is null")
@@ -312,10 +328,16 @@ def cut_records(docs: DataFrame, doc: str, text: str, source: str, stated: str |
     j = _score(real, w2).join(F.broadcast(lim) if len(limits) <= 50_000 else lim, F.col("source").eqNullSafe(F.col("l_source")), "left")
     length = F.when(F.col("measure") == "size", F.col("size")).otherwise(F.col("chars"))
     slack = F.when(F.col("measure") == "size", F.lit(3)).otherwise(F.lit(0))
-    at = length.between(F.col("at") - slack, F.col("at"))
-    step = F.when(at, F.col("odds") + opt.prior + float(w2[AT_LIMIT])).otherwise(F.lit(opt.prior + float(w2[BELOW_LIMIT] if limits else 0.0)))
-    z = F.col("z") + step
-    score = 1 / (1 + F.exp(-z))
+    j = stage(j.withColumn("at_limit", F.coalesce(length.between(F.col("at") - slack, F.col("at")), F.lit(False))), "scored")
+    step = F.when(F.col("at_limit"), F.col("odds") + opt.prior + float(w2[AT_LIMIT])).otherwise(F.lit(opt.prior + float(w2[BELOW_LIMIT] if limits else 0.0)))
+    seen = j.where("at_limit").groupBy(F.col("source").alias("m_source"), F.col("ending").alias("m_ending")).agg(F.count(F.lit(1)).alias("seen"))
+    rows_at = j.where("at_limit").groupBy(F.col("source").alias("a_source")).agg(F.count(F.lit(1)).alias("rows_at"))
+    mix = seen.join(rows_at, F.col("m_source").eqNullSafe(F.col("a_source"))).where("m_ending <> 'open'")
+    share = F.coalesce(*[F.when(F.col("m_ending") == e, F.lit((n + 0.5) / (sum(chance.values()) + 5.0))) for e, n in chance.items()], F.lit(0.5 / (sum(chance.values()) + 5.0)))
+    mix = mix.select("m_source", "m_ending", F.least(F.lit(0.99), share * F.col("rows_at") / F.col("seen")).alias("p"))
+    m = F.broadcast(mix) if len(limits) <= 50_000 else mix  # at most one row per limit and kind of ending
+    j = j.join(m, F.col("at_limit") & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("ending") == F.col("m_ending")), "left")
+    score = F.coalesce(F.col("p"), 1 / (1 + F.exp(-(F.col("z") + step))))
     return j.select(F.col("of").alias("doc_id"), "source", score.alias("score"), (score >= opt.threshold).alias("cut"), F.col("at").alias("limit"))
 
 
