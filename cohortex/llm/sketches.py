@@ -271,7 +271,8 @@ def medians(df: DataFrame, group: str, fields: list[str], lay: Layout = Layout()
     Where a bracket misses the middle (its probability is small, not zero) the
     check is run once more over all values of that group.
     """
-    got = stage(exact_medians(df, group, fields, percentiles(sketch_fields(df, group, fields, lay), [0.5], lay)), "medians")
+    brackets = stage(percentiles(sketch_fields(df, group, fields, lay), [0.5], lay), "brackets")
+    got = stage(exact_medians(df, group, fields, brackets), "medians")
     missed = got.where("not ok").select("grp", "field", F.lit(-1.7976931348623157e308).alias("lo"), F.lit(1.7976931348623157e308).alias("hi"))
     out = got.where("ok")
     if not missed.isEmpty():
