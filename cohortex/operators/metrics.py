@@ -1,0 +1,108 @@
+"""Scores against labels: gains, curves, AUC, lifts and contracts of score tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cohortex.operators.ranking import running_by_order, with_ranks
+
+def gain_of(positive: Column | str, hit: int, miss: int) -> Column:
+    """What sending one row brings: ``hit`` for a positive, ``-miss`` for any other."""
+    return F.when(F.col(positive) if isinstance(positive, str) else positive, F.lit(hit)).otherwise(F.lit(-miss)).cast("long")
+
+
+def gain_at_threshold(df: DataFrame, groups: list[str], score: str, positive: str, hit: int, miss: int, threshold: float) -> DataFrame:
+    """Total gain of sending everyone with ``score >= threshold``, per group, and how many that are."""
+    sent = F.col(score) >= threshold
+    return df.groupBy(*groups).agg(F.sum(F.when(sent, gain_of(positive, hit, miss)).otherwise(F.lit(0))).cast("long").alias("gain"), F.sum(sent.cast("long")).alias("sent"))
+
+
+def gain_curve(df: DataFrame, groups: list[str], score: str, positive: str, tie: str, hit: int, miss: int) -> DataFrame:
+    """``groups, k, gain``: gain of sending the k best, best score first, ties by ``tie``; rows without a score must be filtered before."""
+    g = df.withColumn("__g", gain_of(positive, hit, miss))
+    r = running_by_order(g, groups, [F.col(score).desc(), F.col(tie).asc()], ["__g"])
+    return r.select(*groups, F.col("pos").cast("long").alias("k"), F.col("cum___g").cast("long").alias("gain"))
+
+
+def plateau(curve: DataFrame, groups: list[str], window: int = 401) -> DataFrame:
+    """``groups, k, smoothed``: centred means over full windows only; an even window is made odd.
+
+    Means are differences of prefix sums joined at distance ``window``, so the
+    curve is not gathered in one task; the places k are 1, 2, 3, ...
+    """
+    w = window if window % 2 else window + 1
+    c = running_by_order(curve, groups, [F.col("k").asc()], ["gain"]).select(*groups, "k", F.col("cum_gain").alias("upto"))
+    low = c.select(*[F.col(g).alias(f"__{g}") for g in groups], (F.col("k") + w).alias("__k"), F.col("upto").alias("before"))
+    cond = F.col("k") == F.col("__k")
+    for g in groups:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    full = c.where(F.col("k") >= w).join(low, cond, "left")
+    return full.select(*groups, (F.col("k") - w // 2).cast("long").alias("k"), ((F.col("upto") - F.coalesce("before", F.lit(0))) / float(w)).alias("smoothed"))
+
+
+def best_cut(smoothed: DataFrame, groups: list[str]) -> DataFrame:
+    """The first place of the highest smoothed gain per group."""
+    top = smoothed.groupBy(*groups).agg(F.max(F.struct(F.col("smoothed"), (-F.col("k")).alias("k"))).alias("t"))
+    return top.select(*groups, F.col("t.smoothed").alias("smoothed"), (-F.col("t.k")).cast("long").alias("k"))
+
+
+def auc(df: DataFrame, groups: list[str], score: str, positive: str) -> DataFrame:
+    """``groups, auc, positives, negatives`` by rank sums with ties averaged; null where a class is missing."""
+    d = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
+    r = with_ranks(d, groups, score, "__")
+    pos = F.col(positive).cast("boolean")
+    s = r.groupBy(*groups).agg(
+        F.sum(F.when(pos, F.col("__below") + (F.col("__same") + 1) / 2)).alias("ranks"), F.sum(pos.cast("long")).alias("positives"), F.sum((~pos).cast("long")).alias("negatives")
+    )
+    p, n = F.col("positives").cast("double"), F.col("negatives").cast("double")
+    return s.select(*groups, F.try_divide(F.col("ranks") - p * (p + 1) / 2, p * n).alias("auc"), "positives", "negatives")
+
+
+def ranking_quality(df: DataFrame, groups: list[str], score: str, positive: str, tie: str, ks: list[int]) -> DataFrame:
+    """``groups, average_precision`` and ``precision_<k>, lift_<k>, capture_<k>`` of the best-first order."""
+    d = df.withColumn("__p", F.col(positive).cast("long"))
+    r = running_by_order(d, groups, [F.col(score).desc(), F.col(tie).asc()], ["__p"])
+    n, pos = F.count(F.lit(1)), F.sum("__p")
+    out = [F.try_divide(F.sum(F.when(F.col("__p") == 1, F.col("cum___p") / F.col("pos"))), pos.cast("double")).alias("average_precision")]
+    for k in ks:
+        hit = F.sum(F.when(F.col("pos") <= k, F.col("__p")).otherwise(F.lit(0)))
+        out.append((hit / F.least(F.lit(float(k)), n)).alias(f"precision_{k}"))
+        out.append(F.try_divide(hit / F.least(F.lit(float(k)), n), pos / n).alias(f"lift_{k}"))
+        out.append(F.try_divide(hit.cast("double"), pos.cast("double")).alias(f"capture_{k}"))
+    return r.groupBy(*groups).agg(*out)
+
+
+def contract_violations(scores: DataFrame, groups: list[str], entity: str, score: str) -> DataFrame:
+    """``groups`` and how many rows break each rule of a score table: null id, repeated id, null or NaN score, score outside [0, 1]."""
+    per = scores.groupBy(*groups, entity).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col(score).isNull() | F.isnan(score)).cast("long")).alias("missing"),
+        F.sum(F.coalesce((~F.isnan(score)) & ((F.col(score) < 0) | (F.col(score) > 1)), F.lit(False)).cast("long")).alias("outside"),
+    )
+    return per.groupBy(*groups).agg(
+        F.sum(F.when(F.col(entity).isNull(), F.col("n")).otherwise(F.lit(0))).cast("long").alias("null_ids"),
+        F.sum(F.when(F.col(entity).isNotNull(), F.col("n") - 1).otherwise(F.lit(0))).cast("long").alias("repeated_ids"),
+        F.sum("missing").cast("long").alias("missing_scores"), F.sum("outside").cast("long").alias("outside_scores"),
+    )
+
+
+def clean_scores(scores: DataFrame, groups: list[str], entity: str, score: str) -> DataFrame:
+    """One row per group and entity: its highest valid score; ids and scores that break the contract are left out."""
+    ok = scores.where(F.col(entity).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score) & F.col(score).between(0, 1))
+    return ok.groupBy(*groups, entity).agg(F.max(score).alias(score))
+
+
+def top_n(scores: DataFrame, entity: str, score: str, n: int) -> DataFrame:
+    """The ``n`` best by score, ties to the smaller id; an error unless 0 < n <= rows."""
+    rows = scores.count()
+    if not 0 < n <= rows:
+        raise ValueError(f"n must be in 1..{rows}, not {n}")
+    return scores.orderBy(F.col(score).desc(), F.col(entity).asc()).limit(n)
+
+
+def auto_cut(optimal: list[float], target_rows: int, valid_rows: list[int], step: int = 500) -> int:
+    """Median of the folds' best cuts, each scaled to the target's size, rounded to ``step`` (half to even), at least ``step``."""
+    from statistics import median
+
+    scaled = median(o * target_rows / v for o, v in zip(optimal, valid_rows))
+    return max(step, int(round(scaled / step)) * step)

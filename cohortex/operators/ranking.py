@@ -59,3 +59,49 @@ def _join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         one = left[c].eqNullSafe(r[f"__r_{c}"])
         cond = one if cond is None else cond & one
     return left.join(r, cond, "inner").drop(*[f"__r_{c}" for c in on])
+
+
+def running_by_order(df: DataFrame, groups: list[str], order: list[Column], values: list[str] = (), parts: int | None = None) -> DataFrame:
+    """``df`` with ``pos`` (1-based place in its group by ``order``) and ``cum_<v>`` (running sum of each of ``values``).
+
+    For keys that are not uniform: the rows are range-partitioned by group and
+    order and staged with their partition number; partitions are ranked on
+    their own and shifted by the totals of the partitions before them.  No
+    group, nor the whole table where ``groups`` is empty, is sorted in one task.
+    ``order`` should be total, else equal rows come in either order.
+    """
+    spark = df.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g).asc_nulls_first() for g in groups]
+    cut = stage(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()), "ordered")
+    part = cut.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(v).alias(f"__s_{v}") for v in values])
+    before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = _small(part.select(*groups, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"), *[F.coalesce(F.sum(f"__s_{v}").over(before), F.lit(0)).alias(f"__s_{v}") for v in values]))
+    w = Window.partitionBy(*groups, "__part").orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = _join(cut, shift, [*groups, "__part"]).withColumns({"pos": F.row_number().over(w) + F.col("__n")} | {f"cum_{v}": F.sum(v).over(run) + F.col(f"__s_{v}") for v in values})
+    return out.drop("__part", "__n", *[f"__s_{v}" for v in values])
+
+
+def value_ranks(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """``groups, value, below, same, n`` for every distinct non-null value of each group.
+
+    All tie-stable ranks follow: percent_rank = below / (n - 1), cume_dist =
+    (below + same) / n, average rank = below + (same + 1) / 2.  Equal values
+    are counted map-side, so only distinct values are ordered.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("same"))
+    run = running_by_order(per, groups, [F.col(value).asc()], ["same"])
+    n = _small(per.groupBy(*groups).agg(F.sum("same").alias("n")))
+    out = run.select(*groups, value, (F.col("cum_same") - F.col("same")).alias("below"), "same")
+    return _join(out, n, groups) if groups else out.crossJoin(F.broadcast(n))  # n is one row
+
+
+def with_ranks(df: DataFrame, groups: list[str], value: str, prefix: str = "") -> DataFrame:
+    """``df`` with ``<prefix>below, <prefix>same, <prefix>n`` of ``value``; null values get nulls."""
+    r = value_ranks(df, groups, value)
+    r = r.select(*[F.col(c).alias(f"__k_{c}") for c in (*groups, value)], *[F.col(c).alias(f"{prefix}{c}") for c in ("below", "same", "n")])
+    cond = F.col(value) == F.col(f"__k_{value}")
+    for g in groups:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__k_{g}"))
+    return df.join(r, cond, "left").drop(*[f"__k_{c}" for c in (*groups, value)])
