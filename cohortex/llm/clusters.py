@@ -117,12 +117,12 @@ def similar_groups(levels: DataFrame, entity: str, amount: str, count: str, step
     typical members sit where the cluster is densest.
     """
     dims = {
-        "s": F.when(F.col(amount) < 0, -1).otherwise(1),
-        "b": F.floor(F.log10(F.abs(F.col(amount).cast("double")) + 1) / step),
-        "c": F.round(F.col(count).cast("double")),
+        "__s": F.when(F.col(amount) < 0, -1).otherwise(1),
+        "__b": F.floor(F.log10(F.abs(F.col(amount).cast("double")) + 1) / step),
+        "__c": F.round(F.col(count).cast("double")),
     }
     nodes = stage(cells(levels, dims), "cells")
-    graph = neighbour_graph(nodes, {"b": reach, "c": count_reach}, ["s"])
+    graph = neighbour_graph(nodes, {"__b": reach, "__c": count_reach}, ["__s"])
     found = stage(markov_clusters(nodes.select(F.col("cell").alias("node"), "n"), graph), "clusters")
     total = Window.partitionBy("cluster")
     scored = found.join(nodes.select(F.col("cell").alias("node"), "n"), "node").select("node", "cluster", (F.col("flow") * F.col("n") / F.sum("n").over(total)).alias("typicality"))

@@ -180,7 +180,21 @@ def _relation(stated: float | None, chars: int, size: int) -> str:
     return "equal" if s == chars else "bytes" if s == size else "more" if s > chars else "less"
 
 
-def extract(docs: DataFrame, doc: str, text: str, source: str, stated: str | None, stats: np.ndarray, share: float, opt: Options) -> DataFrame:
+def length_spikes(docs: DataFrame, text: str, source: str, opt: Options) -> frozenset:
+    """Lengths (source, ``chars`` or ``size``, length) at which a source has suspiciously many rows: they train nothing.
+
+    At most 1 / spike_share per source and measure, so few rows reach the driver.
+    """
+    t, s = F.col(text), F.lower(F.trim(source))
+    both = F.array(F.struct(F.lit("chars").alias("measure"), F.length(t).alias("at")), F.struct(F.lit("size").alias("measure"), F.octet_length(t).alias("at")))
+    per = docs.where(F.col(text) != "").select(s.alias("s"), F.explode(both).alias("l")).groupBy("s", "l.measure", "l.at").agg(F.count(F.lit(1)).alias("n"))
+    per = stage(per, "spikes")
+    n = per.where("measure = 'chars'").groupBy(F.col("s").alias("of")).agg(F.sum("n").alias("all_n"))
+    hit = per.where(F.col("n") >= opt.spike_rows).join(n, F.col("s").eqNullSafe(F.col("of"))).where(F.col("n") >= opt.spike_share * F.col("all_n"))
+    return frozenset((r["s"], r["measure"], r["at"]) for r in hit.select("s", "measure", "at").collect())
+
+
+def extract(docs: DataFrame, doc: str, text: str, source: str, stated: str | None, stats: np.ndarray, share: float, opt: Options, spikes: frozenset = frozenset()) -> DataFrame:
     """Feature rows: one per record (``label`` null), and the cut copies (1) and originals (0) of a hashed ``share`` of them.
 
     ``of`` groups the rows of one record; ``limit_cut`` marks copies that stand
@@ -195,7 +209,7 @@ def extract(docs: DataFrame, doc: str, text: str, source: str, stated: str | Non
                 chars, size = len(t), len(t.encode())
                 f = features(t, _relation(n, chars, size), stats)
                 out.append((d, s, chars, size, None, False, ending(t), f))
-                if u >= share or chars < 40:
+                if u >= share or chars < 40 or (s, "chars", chars) in spikes or (s, "size", size) in spikes:
                     continue
                 out.append((d, s, chars, size, 0, False, "", f))
                 if not _finished(t):
@@ -291,8 +305,9 @@ def cut_records(docs: DataFrame, doc: str, text: str, source: str, stated: str |
     stated: a column with the length somebody once measured; wrong values are
     expected.  Null and empty texts are no cases and do not come out.  Sources
     are compared trimmed and in lower case, a null source is one of its own.
-    Whole texts are read twice: for the word statistics and for the features;
-    everything later reads the staged features.
+    Whole texts are read by Python twice, for the word statistics and for the
+    features (and once by the JVM for their lengths); everything later reads
+    the staged features.
 
     A text that ends in a closed line or a full sentence exactly at its
     source's limit may have been cut there by chance, or be whole.  The share
@@ -301,7 +316,7 @@ def cut_records(docs: DataFrame, doc: str, text: str, source: str, stated: str |
     """
     stats = word_statistics(docs, text)
     rows = docs.select(F.col(text).alias("t")).where("t <> ''").count()
-    f = stage(extract(docs, doc, text, source, stated, stats, min(1.0, opt.train_rows / max(1, rows)), opt), "features")
+    f = stage(extract(docs, doc, text, source, stated, stats, min(1.0, opt.train_rows / max(1, rows)), opt, length_spikes(docs, text, source, opt)), "features")
     sample = f.where("label in (0, 1)").drop("source").toPandas()
     chance = {r["ending"]: r["count"] for r in f.where("label = 2").groupBy("ending").count().collect()}
     spark = docs.sparkSession
