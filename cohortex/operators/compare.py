@@ -26,9 +26,9 @@ def paired_comparison(values: DataFrame, variant: str, reference: str, seed: str
     """
     ref = values.where(F.col(variant) == reference).select(F.col(seed).alias("__s"), F.col(fold).alias("__f"), F.col(value).alias("__ref"))
     d = values.join(ref, (F.col(seed) == F.col("__s")) & (F.col(fold) == F.col("__f"))).withColumn("__d", F.col(value) - F.col("__ref"))
-    per_seed = d.groupBy(variant, seed).agg(F.avg("__d").alias("d"), F.avg(value).alias("v"))
-    per_fold = d.groupBy(variant, fold).agg(F.avg("__d").alias("d")).groupBy(variant).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    a = per_seed.groupBy(variant).agg(F.avg("v").alias("mean"), F.avg("d").alias("delta"), (F.coalesce(F.stddev_samp("d"), F.lit(0.0)) / F.sqrt(F.count("d"))).alias("error"), F.sum((F.col("d") > 0).cast("long")).alias("better_seeds"))
+    per_seed = d.groupBy(variant, seed).agg(F.avg("__d").alias("__ds"), F.avg(value).alias("__vs"))
+    per_fold = d.groupBy(variant, fold).agg(F.avg("__d").alias("__df")).groupBy(variant).agg(F.min("__df").alias("lo"), F.max("__df").alias("hi"))
+    a = per_seed.groupBy(variant).agg(F.avg("__vs").alias("mean"), F.avg("__ds").alias("delta"), (F.coalesce(F.stddev_samp("__ds"), F.lit(0.0)) / F.sqrt(F.count("__ds"))).alias("error"), F.sum((F.col("__ds") > 0).cast("long")).alias("better_seeds"))
     verdict = (
         F.when(F.col(variant) == reference, "referencia").when(F.abs("delta") <= 2 * F.col("error"), "indistinguible").when(F.col("lo") > 0, "mejor").when(F.col("hi") < 0, "peor").otherwise("mixto")
     )

@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 
 from cohortex.functions.periods import month_index, month_key
 
-_EPOCH_DAY = F.lit("1970-01-01")
-
 
 def _index(period: str, calendar: str) -> Column:
     if calendar == "month":
         return month_index(period)
     if calendar == "day":
-        return F.datediff(F.col(period).cast("date"), _EPOCH_DAY.cast("date"))
+        return F.unix_date(F.col(period).cast("date"))
     if calendar == "int":
         return F.col(period).cast("int")
     raise ValueError(f"unknown calendar {calendar!r}: month, day or int")
@@ -32,7 +30,7 @@ def _period(index: str, calendar: str) -> Column:
     if calendar == "month":
         return month_key(index)
     if calendar == "day":
-        return F.date_add(_EPOCH_DAY.cast("date"), F.col(index))
+        return F.date_from_unix_date(F.col(index))
     return F.col(index)
 
 
