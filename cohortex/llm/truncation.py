@@ -45,7 +45,7 @@ _RESIDUE = re.compile(r"(?P<dots>\.{3}|…)$|(?P<mark>\s*[\[(]\s*(?:…|\.{3})?\
 
 @dataclass(frozen=True)
 class Options:
-    """train_rows: the documented bound of the labelled sample; cuts: positives made of each text; threshold: score from which a record counts as cut; prior: log odds added to the balanced model, since cuts are rarer than in its sample; suspect: log odds from which an original is no longer used as intact."""
+    """train_rows: the documented bound of the labelled sample; cuts: positives made of each text; least: features seen less often in the sample keep weight 0; threshold: score from which a record counts as cut; prior: log odds added to the balanced model, since cuts are rarer than in its sample; suspect: log odds from which an original is no longer used as intact."""
 
     train_rows: int = 20_000
     cuts: int = 2
@@ -55,6 +55,7 @@ class Options:
     spike_rows: int = 8
     spike_share: float = 0.02
     rounds: int = 250
+    least: int = 20
     l2: float = 1e-8
     seed: int = 3
 
@@ -253,13 +254,14 @@ def train(f: np.ndarray, extra: np.ndarray, y: np.ndarray, opt: Options) -> np.n
     limit = np.zeros(n, np.int64)
     limit[has] = at[n * k :]
     w, g2 = np.zeros(len(used)), np.full(len(used), 1e-8)
+    often = np.bincount(at, minlength=len(used)) >= opt.least
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(opt.rounds):
         z = w[slot].sum(1) + np.where(has, w[limit], 0.0)
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         g = np.bincount(slot.ravel(), weights=np.repeat(err, k), minlength=len(used)) + np.bincount(limit[has], weights=err[has], minlength=len(used)) + opt.l2 * w
         g2 += g * g
-        w -= 0.5 * g / np.sqrt(g2)
+        w -= often * 0.5 * g / np.sqrt(g2)
     out = np.zeros(DIM)
     out[used] = w
     return out
