@@ -12,6 +12,7 @@ from cohortex.functions.periods import month_index
 from cohortex.operators.panel import dense_panel
 from cohortex.operators.ranks import deflated, percent_ranks, signed_ranks
 from cohortex.operators.series import Catalog, SeriesSpec, add_series, check_no_future
+from cohortex.staging import stage
 
 
 @dataclass(frozen=True)
@@ -123,15 +124,15 @@ def build_features(fact: DataFrame, entity: str, period: str, plan: FeaturePlan)
     looks ahead.
     """
     cat = Catalog()
-    base = add_row_features(fact, plan.rows, cat)
+    base = add_row_features(stage(fact, "fact"), plan.rows, cat)
     if plan.rescaled:
-        base = rescale(base, period, list(plan.rescaled), [entity], plan.method)
+        base = stage(rescale(base, period, list(plan.rescaled), [entity], plan.method), "base")
     series = add_series(dense_panel(base, entity, period, plan.calendar), entity, period, list(plan.series_fields), plan.series, cat)
     check_no_future(series)
     real = series.where("present = 1").drop("present")
     if not plan.rank_fields:
         return real, cat
-    ranks = percent_ranks(fact if not plan.rows else base, period, list(plan.rank_fields), [entity])
+    ranks = percent_ranks(base, period, list(plan.rank_fields), [entity])
     for f in plan.rank_fields:
         cat.add("rankings", f"pr_{f}", f"percent_rank of {f} in the period", f)
         cat.add("rankings", f"dec_{f}", f"decile of {f} in the period", f)

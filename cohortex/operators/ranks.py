@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortex.operators.ranking import _join, _small, value_ranks, with_ranks
+from cohortex.staging import stage
 
 
 def percent_ranks(df: DataFrame, group: str, fields: list[str], key: list[str]) -> DataFrame:
@@ -15,6 +16,7 @@ def percent_ranks(df: DataFrame, group: str, fields: list[str], key: list[str])
     so many fields cost one ordering, and no period is sorted in one task.
     Null stays null and does not move the others; ties share rank and decile.
     """
+    df = stage(df.select(*key, group, *fields), "ranked")  # read twice: to count values and to give them back
     r = _long_ranks(df, group, fields, key)
     pr = F.coalesce(F.try_divide(F.col("below").cast("double"), (F.col("n") - 1).cast("double")), F.lit(0.0))
     long = r.select(*key, group, "field", F.when(F.col("below").isNotNull(), pr).alias("pr"))
@@ -26,6 +28,7 @@ def signed_ranks(df: DataFrame, group: str, fields: list[str], key: list[str]) -
 
     The share of the same sign's values that are no further from zero.
     """
+    df = stage(df.select(*key, group, *fields), "ranked")
     long = _unpivot(df, group, fields, key).withColumn("sign", F.signum("x").cast("int")).withColumn("size", F.abs("x"))
     r = with_ranks(long, [group, "field", "sign"], "size")
     sr = F.when(F.col("sign") == 0, F.lit(0.0)).otherwise(F.col("sign") * (F.col("below") + F.col("same")) / F.col("n"))
