@@ -81,3 +81,50 @@ def adversarial_auc(df: DataFrame, group: str, a, b, fields: list[str], key: lis
     m = fit_classifier(d.where("h = 1"), fields, F.col(group) == b, "boosting")
     test = score(m, d.where("h = 0"), [*key, group])
     return auc(test.withColumn("y", F.col(group) == b), [], "prob", "y").select("auc")
+
+
+def leaf_profiles(model, df: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """``key`` and per field the share of a forest's trees in which the row's leaf hangs below a split on that field.
+
+    The trees are walked once on the driver (their size is a parameter of the
+    model, not of the data); rows look their leaves up in literal arrays.
+    """
+    forest = model.stages[-1]
+    scored = forest.copy().setLeafCol("__leaf").transform(model.stages[0].transform(df)).withColumn("__leaves", vector_to_array("__leaf"))
+    hits = {i: F.lit(0) for i in range(len(fields))}
+    trees = forest.trees
+    for t, tree in enumerate(trees):
+        parents: list[int] = []
+
+        def walk(node, parent, parents=parents) -> None:
+            if node.subtreeDepth() == 0:
+                parents.append(parent)
+                return
+            f = node.split().featureIndex()
+            walk(node.leftChild(), f)
+            walk(node.rightChild(), f)
+
+        walk(tree._java_obj.rootNode(), -1)
+        below = F.element_at(F.array(*[F.lit(p) for p in parents]), F.element_at("__leaves", t + 1).cast("int") + 1)
+        for i in hits:
+            hits[i] = hits[i] + (below == i).cast("int")
+    return scored.select(*key, *[(hits[i] / float(len(trees))).alias(f) for i, f in enumerate(fields)])
+
+
+def silhouette(df: DataFrame, cluster: str, fields: list[str]) -> float:
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    v = VectorAssembler(inputCols=fields, outputCol="v").transform(df.withColumn("prediction", F.col(cluster)))
+    return ClusteringEvaluator(featuresCol="v").evaluate(v)
+
+
+def grid_search(train: DataFrame, valid: DataFrame, fields: list[str], positive: Column, grid: list[dict], kind: str = "forest") -> DataFrame:
+    """``trial, params, auc`` on ``valid`` for every parameter set, in order; the caller picks."""
+    from cohortex.operators.metrics import auc
+
+    out = []
+    for i, params in enumerate(grid):
+        m = fit_classifier(train, fields, positive, kind, **params)
+        s = score(m, valid.withColumn("__y", positive), ["__y"])
+        out.append((i, repr(sorted(params.items())), auc(s, [], "prob", "__y").first()["auc"]))
+    return train.sparkSession.createDataFrame(out, "trial int, params string, auc double")

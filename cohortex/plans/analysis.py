@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortex.operators import cohort, drift, metrics, ml, quality, ranks, stats
 from cohortex.plans.base import M_SQL, V_SQL, monthly, same_sql, scores, valid
 from cohortex.plans.catalog import query, table
+from cohortex.staging import stage
 
 FIELDS = ["saldo", "rent", "payroll", "trx", "prod"]
 LEFT = "coalesce(clase LIKE 'BAJA%', false)"
@@ -202,7 +203,7 @@ def m41_segment_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 # models: MLlib's fits have no SQL
 def _train(spark: SparkSession, sf: str) -> DataFrame:
-    return ml.impute(_labelled(spark, sf, *FIELDS).where("clase is not null"), FIELDS)
+    return stage(ml.impute(stage(_labelled(spark, sf, *FIELDS).where("clase is not null"), "labelled"), FIELDS), "train")  # every fit reads it several times
 
 
 @query
@@ -245,3 +246,40 @@ def m39_adversarial(spark: SparkSession, sf: str) -> DataFrame:
 
 
 same_sql("embedding_labels", "SELECT label, count(*) AS n FROM embeddings GROUP BY label", needs="embeddings")
+
+
+@query
+def m32_leaf_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of clients by what the forest's leaves ask about, with the mean profile of each."""
+    d = _train(spark, sf)
+    m = ml.fit_classifier(d.where("t < 202105"), FIELDS, F.col("baja"), "forest", trees=8, depth=4)
+    per = ml.leaf_profiles(m, d, ["c", "t"], FIELDS).groupBy("c").agg(*[F.avg(f).alias(f) for f in FIELDS])
+    k = ml.kmeans_profiles(per, ["c"], FIELDS, 3)
+    return k.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in FIELDS])
+
+
+@query
+def m38_grid(spark: SparkSession, sf: str) -> DataFrame:
+    d = _train(spark, sf)
+    return ml.grid_search(d.where("t < 202105"), d.where("t = 202106"), FIELDS, F.col("baja"), [{"trees": 5, "depth": 3}, {"trees": 5, "depth": 6}])
+
+
+@query
+def f11_canaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Random columns that are the same on every run."""
+    from cohortex.operators.planning import canaries
+
+    return canaries(monthly(spark, sf, "prod").select("c", "t", "prod"), ["c", "t"], 3, 104729)
+
+
+@query(sql=f"WITH {M_SQL} SELECT prod, count(*) AS n, median(rent) AS centre, quantile_cont(rent, 0.25) AS low, quantile_cont(rent, 0.75) AS high FROM m WHERE rent IS NOT NULL GROUP BY prod")
+def m23_iqr_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return cohort.trends(monthly(spark, sf, "rent", "prod"), ["prod"], "rent", "iqr")
+
+
+@query
+def t13_plot_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A thousand client-months in hash order: a sampling operator."""
+    from cohortex.operators.sampling import sample_n
+
+    return sample_n(monthly(spark, sf, "saldo", "rent").select("c", "t", "saldo", "rent"), ["c", "t"], 1000, 7)

