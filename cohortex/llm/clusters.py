@@ -79,11 +79,15 @@ def markov_clusters(
 
 
 def _normal(flow: DataFrame, prune: float) -> DataFrame:
-    """Columns scaled to sum 1, entries below ``prune`` dropped (never a column's largest), scaled again."""
-    col = Window.partitionBy("j")
-    shared = flow.select("*", (F.col("m") / F.sum("m").over(col)).alias("p"), F.max("m").over(col).alias("top"))
-    kept = shared.where((F.col("p") >= prune) | (F.col("m") == F.col("top")))
-    return kept.select("j", "i", (F.col("p") / F.sum("p").over(col)).alias("m"), "n")
+    """Columns scaled to sum 1, entries below ``prune`` dropped (never a column's largest), scaled again.
+
+    Column sums are map-side combined and joined back, one row a column, so a
+    column as long as a third of the matrix is never gathered in one task.
+    """
+    sums = flow.groupBy("j").agg(F.sum("m").alias("total"), F.max("m").alias("top"))
+    kept = flow.join(sums, "j").where((F.col("m") >= prune * F.col("total")) | (F.col("m") == F.col("top"))).select("j", "i", "m", "n")
+    left = kept.groupBy("j").agg(F.sum("m").alias("total"))
+    return kept.join(left, "j").select("j", "i", (F.col("m") / F.col("total")).alias("m"), "n")
 
 
 def _follow(top: DataFrame) -> DataFrame:
