@@ -103,8 +103,8 @@ def w2_series(spark: SparkSession, sf: str) -> DataFrame:
 SELECT c, t, CASE WHEN n > 1 AND lo < hi THEN round(sign(b) * ln(abs(b) + 1), 6) END AS pendiente FROM z WHERE present = 1 AND c <> 40000001"""
 )
 def w8_trend(spark: SparkSession, sf: str) -> DataFrame:
-    """Slope of the balance against the client's age over the window (signed log scale).  The shared number has no one age and is no client here."""
-    p = dense_panel(monthly(spark, sf, "saldo", "antig").drop("clase", "n").where("c <> 40000001"), "c", "t")
+    """Slope of the balance against the client's age over the window (signed log scale), for every client of the panel; a client number shared by many has its largest age of the month."""
+    p = dense_panel(monthly(spark, sf, "saldo", "antig").drop("clase", "n"), "c", "t")
     s = add_series(p, "c", "t", ["saldo"], SeriesSpec(trend_against="antig", lags=(), deltas=(), delta_pcts=(), stats=(), ratio=False)).where("present = 1")
     return s.select("c", "t", F.round(F.signum("trend_3_saldo") * F.log1p(F.abs("trend_3_saldo")), 6).alias("pendiente"))
 
