@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortex.operators.ranking import uniform
@@ -45,7 +45,7 @@ _RESIDUE = re.compile(r"(?P<dots>\.{3}|…)$|(?P<mark>\s*[\[(]\s*(?:…|\.{3})?\
 
 @dataclass(frozen=True)
 class Options:
-    """train_rows: the documented bound of the labelled sample; cuts: positives made of each text; least: features seen less often in the sample keep weight 0; threshold: score from which a record counts as cut; prior: log odds added to the balanced model, since cuts are rarer than in its sample; suspect: log odds from which an original is no longer used as intact."""
+    """train_rows: the documented bound of the labelled sample; cuts: positives made of each text; least: features seen less often in the sample keep weight 0; threshold: score from which a record counts as cut; prior: log odds added to the balanced model, since cuts are rarer than in its sample; suspect: log odds from which an original is no longer used as intact; spike_rows, spike_sigmas: a length is a spike if it has at least so many rows, and so many deviations, more than are usual around it."""
 
     train_rows: int = 20_000
     cuts: int = 2
@@ -53,7 +53,7 @@ class Options:
     prior: float = -1.7
     suspect: float = 1.0
     spike_rows: int = 8
-    spike_share: float = 0.02
+    spike_sigmas: float = 6.0
     rounds: int = 250
     least: int = 20
     l2: float = 1e-8
@@ -181,18 +181,25 @@ def _relation(stated: float | None, chars: int, size: int) -> str:
     return "equal" if s == chars else "bytes" if s == size else "more" if s > chars else "less"
 
 
-def length_spikes(docs: DataFrame, text: str, source: str, opt: Options) -> frozenset:
-    """Lengths (source, ``chars`` or ``size``, length) at which a source has suspiciously many rows: they train nothing.
+def _excess(per: DataFrame, opt: Options) -> DataFrame:
+    """Spikes of ``source, measure, at, n, open`` (one row a length): the lengths with far more rows than the mean of the SIDE lengths on either side, with that mean (``usual``, ``usual_open``).
 
-    At most 1 / spike_share per source and measure, so few rows reach the driver.
+    Poisson counts deviate by the root of their mean, so a limit shows by its
+    excess however small its share of the source.  One row a length is left
+    of the texts here, so the windows are short.
     """
+    near = Window.partitionBy("source", "measure").orderBy("at").rangeBetween(-SIDE, SIDE)
+    usual = [((F.sum(c).over(near) - F.col(c)) / (2.0 * SIDE)).alias(f"usual_{c}" if c != "n" else "usual") for c in ("n", "open")]
+    return per.select("*", *usual).where(F.col("n") - F.col("usual") >= F.greatest(F.lit(float(opt.spike_rows)), opt.spike_sigmas * F.sqrt("usual")))
+
+
+def length_spikes(docs: DataFrame, text: str, source: str, opt: Options) -> frozenset:
+    """Lengths (source, ``chars`` or ``size``, length) at which a source has suspiciously many rows: they train nothing."""
     t, s = F.col(text), F.lower(F.trim(source))
     both = F.array(F.struct(F.lit("chars").alias("measure"), F.length(t).alias("at")), F.struct(F.lit("size").alias("measure"), F.octet_length(t).alias("at")))
-    per = docs.where(F.col(text) != "").select(s.alias("s"), F.explode(both).alias("l")).groupBy("s", "l.measure", "l.at").agg(F.count(F.lit(1)).alias("n"))
-    per = stage(per, "spikes")
-    n = per.where("measure = 'chars'").groupBy(F.col("s").alias("of")).agg(F.sum("n").alias("all_n"))
-    hit = per.where(F.col("n") >= opt.spike_rows).join(n, F.col("s").eqNullSafe(F.col("of"))).where(F.col("n") >= opt.spike_share * F.col("all_n"))
-    return frozenset((r["s"], r["measure"], r["at"]) for r in hit.select("s", "measure", "at").collect())
+    per = docs.where(F.col(text) != "").select(s.alias("source"), F.explode(both).alias("l")).groupBy("source", "l.measure", "l.at").agg(F.count(F.lit(1)).alias("n"))
+    hit = _excess(per.withColumn("open", F.lit(0)), opt)
+    return frozenset((r["source"], r["measure"], r["at"]) for r in hit.select("source", "measure", "at").collect())
 
 
 def extract(docs: DataFrame, doc: str, text: str, source: str, stated: str | None, stats: np.ndarray, share: float, opt: Options, spikes: frozenset = frozenset()) -> DataFrame:
@@ -279,21 +286,15 @@ def _score(df: DataFrame, w: np.ndarray) -> DataFrame:
 def length_limits(scored: DataFrame, opt: Options) -> list[tuple[str, str, int, float]]:
     """Length limits seen in the data: (source, ``chars`` or ``size``, limit, log odds of being cut there).
 
-    A limit is a length at which a source has at least ``spike_rows`` rows and
-    ``spike_share`` of its rows, most of them with endings that look cut.  The
-    odds compare the rows at the limit with the mean of the SIDE lengths on
-    either side (one row at least).  At most 1 / spike_share lengths of a
-    source and measure can qualify, so few rows a source reach the driver.
+    A limit is a length with far more rows than the lengths around it
+    (``_excess``), where most of the rows too many have endings that look cut.
+    The odds compare the rows there with the usual number (one row at least).
+    Only such lengths reach the driver.
     """
-    n = scored.groupBy(F.col("source").alias("all_of")).agg(F.count(F.lit(1)).alias("all_n"))
-    found = []
-    for measure in ("chars", "size"):
-        per = stage(scored.groupBy("source", F.col(measure).alias("at")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("z") > 0).cast("double")).alias("cut")), "lengths")
-        hit = per.join(n, F.col("source").eqNullSafe(F.col("all_of"))).where((F.col("n") >= opt.spike_rows) & (F.col("n") >= opt.spike_share * F.col("all_n")) & (F.col("cut") >= 0.5))
-        peak = hit.select(F.col("source").alias("p_source"), F.col("at").alias("peak"), F.col("n").alias("p_n"))
-        near = peak.join(per, F.col("p_source").eqNullSafe(F.col("source")) & (F.col("at") != F.col("peak")) & F.col("at").between(F.col("peak") - SIDE, F.col("peak") + SIDE), "left")
-        got = near.groupBy("p_source", "peak", "p_n").agg((F.coalesce(F.sum("n"), F.lit(0)) / (2.0 * SIDE)).alias("usual")).collect()
-        found += [(r["p_source"], measure, r["peak"], r["p_n"], float(np.log(max(1.0, r["p_n"] / max(1.0, r["usual"]))))) for r in got]
+    both = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("at")) for m in ("chars", "size")])
+    per = scored.select("source", "z", F.explode(both).alias("l")).groupBy("source", "l.measure", "l.at").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("z") > 0).cast("long")).alias("open"))
+    hit = _excess(per, opt).where(F.col("open") - F.col("usual_open") >= 0.5 * (F.col("n") - F.col("usual")))
+    found = [(r["source"], r["measure"], r["at"], r["n"], float(np.log(max(1.0, r["n"] / max(1.0, r["usual"]))))) for r in hit.orderBy("measure", "at").collect()]
     best: dict[str, tuple] = {}
     for s, measure, at, k, odds in found:  # the sharpest spike of a source is its limit
         if s not in best or k > best[s][2]:
