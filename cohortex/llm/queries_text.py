@@ -76,5 +76,5 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """How often each source truncates, and its length limit."""
+    """How often each source truncates, and its length limits."""
     return source_rates(_cuts(spark, sf))

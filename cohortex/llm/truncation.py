@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortex.operators.ranking import uniform
@@ -30,6 +30,9 @@ SLOTS = 1 << 18
 AT_LIMIT, BELOW_LIMIT = SLOTS, SLOTS + 1
 DIM = SLOTS + 2
 
+#: Bytes that a cut at a byte limit may leave out to end between characters.
+SLACK = 3
+
 #: Lengths on each side of a spike that say how many rows are usual there.
 SIDE = 15
 
@@ -283,27 +286,74 @@ def _score(df: DataFrame, w: np.ndarray) -> DataFrame:
     return df.mapInPandas(run, "of long, source string, chars int, size int, ending string, z double")
 
 
-def length_limits(scored: DataFrame, opt: Options) -> list[tuple[str, str, int, float]]:
-    """Length limits seen in the data: (source, ``chars`` or ``size``, limit, log odds of being cut there).
+def _lookup(spark: SparkSession, limits: list[tuple[str, str, int, int, float, float]], measure: str) -> DataFrame:
+    """The lengths of one measure that are at a limit, each once: for bytes also the SLACK below; the nearest limit above counts."""
+    at: dict[tuple, tuple] = {}
+    for no, (s, m, limit, _, odds, usual) in enumerate(limits):
+        slack = SLACK if m == "size" else 0
+        for k in range(slack + 1 if m == measure else 0):
+            if (s, limit - k) not in at or limit < at[s, limit - k][0]:
+                at[s, limit - k] = (limit, no, odds, usual * (slack + 1))
+    names = ["source string", "len int", "at long", "no int", "odds double", "usual double"]
+    t = spark.createDataFrame([(*k, *v) for k, v in at.items()], ", ".join(f"{measure}_{n}" for n in names))
+    return F.broadcast(t) if len(at) <= 50_000 else t
+
+
+def _same_length(measure: str) -> Column:
+    return F.col("source").eqNullSafe(F.col(f"{measure}_source")) & (F.col(measure) == F.col(f"{measure}_len"))
+
+
+def length_limits(scored: DataFrame, opt: Options) -> list[tuple[str, str, int, int, float, float]]:
+    """All length limits seen in the data: (source, ``chars`` or ``size``, limit, rows there, log odds of being cut there, usual rows there).
 
     A limit is a length with far more rows than the lengths around it
     (``_excess``), where most of the rows too many have endings that look cut.
     The odds compare the rows there with the usual number (one row at least).
-    Only such lengths reach the driver.
+    Texts cut at a number of characters also make spikes of bytes, and the
+    other way round: so each round takes the spike with most rows of every
+    source and leaves its rows out of the next, until no spike is left.  Only
+    spikes reach the driver; there is one round for each limit of the source
+    that has most.
     """
+    spark = scored.sparkSession
+    per = stage(scored.groupBy("source", "chars", "size").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("z") > 0).cast("long")).alias("open")), "lengths")
     both = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("at")) for m in ("chars", "size")])
-    per = scored.select("source", "z", F.explode(both).alias("l")).groupBy("source", "l.measure", "l.at").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("z") > 0).cast("long")).alias("open"))
-    hit = _excess(per, opt).where(F.col("open") - F.col("usual_open") >= 0.5 * (F.col("n") - F.col("usual")))
-    found = [(r["source"], r["measure"], r["at"], r["n"], float(np.log(max(1.0, r["n"] / max(1.0, r["usual"]))))) for r in hit.orderBy("measure", "at").collect()]
-    best: dict[str, tuple] = {}
-    for s, measure, at, k, odds in found:  # the sharpest spike of a source is its limit
-        if s not in best or k > best[s][2]:
-            best[s] = (measure, at, k, odds)
-    return [(s, m, at, odds) for s, (m, at, _, odds) in best.items()]
+    limits: list[tuple] = []
+    while True:
+        rest = per
+        for m in sorted({x[1] for x in limits}):
+            rest = rest.join(_lookup(spark, limits, m), _same_length(m), "left_anti")
+        one = rest.select("source", "n", "open", F.explode(both).alias("l")).groupBy("source", "l.measure", "l.at").agg(F.sum("n").alias("n"), F.sum("open").alias("open"))
+        spikes: dict[str | None, dict] = {}
+        for r in _excess(one, opt).where(F.col("open") - F.col("usual_open") >= 0.5 * (F.col("n") - F.col("usual"))).collect():
+            spikes.setdefault(r["source"], {})[r["measure"], r["at"]] = (r["n"], r["usual"])
+        if not spikes:
+            return limits
+        for s, found in spikes.items():
+            measure, at = min(found, key=lambda k: (-found[k][0], k))
+            if measure == "size":  # cuts that end between characters stay below the limit
+                at = max(k for m, k in found if m == "size" and at <= k <= at + SLACK)
+            n, usual = found[measure, at]
+            limits.append((s, measure, at, n, float(np.log(max(1.0, n / max(1.0, usual)))), usual))
+
+
+def _at_limits(scored: DataFrame, limits: list[tuple[str, str, int, int, float, float]]) -> DataFrame:
+    """``scored`` with the limit each row sits at (``no, at, odds, usual``; of two, that with the better odds; null: at none) and ``main``, its source's limit with most rows."""
+    spark = scored.sparkSession
+    main: dict[str | None, tuple] = {}
+    for s, _, at, n, _, _ in limits:
+        if s not in main or n > main[s][0]:
+            main[s] = (n, at)
+    t = spark.createDataFrame([(s, at) for s, (_, at) in main.items()], "l_source string, main long")  # one row a source at most
+    out = scored.join(F.broadcast(t) if len(main) <= 50_000 else t, F.col("source").eqNullSafe(F.col("l_source")), "left")
+    for m in ("chars", "size"):
+        out = out.join(_lookup(spark, limits, m), _same_length(m), "left")
+    chars = F.col("chars_no").isNotNull() & (F.col("size_no").isNull() | (F.col("chars_odds") >= F.col("size_odds")))
+    return out.select(*scored.columns, "main", *[F.when(chars, F.col(f"chars_{c}")).otherwise(F.col(f"size_{c}")).alias(c) for c in ("no", "at", "odds", "usual")])
 
 
 def cut_records(docs: DataFrame, doc: str, text: str, source: str, stated: str | None = None, opt: Options = Options()) -> DataFrame:
-    """``doc_id, source, score, cut, limit``: every record with text, its probability of having lost its end, and the source's limit (null: none seen).
+    """``doc_id, source, score, cut, limit``: every record with text, its probability of having lost its end, and the length limit it sits at, or else the one of its source with most rows (null: none seen).
 
     stated: a column with the length somebody once measured; wrong values are
     expected.  Null and empty texts are no cases and do not come out.  Sources
@@ -342,23 +392,20 @@ def cut_records(docs: DataFrame, doc: str, text: str, source: str, stated: str |
     limits = length_limits(scored, opt)
     extra = np.where((y == 1) & sample["limit_cut"].to_numpy(bool), AT_LIMIT, BELOW_LIMIT)
     w2 = train(slots[use], extra[use], y[use], opt) if limits else w
-    lim = spark.createDataFrame(limits, "l_source string, measure string, at long, odds double")  # one row a source at most
-    j = _score(real, w2).join(F.broadcast(lim) if len(limits) <= 50_000 else lim, F.col("source").eqNullSafe(F.col("l_source")), "left")
-    length = F.when(F.col("measure") == "size", F.col("size")).otherwise(F.col("chars"))
-    slack = F.when(F.col("measure") == "size", F.lit(3)).otherwise(F.lit(0))
-    j = stage(j.withColumn("at_limit", F.coalesce(length.between(F.col("at") - slack, F.col("at")), F.lit(False))), "scored")
+    j = stage(_at_limits(_score(real, w2), limits).withColumn("at_limit", F.col("no").isNotNull()), "scored")
     step = F.when(F.col("at_limit"), F.col("odds") + opt.prior + float(w2[AT_LIMIT])).otherwise(F.lit(opt.prior + float(w2[BELOW_LIMIT] if limits else 0.0)))
-    seen = j.where("at_limit").groupBy(F.col("source").alias("m_source"), F.col("ending").alias("m_ending")).agg(F.count(F.lit(1)).alias("seen"))
-    rows_at = j.where("at_limit").groupBy(F.col("source").alias("a_source")).agg(F.count(F.lit(1)).alias("rows_at"))
-    mix = seen.join(rows_at, F.col("m_source").eqNullSafe(F.col("a_source"))).where("m_ending <> 'open'")
+    seen = j.where("at_limit").groupBy(F.col("no").alias("m_no"), F.col("ending").alias("m_ending")).agg(F.count(F.lit(1)).alias("seen"))
+    rows_at = j.where("at_limit").groupBy(F.col("no").alias("a_no")).agg(F.greatest(F.lit(0.0), F.count(F.lit(1)) - F.max("usual")).alias("rows_at"))
+    mix = seen.join(rows_at, F.col("m_no") == F.col("a_no")).where("m_ending <> 'open'")
     share = F.coalesce(*[F.when(F.col("m_ending") == e, F.lit((n + 0.5) / (sum(chance.values()) + 5.0))) for e, n in chance.items()], F.lit(0.5 / (sum(chance.values()) + 5.0)))
-    mix = mix.select("m_source", "m_ending", F.least(F.lit(0.99), share * F.col("rows_at") / F.col("seen")).alias("p"))
+    mix = mix.select("m_no", "m_ending", F.least(F.lit(0.99), share * F.col("rows_at") / F.col("seen")).alias("p"))
     m = F.broadcast(mix) if len(limits) <= 50_000 else mix  # at most one row per limit and kind of ending
-    j = j.join(m, F.col("at_limit") & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("ending") == F.col("m_ending")), "left")
+    j = j.join(m, (F.col("no") == F.col("m_no")) & (F.col("ending") == F.col("m_ending")), "left")
     score = F.coalesce(F.col("p"), 1 / (1 + F.exp(-(F.col("z") + step))))
-    return j.select(F.col("of").alias("doc_id"), "source", score.alias("score"), (score >= opt.threshold).alias("cut"), F.col("at").alias("limit"))
+    return j.select(F.col("of").alias("doc_id"), "source", score.alias("score"), (score >= opt.threshold).alias("cut"), F.coalesce("at", "main").alias("limit"))
 
 
 def source_rates(records: DataFrame) -> DataFrame:
-    """``source, records, cut, rate, limit`` of the records that ``cut_records`` scored."""
-    return records.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("cut").cast("long")).alias("cut"), F.avg(F.col("cut").cast("double")).alias("rate"), F.max("limit").alias("limit"))
+    """``source, records, cut, rate, limit, limits`` of the records that ``cut_records`` scored; limit: the largest, limits: all of them."""
+    limits = F.sort_array(F.collect_set("limit")).alias("limits")
+    return records.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("cut").cast("long")).alias("cut"), F.avg(F.col("cut").cast("double")).alias("rate"), F.max("limit").alias("limit"), limits)
