@@ -110,7 +110,7 @@ def usual_levels(df: DataFrame, entity: str, fields: list[str]) -> DataFrame:
 
 
 def similar_groups(levels: DataFrame, entity: str, amount: str, count: str, step: float = 0.1, reach: int = 3, count_reach: int = 1) -> DataFrame:
-    """``entity, cluster, typicality``: entities alike in the sign and ratio of ``amount`` and in ``count``.
+    """``entity, cluster, typicality, distance``: entities alike in the sign and ratio of ``amount`` and in ``count``.
 
     levels: one row per entity (staged).  Amounts are alike by sign and ratio:
     the coordinate is log10(1 + |amount|) in steps of ``step`` (a factor of
@@ -118,7 +118,9 @@ def similar_groups(levels: DataFrame, entity: str, amount: str, count: str, step
     ``count_reach`` of the count are linked.  Entities of one cell are copies
     in the similarity graph.  typicality: the share of the cell's flow that
     ends in its attractor, times the cell's share of its cluster, so the most
-    typical members sit where the cluster is densest.
+    typical members sit where the cluster is densest.  distance: how far the
+    entity itself, not its cell, is from the mean of its cluster's members, in
+    reaches; it tells the members of a cell apart.
     """
     dims = {
         "__s": F.when(F.col(amount) < 0, -1).otherwise(1),
@@ -130,13 +132,17 @@ def similar_groups(levels: DataFrame, entity: str, amount: str, count: str, step
     found = stage(markov_clusters(nodes.select(F.col("cell").alias("node"), "n"), graph), "clusters")
     total = Window.partitionBy("cluster")
     scored = found.join(nodes.select(F.col("cell").alias("node"), "n"), "node").select("node", "cluster", (F.col("flow") * F.col("n") / F.sum("n").over(total)).alias("typicality"))
-    tagged = levels.select(entity, *[c.cast("int").alias(d) for d, c in dims.items()]).dropna().select(entity, cell_id(list(dims)).alias("node"))
-    return tagged.join(scored, "node").select(entity, "cluster", "typicality")
+    own = {"__x": F.log10(F.abs(F.col(amount).cast("double")) + 1) / (step * max(1, reach)), "__y": F.col(count).cast("double") / max(1, count_reach)}
+    tagged = levels.select(entity, *[c.cast("int").alias(d) for d, c in dims.items()], *[c.alias(d) for d, c in own.items()]).dropna().select(entity, *own, cell_id(list(dims)).alias("node"))
+    members = stage(tagged.join(scored, "node").select(entity, "cluster", "typicality", *own), "placed")
+    centres = members.groupBy("cluster").agg(F.avg("__x").alias("__cx"), F.avg("__y").alias("__cy"))
+    distance = F.round(F.sqrt(F.pow(F.col("__x") - F.col("__cx"), 2.0) + F.pow(F.col("__y") - F.col("__cy"), 2.0)), 9)  # rounded: sums of doubles depend on their order
+    return members.join(centres, "cluster").select(entity, "cluster", "typicality", distance.alias("distance"))
 
 
 def describe_clusters(members: DataFrame, entity: str, typical: int = 3) -> DataFrame:
-    """``cluster, size, typical_1..n``: every cluster's size and its members of strongest flow (ties: smallest entity)."""
-    best = Window.partitionBy("cluster").orderBy(F.col("typicality").desc(), entity)
+    """``cluster, size, typical_1..n``: every cluster's size and its members of strongest flow (ties: nearest to the cluster's mean, then smallest entity)."""
+    best = Window.partitionBy("cluster").orderBy(F.col("typicality").desc(), "distance", entity)
     top = members.withColumn("r", F.row_number().over(best)).where(F.col("r") <= typical)
     wide = top.groupBy("cluster").agg(*[F.max(F.when(F.col("r") == i, F.col(entity))).alias(f"typical_{i}") for i in range(1, typical + 1)])
     return members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).join(wide, "cluster")
