@@ -15,17 +15,23 @@ from cohortex.staging import stage
 
 @dataclass
 class Node:
-    """A domain, a language of a domain, or (a leaf) a source."""
+    """A domain, a language of a domain, or (a leaf) a source.
+
+    weight, capacity: sums over the leaves below.  claim: the part of the total
+    that the weights ask for; budget: what the node gets.
+    """
 
     name: str
     weight: float = 0.0
     capacity: float = 0.0
+    claim: float = 0.0
     budget: float = 0.0
     children: dict[str, "Node"] = field(default_factory=dict)
 
     def add(self, path: tuple[str, ...], weight: float, capacity: float) -> None:
+        """A leaf below this node.  One of no weight may receive nothing, so it adds no capacity either."""
         self.weight += weight
-        self.capacity += capacity
+        self.capacity += capacity if weight > 0 else 0.0
         if path:
             self.children.setdefault(path[0], Node(path[0])).add(path[1:], weight, capacity)
 
@@ -35,15 +41,19 @@ class Node:
         for c in self.children.values():
             yield from c.leaves((*path, c.name))
 
+    @property
+    def short(self) -> bool:
+        """The node gets less than its weight asks for."""
+        return self.budget < self.claim * (1 - 1e-12) - 1e-9
+
 
-def source_path(source: str) -> tuple[str, str, str]:
-    """Domain (the name up to the first underscore), language (a two-letter ending, else ``und``) and source."""
-    parts = source.split("_")
-    return parts[0], parts[-1] if len(parts) > 1 and len(parts[-1]) == 2 else "und", source
+def source_path(source: str, language: str | None) -> tuple[str, str, str]:
+    """Domain (the name up to the first underscore), language (``und`` where unknown) and source."""
+    return source.split("_")[0], language or "und", source
 
 
-def allot(node: Node, total: float) -> None:
-    """Give ``total`` to a node and share it among its children by weight.
+def allot(node: Node, total: float, claim: float | None = None) -> None:
+    """Give ``total`` to a node and share it among its children by weight; claims go down by weight alone.
 
     A child whose capacity is below its part gets its capacity; what is missing
     goes to its siblings with room, by weight, until none is left or none has
@@ -51,24 +61,20 @@ def allot(node: Node, total: float) -> None:
     then already offered it to the parent's siblings: a node never gets more
     than the capacity below it.
     """
+    node.claim = total if claim is None else claim
     node.budget = min(total, node.capacity)
-    open_ = {k: c for k, c in node.children.items() if c.weight > 0 and c.capacity > 0}
     given = {k: 0.0 for k in node.children}
     rest = node.budget
-    while open_ and rest > 1e-9:
-        w = sum(c.weight for c in open_.values())
-        full = [k for k, c in open_.items() if given[k] + rest * c.weight / w >= c.capacity - 1e-9]
-        if not full:
-            for k, c in open_.items():
-                given[k] += rest * c.weight / w
-            rest = 0.0
-        for k in full:
-            rest -= open_[k].capacity - given[k]
-            given[k] = open_[k].capacity
-            del open_[k]
-        # the others are given nothing yet: their parts grow with what the full ones left
+    open_ = {k: c for k, c in node.children.items() if c.weight > 0 and c.capacity > 0}
+    while open_:
+        each = rest / sum(c.weight for c in open_.values())
+        full = [k for k, c in open_.items() if each * c.weight >= c.capacity]
+        for k in full or list(open_):
+            c = open_.pop(k)
+            given[k] = c.capacity if full else each * c.weight
+            rest -= given[k]
     for k, c in node.children.items():
-        allot(c, given[k])
+        allot(c, given[k], node.claim * c.weight / node.weight if node.weight > 0 else 0.0)
 
 
 @dataclass
@@ -81,7 +87,7 @@ class Mix:
 
 def mix_sources(
     docs: DataFrame, doc: str, text: str, source: str, wanted: DataFrame, weight: str, most: str, total_tokens: int | None = None,
-    path: Callable[[str], tuple[str, ...]] = source_path, vocabulary: str = VOCABULARY, seed: int = 5,
+    language: str | None = None, path: Callable[[str, str | None], tuple[str, ...]] = source_path, vocabulary: str = VOCABULARY, seed: int = 5,
 ) -> Mix:
     """A mix in which every source of ``wanted`` has its ``weight`` of ``total_tokens`` and is used at most ``most`` times.
 
@@ -90,11 +96,17 @@ def mix_sources(
     case.  total_tokens: by default the size of all documents with text, of any
     source.  Documents without text, or of no tokens, are in no mix.
 
+    language: a column of ``docs``; a source's language is the one of most of
+    its documents with text (first two letters, ties to the first in order).
+    Sources are the leaves of a domain-language-source tree (``path``), through
+    which weights go down and shortages are shared out.
+
     ``report``: ``source, weight, max_uses, size, target, capacity, short,
-    budget, tokens, share``: target = weight * total, capacity = max_uses *
-    size, short = capacity < target, budget after what short sources lack went
-    to their siblings, then to the siblings of their ancestors; tokens and
-    share are what the mix really holds.
+    budget, tokens, share``: target is the leaf's claim in the tree, capacity =
+    max_uses * size, budget what the tree gives the leaf after what short
+    sources lack went to their siblings, then to the siblings of their
+    ancestors; short: the budget is below the claim; tokens and share are what
+    the mix really holds.  A source of weight 0 gets nothing.
 
     ``rows``: ``doc_id, source, epoch, tokens``.  A source is read in epochs,
     each in its own seeded order; whole epochs come first, then the prefix of
@@ -102,16 +114,20 @@ def mix_sources(
     of the order, so a source with a third of all documents is no single task.
     """
     name = F.lower(F.trim(F.col(source)))
-    sizes = stage(token_sizes(docs, doc, text, {"source": name}, vocabulary), "tokens")
+    lang = F.substring(F.lower(F.trim(F.col(language))), 1, 2) if language else F.lit(None).cast("string")
+    sizes = stage(token_sizes(docs, doc, text, {"source": name, "lang": lang}, vocabulary), "tokens")
     goals = {}
     for r in wanted.select(F.lower(F.trim(F.col(source))).alias("s"), F.col(weight).cast("double").alias("w"), F.col(most).cast("long").alias("m")).where("s is not null").collect():
-        goals[r["s"]] = (r["w"] or 0.0, max(0, r["m"] or 0))
-    per = {r["source"]: r["n"] for r in sizes.where(F.col("source").isin(list(goals))).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+        goals[r["s"]] = (max(0.0, r["w"] or 0.0), max(0, r["m"] or 0))
+    by_lang = sizes.where(F.col("source").isin(list(goals)) & F.col("tokens").isNotNull()).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("n"))
+    main = F.min_by("lang", F.struct(-F.col("docs"), F.col("lang"))).alias("lang")
+    known = by_lang.groupBy("source").agg(F.sum("n").alias("n"), main).collect()  # one row per wanted source
+    per, tongue = {r["source"]: r["n"] for r in known}, {r["source"]: r["lang"] for r in known}
     total = float(total_tokens if total_tokens is not None else sizes.agg(F.sum("tokens")).first()[0] or 0)
     root = Node("all")
     for s, (w, m) in goals.items():
-        root.add(path(s), w, float(m * (per.get(s) or 0)))
-    allot(root, total)
+        root.add(path(s, tongue.get(s)), w, float(m * (per.get(s) or 0)))
+    allot(root, total, total * root.weight)
     plan = []
     for p, leaf in root.leaves():
         if not p:
@@ -121,7 +137,7 @@ def mix_sources(
         n = per.get(s) or 0
         budget = int(leaf.budget + 1e-6)
         whole = min(m, budget // n) if n else 0
-        plan.append((s, w, m, n, w * total, m * n, m * n < w * total, budget, whole, budget - whole * n if whole < m else 0))
+        plan.append((s, w, m, n, leaf.claim, m * n, leaf.short, budget, whole, budget - whole * n if whole < m else 0))
     spark = docs.sparkSession
     schema = "source string, weight double, max_uses long, size long, target double, capacity long, short boolean, budget long, whole long, part long"
     plan_df = spark.createDataFrame(plan, schema)

@@ -33,7 +33,7 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf: str) -> Mix:
-    return mix_sources(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "mezcla_objetivo"), "peso", "max_repeticiones")
+    return mix_sources(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "mezcla_objetivo"), "peso", "max_repeticiones", language="lang")
 
 
 @query(

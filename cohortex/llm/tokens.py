@@ -15,13 +15,16 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's tokenizer splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Merging takes time with the square of an unbroken run; runs are cut at this many characters.
-RUN = 2000
-_RUNS = re.compile(r"\S{%d}|\s{%d}" % (RUN, RUN))
+#: Fixed value: the white space of the pattern's ``\s`` (Unicode's White_Space).
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+#: Blank runs from this length on are counted on their own: the pattern's look-ahead would recurse once a character.
+RUN = 500
+_RUNS = re.compile(f"[{BLANKS}]{{{RUN},}}")
 
 
 def encoding(path: str):
-    """The tokenizer of a vocabulary file, loaded once a Python worker (functions are shipped anew with every task)."""
+    """The tokenizer of a vocabulary file and the same one without splitting, loaded once a Python worker (functions are shipped anew with every task)."""
     import sys
     import types
 
@@ -31,22 +34,27 @@ def encoding(path: str):
     if path not in kept:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        kept[path] = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        kept[path] = tuple(tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("byte-bpe", PATTERN), ("one-piece", r"[\s\S]+")))
     return kept[path]
 
 
 def count_tokens(text: str, path: str = VOCABULARY) -> int:
-    """Tokens of a text.  Unbroken runs of RUN characters are tokenised block by block, which can add a token per block."""
+    """Tokens of a text, exactly as many as the tokenizer gives.
+
+    A run of blanks before other text is, by the pattern, one piece without its
+    last character, which opens the next piece; at the end of the text it is
+    one piece.  Long runs are merged as that piece, apart from the text around
+    them, so their length is no matter of the stack.
+    """
     if not text:
         return 0
-    enc = encoding(path)
-    if len(text) > RUN and _RUNS.search(text):
-        n, at = 0, 0
-        for m in _RUNS.finditer(text):
-            n += len(enc.encode_ordinary(text[at : m.start()])) + len(enc.encode_ordinary(m.group()))
-            at = m.end()
-        return n + len(enc.encode_ordinary(text[at:]))
-    return len(enc.encode_ordinary(text))
+    enc, whole = encoding(path)
+    n, at = 0, 0
+    for m in _RUNS.finditer(text) if len(text) >= RUN else ():
+        end = m.end() - (m.end() < len(text))
+        n += len(enc.encode_ordinary(text[at : m.start()])) + len(whole.encode_ordinary(text[m.start() : end]))
+        at = end
+    return n + len(enc.encode_ordinary(text[at:] if at else text))
 
 
 def token_sizes(docs: DataFrame, doc: str, text: str, keep: dict[str, "F.Column"], path: str = VOCABULARY) -> DataFrame:

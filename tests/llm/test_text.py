@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortex.llm.leaks import leaked_items, tiles
 from cohortex.llm.mixing import Node, allot, mix_sources, source_path
 from cohortex.llm.text import Rolling, WordHashes, words
-from cohortex.llm.tokens import count_tokens
+from cohortex.llm.tokens import VOCABULARY, count_tokens, encoding
 from cohortex.llm.truncation import Options, cut_records, source_rates
 
 
@@ -100,24 +100,53 @@ def test_leaks_against_brute_force(spark, small):
 
 def test_tokens():
     assert count_tokens("hello world") == 2 and count_tokens("") == 0 and count_tokens("<|endoftext|>") > 1
-    assert 0 < count_tokens("a" * 100_000) < 100_000
-    text = ("palabra suelta " * 3000) + "x" * 5000
-    assert abs(count_tokens(text) - (count_tokens("palabra suelta " * 3000) + count_tokens("x" * 5000))) <= 4
+    enc = encoding(VOCABULARY)[0]
+    rng = random.Random(9)
+    bits = ["a", "palabra", " ", "  ", "\n", "é", "1", "=", "'s", " " * 700, "\n" * 900, " \n" * 300, "\x1c" * 600, "=" * 3000, "x" * 5000, "\u2003" * 501]
+    for _ in range(300):  # exactly the tokenizer's count, long unbroken runs included
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 9)))
+        assert count_tokens(text) == len(enc.encode_ordinary(text))
+    assert count_tokens("=" * 9001) == len(enc.encode_ordinary("=" * 9001))
+    assert count_tokens(" " * 1_000_000 + "fin") == 1_000_000 == count_tokens(" " * 1000 + "fin") * 1000  # the tokenizer alone runs out of stack here
 
 
-def test_budgets_flow_to_siblings_first():
-    root = Node("all")
-    for s, w, cap in (("wiki_es", 0.2, 5.0), ("wiki_en", 0.2, 100.0), ("foro_es", 0.6, 1000.0)):
-        root.add(source_path(s), w, cap)
-    allot(root, 100.0)
-    got = {p[-1]: n.budget for p, n in root.leaves()}
-    assert got == {"wiki_es": 5.0, "wiki_en": pytest.approx(35.0), "foro_es": pytest.approx(60.0)}
+def budgets(leaves, total, language=None):
     root = Node("all")
-    for s, w, cap in (("wiki_es", 0.2, 5.0), ("wiki_en", 0.2, 10.0), ("foro_es", 0.6, 1000.0)):
-        root.add(source_path(s), w, cap)
-    allot(root, 100.0)
-    got = {p[-1]: n.budget for p, n in root.leaves()}
-    assert got == {"wiki_es": 5.0, "wiki_en": 10.0, "foro_es": pytest.approx(85.0)}
+    for s, w, cap in leaves:
+        root.add(source_path(s, language or s[-2:]), w, cap)
+    allot(root, total)
+    return root, {p[-1]: n.budget for p, n in root.leaves()}
+
+
+def test_budgets_flow_to_siblings_first():
+    assert budgets([("wiki_es", 0.2, 5.0), ("wiki_en", 0.2, 100.0), ("foro_es", 0.6, 1000.0)], 100.0)[1] == {"wiki_es": 5.0, "wiki_en": pytest.approx(35.0), "foro_es": pytest.approx(60.0)}
+    assert budgets([("wiki_es", 0.2, 5.0), ("wiki_en", 0.2, 10.0), ("foro_es", 0.6, 1000.0)], 100.0)[1] == {"wiki_es": 5.0, "wiki_en": 10.0, "foro_es": pytest.approx(85.0)}
+    assert budgets([("a_es", 0.1, 5.0), ("a_en", 0.0, 100.0), ("b_es", 0.9, 1000.0)], 100.0)[1] == {"a_es": 5.0, "a_en": 0.0, "b_es": pytest.approx(95.0)}
+    assert budgets([("a_es", 0.0, 5.0)], 100.0)[1] == {"a_es": 0.0}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_budgets_against_their_definition(seed):
+    """Nothing is lost, nothing exceeds a capacity, and at every node the children with room stand at one level of budget per weight that no full child exceeds."""
+    rng = random.Random(seed)
+    leaves = [(f"{rng.choice('abc')}_{i}{rng.choice(['es', 'en', 'pt'])}", rng.choice([0.0, 0.1, 0.5, 1.0, rng.random()]), rng.choice([0.0, 3.0, 40.0, 200.0 * rng.random()])) for i in range(rng.randrange(1, 12))]
+    total = rng.choice([0.0, 10.0, 150.0, 5000.0])
+    root, got = budgets(leaves, total)
+    assert sum(got.values()) == pytest.approx(min(total, sum(c for _, w, c in leaves if w > 0)))
+    assert all(got[s] <= c + 1e-9 and (w > 0 or got[s] == 0) for s, w, c in leaves)
+    assert sum(n.claim for _, n in root.leaves()) == pytest.approx(total if root.weight else root.claim)
+
+    def level(node):
+        kids = [c for c in node.children.values() if c.weight > 0 and c.capacity > 0]
+        roomy = [c.budget / c.weight for c in kids if c.budget < c.capacity - 1e-9]
+        if roomy:
+            assert max(roomy) == pytest.approx(min(roomy)) and all(c.budget / c.weight <= max(roomy) + 1e-9 for c in kids)
+        if kids:
+            assert sum(c.budget for c in kids) == pytest.approx(node.budget)
+        for c in kids:
+            level(c)
+
+    level(root)
 
 
 def test_mix(spark):
@@ -141,6 +170,10 @@ def test_mix(spark):
         assert got == r[s]["tokens"] <= r[s]["budget"] and r[s]["budget"] - got < 70
         assert len({e for q, e in used if q == s}) <= r[s]["max_uses"]
     assert all(len({d for d, _ in v}) == len(v) for v in used.values())
+    again = mix_sources(docs.repartition(2), "d", "t", "s", goal, "w", "m")
+    assert sorted(map(tuple, again.rows.collect())) == sorted(map(tuple, mix.rows.collect()))
+    idle = mix_sources(docs, "d", "t", "s", spark.createDataFrame([("a_es", None, 3), ("b_es", 1.0, None), ("c", 0.0, 4)], "s string, w double, m int"), "w", "m")
+    assert {x["source"]: (x["tokens"], x["short"]) for x in idle.report.collect()} == {"a_es": (0, False), "b_es": (0, True), "c": (0, False)}
     none = mix_sources(docs.limit(0), "d", "t", "s", goal, "w", "m")
     assert none.rows.count() == 0 and none.report.count() == 3
 
