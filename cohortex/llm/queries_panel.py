@@ -42,6 +42,22 @@ def p2_split(spark: SparkSession, sf: str) -> DataFrame:
     return _split(spark, sf).select("numero_de_cliente", "person", "split")
 
 
+@query(
+    sql=f"""WITH {VALID_SQL}, n AS (SELECT count(*) AS n FROM v WHERE numero_de_cliente IS NOT NULL),
+d AS (SELECT particion, proporcion / sum(proporcion) OVER () * n.n AS goal, row_number() OVER (ORDER BY proporcion DESC, particion DESC) AS k, n.n FROM division_objetivo, n),
+r AS (SELECT *, CASE WHEN k > 1 THEN CAST(ceil(goal - 0.5) AS BIGINT) END AS got FROM d)
+SELECT particion AS split, coalesce(got, n - sum(got) OVER ())::BIGINT AS records, round(goal, 6) AS target, round(coalesce(got, n - sum(got) OVER ()) - goal, 6) AS gap FROM r"""
+)
+def p2_split_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of each split, what its share asks for, and the gap.  The SQL holds where every total can be reached, as with many persons of few records."""
+    goals = table(spark, sf, "division_objetivo").select("particion", "proporcion")
+    s = _split(spark, sf).groupBy("split").agg(F.sum("n").alias("records"))
+    all_ = goals.agg(F.sum("proporcion").alias("w")).crossJoin(s.agg(F.sum("records").alias("n")))  # one row each
+    j = goals.crossJoin(all_).join(s, F.col("particion") == F.col("split"), "left")  # one row a split
+    r, t = F.coalesce("records", F.lit(0)), F.col("proporcion") / F.col("w") * F.col("n")
+    return j.select(F.col("particion").alias("split"), r.alias("records"), F.round(t, 6).alias("target"), F.round(r - t, 6).alias("gap"))
+
+
 @query
 def p2_split_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Records, persons and reached share of each split."""
