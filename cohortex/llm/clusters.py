@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cohortex.staging import release, stage
@@ -37,9 +37,7 @@ def neighbour_graph(nodes: DataFrame, reach: dict[str, int], fixed: list[str]) -
     return wide.join(to, [f"k_{c}" for c in (*fixed, *axes)]).select("src", "dst", "w")
 
 
-def markov_clusters(
-    nodes: DataFrame, links: DataFrame, inflation: float = 2.0, prune: float = 1e-3, max_rounds: int = 40, tolerance: float = 1e-3
-) -> DataFrame:
+def markov_clusters(nodes: DataFrame, links: DataFrame, inflation: float = 2.0, prune: float = 1e-3, max_rounds: int = 100, tolerance: float | None = None) -> DataFrame:
     """Markov clustering: ``node, cluster, flow`` with the attractor each node's strongest flow ends in.
 
     nodes: ``node`` and ``n``, how many identical records the node stands for.
@@ -52,61 +50,66 @@ def markov_clusters(
     drops what is below ``prune`` of a column's sum and renormalises.  That is
     the same as clustering the graph of all records with copies expanded, at
     the cost of one node per distinct record.  Columns keep all entries above
-    ``prune``, hence at most 1 / prune of them.  Every round is staged; it ends
-    when no entry changed by more than ``tolerance`` or after ``max_rounds``.
-    Nodes without links are clusters of their own.
+    ``prune``, hence at most 1 / prune of them.
+
+    A round is one job: columns are cut and divided by their sums in windows,
+    which see at most (1 / prune) ** 2 entries of a squared column, whatever the
+    number of records.  On the way it finds the largest chaos of a column: its
+    largest flow to one record less the sum of squares, 0 where the flow is
+    spread evenly over the attractors.  The rounds end when no column's chaos
+    exceeds ``tolerance`` (by default ``prune``); that more than ``max_rounds`` are needed is an error.
+    A node's cluster is named by the smallest attractor its strongest attractor
+    flows to.  Nodes without links are clusters of their own.
     """
+    tolerance = prune if tolerance is None else tolerance
+    if tolerance > prune:
+        raise ValueError("tolerance must not exceed prune, else columns may keep entries that are no attractors")
     size = stage(nodes.groupBy("node").agg(F.sum("n").alias("n")), "nodes")
     both = links.where("w > 0 and src <> dst").groupBy("src", "dst").agg(F.max("w").alias("w"))
     loops = size.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"))
     flow = both.unionByName(loops).join(size.select(F.col("node").alias("dst"), "n"), "dst").select(F.col("src").alias("j"), F.col("dst").alias("i"), (F.col("w") * F.col("n")).alias("m"), "n")
-    m = stage(_normal(flow, prune), "flow")
+    sums = flow.groupBy("j").agg(F.sum("m").alias("all"), F.max("m").alias("top"))  # a hub's links are summed map-side, not gathered
+    flow = flow.join(sums, "j").where((F.col("m") >= prune * F.col("all")) | (F.col("m") == F.col("top"))).select("j", "i", "m", "n")
+    m, chaos = _columns(flow, prune)
     for _ in range(max_rounds):
         left = m.select(F.col("j").alias("k"), "i", F.col("m").alias("a"), "n")
         right = m.select("j", F.col("i").alias("k"), F.col("m").alias("b"))
         square = left.join(right, "k").groupBy("j", "i").agg(F.sum(F.col("a") * F.col("b")).alias("m"), F.max("n").alias("n"))
-        grown = square.select("j", "i", (F.col("n") * F.pow(F.col("m") / F.col("n"), F.lit(inflation))).alias("m"), "n")
-        new = stage(_normal(grown, prune), "flow")
-        old = m.select("j", "i", F.col("m").alias("was"))
-        change = new.join(old, ["j", "i"], "full").agg(F.max(F.abs(F.coalesce("m", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
+        new, chaos = _columns(square.select("j", "i", (F.col("n") * F.pow(F.col("m") / F.col("n"), F.lit(inflation))).alias("m"), "n"), prune)
         release(m)
         m = new
-        if change < tolerance:
+        if chaos < tolerance:
             break
-    best = Window.partitionBy("j").orderBy(F.col("m").desc(), "i")
-    top = m.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("j").alias("node"), F.col("i").alias("attractor"), F.col("m").alias("flow"))
-    return _follow(stage(top, "attractors"))
-
-
-def _normal(flow: DataFrame, prune: float) -> DataFrame:
-    """Columns scaled to sum 1, entries below ``prune`` dropped (never a column's largest), scaled again.
-
-    Column sums are map-side combined and joined back, one row a column, so a
-    column as long as a third of the matrix is never gathered in one task.
-    """
-    sums = flow.groupBy("j").agg(F.sum("m").alias("total"), F.max("m").alias("top"))
-    kept = flow.join(sums, "j").where((F.col("m") >= prune * F.col("total")) | (F.col("m") == F.col("top"))).select("j", "i", "m", "n")
-    left = kept.groupBy("j").agg(F.sum("m").alias("total"))
-    return kept.join(left, "j").select("j", "i", (F.col("m") / F.col("total")).alias("m"), "n")
-
-
-def _follow(top: DataFrame) -> DataFrame:
-    """Attractors that flow into one another are one cluster, named by its smallest attractor."""
-    from cohortex.llm.components import connected_components
-
-    comp = connected_components(top, "node", "attractor").select(F.col("node").alias("c_node"), F.col("component").alias("cluster"))
-    return top.join(comp, F.col("attractor") == F.col("c_node")).select("node", "cluster", "flow")
+    else:
+        raise RuntimeError(f"the flow did not settle in {max_rounds} rounds (chaos {chaos})")
+    best = F.min_by(F.struct("i", "m"), F.struct(-F.col("m"), F.col("i")))
+    top = m.groupBy("j").agg(best.alias("best"), F.min("i").alias("first"))
+    names = top.select(F.col("j").alias("attractor"), F.col("first").alias("cluster"))
+    found = stage(top.select(F.col("j").alias("node"), F.col("best.i").alias("attractor"), F.col("best.m").alias("flow")).join(names, "attractor").select("node", "cluster", "flow"), "clusters")
+    release(m, size)
+    return found
+
+
+def _columns(flow: DataFrame, prune: float) -> tuple[DataFrame, float]:
+    """Columns without entries below ``prune`` of their sum (never without their largest), scaled to sum 1 and staged, and the largest chaos among them."""
+    column = Window.partitionBy("j")
+    cut = flow.select("*", F.sum("m").over(column).alias("all"), F.max("m").over(column).alias("top")).where((F.col("m") >= prune * F.col("all")) | (F.col("m") == F.col("top")))
+    kept = cut.select("j", "i", "n", (F.col("m") / F.sum("m").over(column)).alias("m"))
+    seen = Observation()
+    chaos = F.max(F.col("m") / F.col("n")).over(column) - F.sum(F.col("m") * F.col("m") / F.col("n")).over(column)
+    out = stage(kept.withColumn("chaos", chaos).observe(seen, F.max("chaos").alias("chaos")).drop("chaos"), "flow")
+    return out, seen.get["chaos"] or 0.0
 
 
 def usual_levels(df: DataFrame, entity: str, fields: list[str]) -> DataFrame:
-    """``entity`` and the (lower) median of each field over its rows, entities without any value of a field left out.
+    """``entity`` and the (lower) median of each field over its rows; null where an entity has no finite value of a field.
 
     ``percentile_approx`` merges bounded summaries map-side, so an entity with
     a third of all rows costs one task nothing; its rank error is 1 / 5000 of
     the entity's rows, none below about 5000 rows.
     """
     x = df.where(F.col(entity).isNotNull()).select(entity, *[F.when(~F.isnan(F.col(f).cast("double")) & (F.abs(F.col(f).cast("double")) < F.lit(float("inf"))), F.col(f)).alias(f) for f in fields])
-    return x.groupBy(entity).agg(*[F.percentile_approx(f, 0.5, 5000).alias(f) for f in fields]).dropna()
+    return x.groupBy(entity).agg(*[F.percentile_approx(f, 0.5, 5000).alias(f) for f in fields])
 
 
 def similar_groups(levels: DataFrame, entity: str, amount: str, count: str, step: float = 0.1, reach: int = 3, count_reach: int = 1) -> DataFrame:
@@ -120,7 +123,9 @@ def similar_groups(levels: DataFrame, entity: str, amount: str, count: str, step
     ends in its attractor, times the cell's share of its cluster, so the most
     typical members sit where the cluster is densest.  distance: how far the
     entity itself, not its cell, is from the mean of its cluster's members, in
-    reaches; it tells the members of a cell apart.
+    reaches; it tells the members of a cell apart.  Entities without an amount
+    or a count are alike in nothing that can be compared: those that lack the
+    same are one cluster, of typicality 0 and no distance.
     """
     dims = {
         "__s": F.when(F.col(amount) < 0, -1).otherwise(1),
@@ -137,12 +142,14 @@ def similar_groups(levels: DataFrame, entity: str, amount: str, count: str, step
     members = stage(tagged.join(scored, "node").select(entity, "cluster", "typicality", *own), "placed")
     centres = members.groupBy("cluster").agg(F.avg("__x").alias("__cx"), F.avg("__y").alias("__cy"))
     distance = F.round(F.sqrt(F.pow(F.col("__x") - F.col("__cx"), 2.0) + F.pow(F.col("__y") - F.col("__cy"), 2.0)), 9)  # rounded: sums of doubles depend on their order
-    return members.join(centres, "cluster").select(entity, "cluster", "typicality", distance.alias("distance"))
+    placed = members.join(centres, "cluster").select(entity, "cluster", "typicality", distance.alias("distance"))
+    lacking = levels.where(F.col(amount).isNull() | F.col(count).isNull())
+    return placed.unionByName(lacking.select(entity, F.xxhash64(F.col(amount).isNull(), F.col(count).isNull()).alias("cluster"), F.lit(0.0).alias("typicality"), F.lit(None).cast("double").alias("distance")))
 
 
 def describe_clusters(members: DataFrame, entity: str, typical: int = 3) -> DataFrame:
     """``cluster, size, typical_1..n``: every cluster's size and its members of strongest flow (ties: nearest to the cluster's mean, then smallest entity)."""
-    best = Window.partitionBy("cluster").orderBy(F.col("typicality").desc(), "distance", entity)
+    best = Window.partitionBy("cluster").orderBy(F.col("typicality").desc(), F.col("distance").asc_nulls_last(), entity)
     top = members.withColumn("r", F.row_number().over(best)).where(F.col("r") <= typical)
     wide = top.groupBy("cluster").agg(*[F.max(F.when(F.col("r") == i, F.col(entity))).alias(f"typical_{i}") for i in range(1, typical + 1)])
     return members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).join(wide, "cluster")

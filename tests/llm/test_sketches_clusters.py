@@ -101,6 +101,15 @@ def test_markov_clusters_against_dense_copies(spark):
     assert groups(got) == groups(want) == {frozenset({0, 1, 2}), frozenset({3, 4, 5}), frozenset({6})}
 
 
+def test_flow_that_does_not_settle_is_an_error(spark):
+    nodes = spark.createDataFrame([(k, 1) for k in range(30)], "node long, n long")
+    links = spark.createDataFrame([(a, b, 1.0) for a in range(30) for b in (a - 1, a + 1) if 0 <= b < 30], "src long, dst long, w double")
+    with pytest.raises(RuntimeError):
+        markov_clusters(nodes, links, max_rounds=2)
+    with pytest.raises(ValueError):
+        markov_clusters(nodes, links, tolerance=0.1)
+
+
 def test_groups_of_levels(spark):
     rng = random.Random(8)
     rows, truth = [], {}
@@ -109,13 +118,15 @@ def test_groups_of_levels(spark):
             who = 100 * k + i
             truth[who] = k
             rows += [(who, centre * rng.uniform(0.85, 1.2), count) for _ in range(3)] + [(who, centre * 50, count), (who, None, None)][: rng.randrange(3)]
-    rows += [(999, None, 3), (None, 5.0, 3), (998, float("nan"), 2)]
+    rows += [(999, None, 3), (None, 5.0, 3), (998, float("nan"), 2), (997, 8.0, None), (996, None, None)]
     df = spark.createDataFrame(rows, "c long, x double, b int")
     levels = usual_levels(df, "c", ["x", "b"])
     members = similar_groups(levels, "c", "x", "b")
     got = {r["c"]: r["cluster"] for r in members.collect()}
+    truth |= {999: "no amount", 998: "no amount", 997: "no count", 996: "nothing"}  # each kind of gap is a group
     assert set(got) == set(truth)
-    assert len({(truth[c], got[c]) for c in got}) == 4 == len(set(got.values()))
+    assert len({(truth[c], got[c]) for c in got}) == 7 == len(set(got.values()))
     d = describe_clusters(members, "c").collect()
-    assert sorted(r["size"] for r in d) == [40] * 4 and all(truth[r["typical_1"]] == truth[r["typical_2"]] for r in d)
+    assert sorted(r["size"] for r in d) == [1, 1, 2] + [40] * 4 and sum(r["size"] for r in d) == len(truth)
+    assert all(truth[r["typical_1"]] == truth[r["typical_2"] or r["typical_1"]] for r in d)
     assert similar_groups(levels.limit(0), "c", "x", "b").count() == 0
