@@ -8,6 +8,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortex.operators.ranking import BROADCAST_ROWS
 from cohortex.staging import release, stage
 
 
@@ -16,12 +17,15 @@ def top_n_banded(df: DataFrame, group: str, score: str, ties: list[Column], n: i
 
     The rows are range-partitioned by score and tie columns (a score that a
     third of the rows share is spread too) and staged.  Score bands are then
-    processed from the top: a band's rows are ranked within their group, with
-    at most n rows of a group leaving any map task; groups filled by higher
-    bands are taken out by an anti-join, and groups filled in part get only
-    what they lack.  Bands are cut between scores, never inside one, so exact
-    ranks within a band decide all ties.  Each band holds twice the rows of the
-    one above; the loop ends when every group is filled or no row is left.
+    processed from the top.  Groups filled by higher bands are taken out of a
+    band by an anti-join before anything is ranked: a broadcast one where the
+    filled groups were counted and are few, else a shuffled one whose result is
+    staged, so that a hot group may be split there and is again limited map-side
+    afterwards.  The band's rows are then ranked within their group, with at
+    most n rows of a group leaving any map task, and groups filled in part get
+    only what they lack.  Bands are cut between scores, never inside one, so
+    exact ranks within a band decide all ties.  Each band holds twice the rows
+    of the one above; the loop ends when every group is filled or no row is left.
 
     Rows with a null group or a null or NaN score do not take part.  Groups
     with fewer rows give what they have.  Rows equal in score and ties come out
@@ -47,13 +51,21 @@ def top_n_banded(df: DataFrame, group: str, score: str, ties: list[Column], n: i
             band = band.where(F.col(score) >= F.lit(lo))
         if hi is not None:
             band = band.where(F.col(score) < F.lit(hi))
-        best = band.withColumn("place", F.row_number().over(within)).where(F.col("place") <= n)
+        thinned = None
         if counts is not None:
             filled = counts.where(F.col("have") >= n).select(group)
+            if filled.count() <= BROADCAST_ROWS:
+                band = band.join(F.broadcast(filled), group, "left_anti")
+            else:
+                thinned = band = stage(band.join(filled.hint("merge"), group, "left_anti"), "unfilled")
+        best = band.withColumn("place", F.row_number().over(within)).where(F.col("place") <= n)
+        if counts is not None:
             part = counts.where(F.col("have") < n)
-            best = best.join(filled, group, "left_anti").join(part, group, "left").withColumn("place", F.col("place") + F.coalesce("have", F.lit(0))).where(F.col("place") <= n).drop("have")
+            best = best.join(part, group, "left").withColumn("place", F.col("place") + F.coalesce("have", F.lit(0))).where(F.col("place") <= n).drop("have")
         got = stage(best.select(group, *[c for c in columns if c != group], "place"), "topn")
         done.append(got)
+        if thinned is not None:
+            release(thinned)
         if lo is None:
             break
         new = reduce(DataFrame.unionByName, done).groupBy(group).agg(F.count(F.lit(1)).alias("have"))

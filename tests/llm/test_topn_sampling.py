@@ -23,6 +23,21 @@ def test_top_n_against_sorting(spark):
         assert got == want
 
 
+def test_filled_groups_leave_lower_bands(spark, monkeypatch):
+    from cohortex.llm import topn
+
+    rows = [(i % 200, float(i), 0, i) for i in range(6000)] + [(777, float(i % 50), 1, 100_000 + i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, s double, m long, i long")
+    want = {(g, r[3], k + 1) for g in {r[0] for r in rows} for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], -r[2], r[3]))[:3])}
+    for bound in (topn.BROADCAST_ROWS, 0):  # filled groups taken out by a broadcast, then by a shuffled anti-join
+        monkeypatch.setattr(topn, "BROADCAST_ROWS", bound)
+        staged = []
+        monkeypatch.setattr(topn, "stage", lambda d, label, keep=topn.stage: staged.append((label, d)) or keep(d, label))
+        assert {(r["g"], r["i"], r["place"]) for r in top_n_banded(df, "g", "s", ties(), 3, ["i", "m"], 1 / 64).collect()} == want
+        if bound == 0:
+            assert "unfilled" in [label for label, _ in staged]
+
+
 def test_top_n_edges(spark):
     schema = "g long, s double, m long, i long"
     assert top_n_banded(spark.createDataFrame([], schema), "g", "s", ties(), 3, ["i", "m"]).count() == 0
