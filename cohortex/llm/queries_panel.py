@@ -82,11 +82,10 @@ def _category(month: str, label: str):
     return F.when(F.col(month).isNotNull() & (c != ""), F.concat(F.col(month).cast("string"), F.lit("|"), c))
 
 
-def _sample(spark: SparkSession, sf: str) -> Sample:
-    landing = table(spark, sf, "competencia_01")
+def _sample(spark: SparkSession, sf: str, **how) -> Sample:
     v = valid_labelled(spark, sf)
     goals = table(spark, sf, "objetivo_muestra").withColumn("category", _category("foto_mes", "clase_ternaria"))
-    return proportional_sample(v, "registro_id", "category", goals, "proporcion", "minimo", 0.1, landing.count())
+    return proportional_sample(v, "registro_id", "category", goals, "proporcion", "minimo", 0.1, **how)
 
 
 def valid_labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,10 +117,35 @@ def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("registro_id", parts[0].cast("int").alias("foto_mes"), parts[1].alias("clase_ternaria"))
 
 
-@query
+_REPORT_SQL = f"""WITH {VALID_SQL},
+l AS (SELECT foto_mes, upper(regexp_replace(clase_ternaria, '\\s+', '', 'g')) AS c FROM v WHERE regexp_replace(clase_ternaria, '\\s+', '', 'g') <> ''),
+n AS (SELECT foto_mes, c, count(*) AS n FROM l GROUP BY 1, 2), s AS (SELECT count(*) // 10 AS s FROM l),
+w AS (SELECT o.foto_mes || '|' || upper(regexp_replace(o.clase_ternaria, '\\s+', '', 'g')) AS category, o.proporcion AS share, o.minimo AS minimum, greatest(o.minimo, o.proporcion * s.s) AS wanted, coalesce(n.n, 0) AS available, o.proporcion * s.s AS plain
+  FROM objetivo_muestra o CROSS JOIN s LEFT JOIN n ON n.foto_mes = o.foto_mes AND n.c = upper(regexp_replace(o.clase_ternaria, '\\s+', '', 'g'))),
+f AS (SELECT {{scale}} AS k FROM w), q AS (SELECT w.*, least(available, CAST(ceil(greatest(minimum, k * plain) - 1e-9) AS BIGINT)) AS quota FROM w, f)
+SELECT category, share, CAST(minimum AS INTEGER) AS minimum, round(wanted, 6) AS wanted, available, quota, available >= wanted - 1e-9 AS met, round(quota::DOUBLE / sum(quota) OVER (), 9) AS reached_share FROM q"""
+
+
+def _rounded(report: DataFrame) -> DataFrame:
+    return report.withColumns({"wanted": F.round("wanted", 6), "reached_share": F.round("reached_share", 9)})
+
+
+@query(sql=_REPORT_SQL.format(scale="max(1.0::DOUBLE)"))
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     """Wanted, available and drawn rows of every target category."""
-    return _sample(spark, sf).report
+    return _rounded(_sample(spark, sf).report)
+
+
+@query(sql=_REPORT_SQL.format(scale="least(1.0::DOUBLE, min(CASE WHEN plain > 0 AND available > 0 THEN available / plain END))"))
+def p5_kept_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of the largest sample that keeps the shares of all categories with rows."""
+    return _rounded(_sample(spark, sf, keep_shares=True).report)
+
+
+@query(sql=f"SELECT category, quota AS drawn FROM ({_REPORT_SQL.format(scale='max(1.0::DOUBLE)')}) WHERE quota > 0")
+def p5_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the sample by category: exactly the quotas."""
+    return _sample(spark, sf).rows.groupBy("category").agg(F.count(F.lit(1)).alias("drawn"))
 
 
 AMOUNTS = ["mpayroll", "mrentabilidad"]
