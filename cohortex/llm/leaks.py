@@ -15,6 +15,9 @@ from cohortex.staging import stage
 #: Up to this many item windows the seeds are sent to the tasks (8 bytes each); beyond, they are joined by a shuffle.
 SENT_SEEDS = 2_000_000
 
+#: Texts whose word hashes a task keeps while it compares pairs.
+KEPT_TEXTS = 64
+
 
 def item_seeds(items: DataFrame, item: str, text: str, seed: int) -> DataFrame:
     """``item_id, seed, at, size``: every window of ``seed`` words of every item, its place, and the item's number of words."""
@@ -151,7 +154,7 @@ def leaked_items(docs: DataFrame, doc: str, text: str, items: DataFrame, item: s
         return spark.createDataFrame([], "doc_id long, item_id long, coverage double, longest int, tiles int")
     if n <= SENT_SEEDS:
         wanted = np.unique(np.array([r[0] for r in seeds.select("seed").distinct().collect()], np.int64).view(np.uint64))
-        vocab = items.select(F.col(item_text).alias("t")).where("t is not null").mapInPandas(_vocabulary, "h long").distinct()
+        vocab = items.select(F.col(item_text).alias("t")).where("t is not null").mapInPandas(_vocabulary(seed), "h long").distinct()  # at most seed words a window
         hits = stage(corpus_hits(docs, doc, text, seed, wanted, frozenset(r[0] % (1 << 64) for r in vocab.collect())), "hits")
     else:
         hits = stage(corpus_hits(docs, doc, text, seed, None, None), "hits")
@@ -161,19 +164,27 @@ def leaked_items(docs: DataFrame, doc: str, text: str, items: DataFrame, item: s
     texts = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("t")).where("t <> ''")
     near = pairs.select("doc_id").distinct()
     near = F.broadcast(near) if near.count() <= 200_000 else near
-    some = stage(texts.join(near, "doc_id", "left_semi"), "near")
+    some = stage(texts.join(near, "doc_id", "left_semi"), "near")  # only texts of pairs; the corpus itself is not shuffled
     item_texts = items.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("it")).where("it is not null")
     both = pairs.join(some, "doc_id").join(item_texts, "item_id")
 
     def tile_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
+        known: dict[str, np.ndarray] = {}
+
+        def of(t: str) -> np.ndarray:
+            """A text's word hashes; the texts met last are kept, since a document meets all its items one after another."""
+            if t not in known:
+                if len(known) >= KEPT_TEXTS:
+                    del known[next(iter(known))]
+                known[t] = np.array(hashes.of(t), np.uint64)
+            return known[t]
+
         for batch in batches:
             out = []
             for d, i, t, it in batch[["doc_id", "item_id", "t", "it"]].itertuples(index=False):
-                b = np.array(hashes.of(it), np.uint64)
-                a = np.array(hashes.of(t), np.uint64)
-                near_b = np.isin(a, b)
-                got = tiles(np.where(near_b, a, np.uint64(0)), b, tile)
+                a, b = of(t), of(it)
+                got = tiles(np.where(np.isin(a, b), a, np.uint64(0)), b, tile)
                 longest = max((k for _, _, k in got), default=0)
                 cover = sum(k for _, _, k in got) / max(1, len(b))
                 if longest >= run or coverage > 0 and cover >= coverage:
@@ -184,7 +195,12 @@ def leaked_items(docs: DataFrame, doc: str, text: str, items: DataFrame, item: s
     return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("longest").alias("longest"), F.max("tiles").alias("tiles"))
 
 
-def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = {word_hash(w) for t in batch["t"] for w in words(t)}
-        yield pd.DataFrame({"h": np.array(sorted(found), np.uint64).view(np.int64)})
+def _vocabulary(seed: int):
+    """Hashes of the words of all items that have a window."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = {word_hash(w) for t in batch["t"] for ws in (words(t),) if len(ws) >= seed for w in ws}
+            yield pd.DataFrame({"h": np.array(sorted(found), np.uint64).view(np.int64)})
+
+    return run

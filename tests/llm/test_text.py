@@ -98,6 +98,44 @@ def test_leaks_against_brute_force(spark, small):
     assert {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, "doc_id", "text", items, "item_id", "text").collect()} == want and want
 
 
+def test_reordered_passages_are_found(spark):
+    """Items planted as shuffled passages of 5 to 9 words, with part of them missing: recall and precision of the coverage search, on both routes of the seeds."""
+    from cohortex.llm import leaks
+
+    rng = random.Random(17)
+    lexicon = [f"pal{i}" for i in range(3000)]
+    item_words = {i: rng.sample(lexicon, 60) for i in range(40)}
+    rows, truth = [], set()
+    for d in range(400):
+        body = [rng.choice(lexicon) for _ in range(rng.randrange(50, 300))]
+        if d % 2 == 0:
+            i = rng.randrange(40)
+            w, parts, at = item_words[i], [], 0
+            while at < 60:
+                k = rng.randrange(5, 10)
+                parts.append(w[at : at + k])
+                at += k
+            parts = [p for p in parts if len(p) >= 5]
+            rng.shuffle(parts)
+            kept = parts[: max(1, round(len(parts) * rng.choice([0.25, 0.8, 1.0])))]
+            for p in kept:
+                cut = rng.randrange(len(body) + 1)
+                body[cut:cut] = ["tapon", *p, "tapon"]
+            if sum(map(len, kept)) >= 30:
+                truth.add((d, i))
+        rows.append((d, " ".join(body)))
+    docs = spark.createDataFrame(rows, "d long, t string").repartition(4)
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in item_words.items()], "i long, x string")
+    kept_seeds = leaks.SENT_SEEDS
+    for bound in (kept_seeds, 0):
+        leaks.SENT_SEEDS = bound
+        try:
+            got = {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, "d", "t", items, "i", "x", seed=5, tile=5, coverage=0.5).collect()}
+        finally:
+            leaks.SENT_SEEDS = kept_seeds
+        assert truth <= got and len(got - truth) <= 0.05 * len(truth)  # a cut may fall into an earlier passage
+
+
 def test_tokens():
     assert count_tokens("hello world") == 2 and count_tokens("") == 0 and count_tokens("<|endoftext|>") > 1
     enc = encoding(VOCABULARY)[0]
