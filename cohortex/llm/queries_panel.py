@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortex.llm.clusters import describe_clusters, similar_groups, usual_levels
 from cohortex.llm.queries import VALID_SQL, panel, query, table
 from cohortex.llm.sampling import Sample, proportional_sample
-from cohortex.llm.sketches import medians, merge_sketches, percentiles, sketch_fields
+from cohortex.llm.sketches import median_jumps, merge_sketches, percentiles, sketch_fields
 from cohortex.llm.splits import leaking_entities, split_records
 from cohortex.llm.topn import top_n_banded
 from cohortex.staging import stage
@@ -160,11 +160,7 @@ SELECT foto_mes, campo FROM p WHERE abs(m - prev) > abs(prev) / 2"""
 )
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     v = stage(panel(spark, sf, "foto_mes", *AMOUNTS).where("foto_mes is not null"), "amounts")
-    months = v.select("foto_mes").distinct().crossJoin(spark.createDataFrame([(f,) for f in AMOUNTS], "campo string"))
-    m = medians(v, "foto_mes", AMOUNTS).select(F.col("grp").cast("int").alias("m"), "field", "median")
-    all_months = months.join(m, (F.col("foto_mes") == F.col("m")) & (F.col("campo") == F.col("field")), "left")
-    before = F.lag("median").over(Window.partitionBy("campo").orderBy("foto_mes"))
-    return all_months.withColumn("before", before).where(F.abs(F.col("median") - F.col("before")) > F.abs("before") / 2).select("foto_mes", "campo")
+    return median_jumps(v, "foto_mes", AMOUNTS, 0.5).withColumnRenamed("field", "campo")
 
 
 @query

@@ -111,7 +111,8 @@ def invert(sketch: np.ndarray, n: int, rank: float, lay: Layout, part: str = "mi
             prefix, parent = 2 * prefix, left
         else:
             prefix, rest, parent = 2 * prefix + 1, rest - left, max(parent - left, 0.0)
-    return float(decode(np.array([prefix]), lay.bits, part)[0])
+    value = float(decode(np.array([prefix]), lay.bits, part)[0])
+    return 0.0 if part == "mid" and abs(value) < 1e-300 else value  # the middle of the code that starts with zero
 
 
 def _pack(s: np.ndarray) -> bytes:
@@ -128,6 +129,9 @@ def _unpack_into(s: np.ndarray, b: bytes, sign: int = 1) -> None:
 
 HELD_CELLS = 24_000_000
 
+#: Values a task gathers before it adds them: every addition passes over all levels and rows of a sketch.
+HELD_VALUES = 1_000_000
+
 
 def sketch_fields(df: DataFrame, group: str, fields: list[str], lay: Layout = Layout(), weight: str | None = None) -> DataFrame:
     """One sketch per group and field: ``grp, field, n, cells`` (grp: the group as string, null groups as null).
@@ -142,6 +146,8 @@ def sketch_fields(df: DataFrame, group: str, fields: list[str], lay: Layout = La
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
+        waiting: dict[tuple, list] = {}
+        n = 0
         for batch in batches:
             for g, part in batch.groupby("grp", sort=False, dropna=False):
                 g = None if pd.isna(g) else g
@@ -149,20 +155,32 @@ def sketch_fields(df: DataFrame, group: str, fields: list[str], lay: Layout = La
                 for i, f in enumerate(fields):
                     x = part[f"f{i}"].to_numpy(dtype=np.float64)
                     ok = np.isfinite(x)
-                    if not ok.any():
-                        continue
-                    s = held.setdefault((g, f), [0, np.zeros(lay.size, np.int64)])
-                    add_values(s[1], x[ok], lay, w[ok])
-                    s[0] += int(w[ok].sum())
-                if len(held) * lay.size > HELD_CELLS:
-                    yield _frame(held)
-                    held = {}
+                    if ok.any():
+                        waiting.setdefault((g, f), []).append((x[ok], w[ok]))
+                        n += int(ok.sum())
+            if n >= HELD_VALUES:
+                yield from _add_waiting(held, waiting, lay)
+                n = 0
+        yield from _add_waiting(held, waiting, lay)
         if held:
             yield _frame(held)
 
     return merge_sketches(df.select(*cols).mapInPandas(build, SKETCH), lay)
 
 
+def _add_waiting(held: dict, waiting: dict, lay: Layout) -> Iterator[pd.DataFrame]:
+    """Move all waiting values into their sketches; hand the sketches on whenever they hold HELD_CELLS cells."""
+    for k in list(waiting):
+        xs, ws = zip(*waiting.pop(k))
+        x, w = np.concatenate(xs), np.concatenate(ws)
+        s = held.setdefault(k, [0, np.zeros(lay.size, np.int64)])
+        add_values(s[1], x, lay, w)
+        s[0] += int(w.sum())
+        if len(held) * lay.size > HELD_CELLS:
+            yield _frame(held)
+            held.clear()
+
+
 def _frame(held: dict) -> pd.DataFrame:
     return pd.DataFrame([(g, f, n, _pack(s)) for (g, f), (n, s) in held.items()], columns=["grp", "field", "n", "cells"])
 
@@ -227,57 +245,118 @@ def percentiles(sketches: DataFrame, ps: list[float], lay: Layout = Layout()) ->
 
 BINS = 4096
 
+#: Values of a group and field that may be ordered one by one; more are narrowed down first.
+FEW = 50_000
 
-def exact_medians(df: DataFrame, group: str, fields: list[str], brackets: DataFrame) -> DataFrame:
-    """Exact medians from the brackets ``lo, hi`` that ``percentiles`` gives for p = 0.5: ``grp, field, n, median, ok``.
-
-    Two passes over ``df`` (stage it).  The first counts, per group and field,
-    the values below the bracket and in each of BINS equal bins of it, and so
-    finds the bins with the middle places; the second counts the values of
-    those bins one by one.  No task sees more than a few thousand rows of a
-    group, ties being counted together.  ``ok`` is false where the bracket
-    misses the middle; the caller widens it.
+
+def _long(df: DataFrame, group: str, fields: list[str]) -> DataFrame:
+    """``grp, field, x`` of all finite values."""
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields])
+    long = df.select(F.col(group).cast("string").alias("grp"), F.explode(parts).alias("v")).select("grp", "v.*")
+    return long.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < F.lit(float("inf"))))
+
+
+def _with(long: DataFrame, small: DataFrame) -> DataFrame:
+    """``long`` with the row of ``small`` (keys ``bg, bf``) of its group and field, for those that have one; broadcast only when counted and small."""
+    b = F.broadcast(small) if small.count() <= 50_000 else small
+    return long.join(b, F.col("grp").eqNullSafe(F.col("bg")) & (F.col("field") == F.col("bf"))).drop("bg", "bf")
+
+
+def _narrow(long: DataFrame, brackets: DataFrame) -> DataFrame:
+    """``bg, bf, lo, hi, n, below, inside``: the values' range that holds the middle places, how many values lie below it and in it.
+
+    The values below each bracket, above it, and in each of BINS parts of it
+    (equal ones, or of equal ratio where the bracket spans orders of magnitude)
+    are counted map-side; the parts that hold the middle places make the new
+    range, whether the bracket held them or not.
     """
-    b = brackets.select(F.col("grp").alias("bg"), F.col("field").alias("bf"), "lo", "hi")
-    b = F.broadcast(b) if b.count() <= 50_000 else b
-    long = df.select(F.col(group).cast("string").alias("grp"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields])).alias("v")).select("grp", "v.*")
-    long = long.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < F.lit(float("inf"))))
-    same = lambda t: F.col("grp").eqNullSafe(F.col(f"{t}g")) & (F.col("field") == F.col(f"{t}f"))
-    inside = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * BINS), F.lit(0))
-    bin_ = F.when(F.col("x") < F.col("lo"), F.lit(-1)).when(F.col("x") > F.col("hi"), F.lit(BINS)).otherwise(F.least(inside, F.lit(BINS - 1))).cast("int")
-    binned = long.join(b, same("b")).select("grp", "field", "x", bin_.alias("bin"))
-    counts = binned.groupBy("grp", "field", "bin").agg(F.count(F.lit(1)).alias("c"))
-    whole = Window.partitionBy("grp", "field")
-    run = lambda *by: whole.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    r = counts.select("*", F.sum("c").over(whole).alias("n"), F.sum("c").over(run("bin")).alias("upto"))
+    scaled = lambda c: F.when(F.col("wide"), F.signum(c) * F.log1p(F.abs(c))).otherwise(F.col(c))  # noqa: E731  (never decreasing)
+    wide = F.col("hi") - F.col("lo") > 1e3 * (1 + F.least(F.abs("lo"), F.abs("hi")))
+    j = _with(long, brackets.select("bg", "bf", "lo", "hi").withColumn("wide", wide))
+    place = F.coalesce(F.floor(F.try_divide(scaled("x") - scaled("lo"), scaled("hi") - scaled("lo")) * BINS), F.lit(0))
+    part = F.when(F.col("x") < F.col("lo"), F.lit(-1)).when(F.col("x") > F.col("hi"), F.lit(BINS)).otherwise(F.greatest(F.lit(0), F.least(place, F.lit(BINS - 1)))).cast("int")
+    counts = j.groupBy("grp", "field", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("first"), F.max("x").alias("last"))
+    whole = Window.partitionBy("grp", "field")  # at most BINS + 2 rows
+    upto = F.sum("c").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    r = counts.select("*", F.sum("c").over(whole).alias("n"), upto.alias("upto"))
     k1, k2 = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    holds = lambda k: F.max(F.when((F.col("upto") - F.col("c") < k) & (k <= F.col("upto")), F.col("bin")))
-    middle = r.groupBy("grp", "field").agg(F.max("n").alias("n"), holds(k1).alias("b1"), holds(k2).alias("b2"), F.min(F.when(k1 <= F.col("upto"), F.col("upto") - F.col("c"))).alias("below"))
-    middle = stage(middle.withColumn("ok", (F.col("b1") >= 0) & (F.col("b2") < BINS)), "middle")
-    m = middle.where("ok").select(F.col("grp").alias("mg"), F.col("field").alias("mf"), "b1", "b2", "n", "below")
-    m = F.broadcast(m) if m.count() <= 50_000 else m
-    few = binned.join(m, same("m")).where(F.col("bin").between(F.col("b1"), F.col("b2"))).groupBy("grp", "field", "x").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("below").alias("below"))
-    v = few.select("*", (F.sum("c").over(run("x")) + F.col("below")).alias("upto"))
+    at = lambda k: (F.col("upto") - F.col("c") < k) & (k <= F.col("upto"))
+    pick = lambda k, c: F.max(F.when(at(k), c))
+    return r.groupBy(F.col("grp").alias("bg"), F.col("field").alias("bf")).agg(
+        pick(k1, F.col("first")).alias("lo"), pick(k2, F.col("last")).alias("hi"), F.max("n").alias("n"), pick(k1, F.col("upto") - F.col("c")).alias("below"), (pick(k2, F.col("upto")) - pick(k1, F.col("upto") - F.col("c"))).alias("inside")
+    )
+
+
+def exact_medians(df: DataFrame, group: str, fields: list[str], brackets: DataFrame) -> DataFrame:
+    """Exact medians of the groups and fields of ``brackets`` (``grp, field, lo, hi``, from ``percentiles`` for p = 0.5): ``grp, field, n, median``.
+
+    ``df`` is read once a step, stage it.  The brackets are narrowed down until
+    at most FEW values (or copies of one value) of a group and field are left,
+    which takes one step where a sketch's bracket is right, and some more where
+    it is not or where values heap up; only those few are ordered one by one.
+    So no task orders a whole group, however its values lie.
+    """
+    long = _long(df, group, fields)
+    todo = brackets.select(F.col("grp").alias("bg"), F.col("field").alias("bf"), "lo", "hi")
+    ready = None
+    for _ in range(100):
+        step = stage(_narrow(long, todo), "middle")
+        done = (F.col("inside") <= FEW) | (F.col("lo") == F.col("hi"))
+        ready = step.where(done) if ready is None else ready.unionByName(step.where(done))
+        todo = step.where(~done)
+        if todo.isEmpty():
+            break
+    else:
+        raise RuntimeError("medians were not narrowed down in 100 steps")
+    few = _with(long, stage(ready.drop("inside"), "ready")).where(F.col("x").between(F.col("lo"), F.col("hi"))).groupBy("grp", "field", "x").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("below").alias("below"))
+    upto = F.sum("c").over(Window.partitionBy("grp", "field").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))  # at most FEW rows
+    v = few.select("*", (upto + F.col("below")).alias("upto"))
     at = lambda k: F.max(F.when((F.col("upto") - F.col("c") < k) & (k <= F.col("upto")), F.col("x")))
-    found = v.groupBy("grp", "field").agg(((at(k1) + at(k2)) / 2).alias("median"))
-    f = found.select(F.col("grp").alias("mg"), F.col("field").alias("mf"), "median")
-    return middle.join(f, same("m"), "left").select("grp", "field", "n", "median", "ok")
+    k1, k2 = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    return v.groupBy("grp", "field").agg(F.max("n").alias("n"), ((at(k1) + at(k2)) / 2).alias("median"))
 
 
 def medians(df: DataFrame, group: str, fields: list[str], lay: Layout = Layout()) -> DataFrame:
-    """Exact medians of ``fields`` per group: ``grp, field, n, median``; ``df`` is read three times, stage it.
+    """Exact medians of ``fields`` per group: ``grp, field, n, median``; stage ``df``.  The sketches give brackets, the exact check reads the medians from them."""
+    return exact_medians(df, group, fields, stage(percentiles(sketch_fields(df, group, fields, lay), [0.5], lay), "brackets"))
+
+
+def _change(m, p, ratio: float):
+    """How far |m - p| is above ``ratio`` * |p|."""
+    return F.abs(m - p) - ratio * F.abs(p)
+
+
+def median_jumps(df: DataFrame, group: str, fields: list[str], ratio: float, lay: Layout = Layout()) -> DataFrame:
+    """``group, field`` of the medians that differ from the median of the preceding group by more than ``ratio`` times its absolute value.
+
+    group: an integer column; the preceding group is the one before in order
+    among those that have rows.  Where either has no value there is no jump.
 
-    The sketches give brackets, the exact check reads the medians from them.
-    Where a bracket misses the middle (its probability is small, not zero) the
-    check is run once more over all values of that group.
+    The sketches decide: a median lies in the bracket of its stated rank error,
+    and where all medians in the two brackets jump, or none does, that is the
+    answer.  Only pairs of groups that the brackets leave open are measured
+    exactly, by ``exact_medians``.  Stage ``df``.
     """
     brackets = stage(percentiles(sketch_fields(df, group, fields, lay), [0.5], lay), "brackets")
-    got = stage(exact_medians(df, group, fields, brackets), "medians")
-    missed = got.where("not ok").select("grp", "field", F.lit(-1.7976931348623157e308).alias("lo"), F.lit(1.7976931348623157e308).alias("hi"))
-    out = got.where("ok")
-    if not missed.isEmpty():
-        span = df.select(F.col(group).cast("string").alias("g"), F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("x")) for f in fields])).alias("v")).select("g", "v.*")
-        span = span.where(~F.isnan("x") & (F.abs("x") < F.lit(float("inf")))).groupBy("g", "f").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-        wide = missed.drop("lo", "hi").join(span, F.col("grp").eqNullSafe(F.col("g")) & (F.col("field") == F.col("f"))).select("grp", "field", "lo", "hi")
-        out = out.unionByName(exact_medians(df, group, fields, wide))
-    return out.select("grp", "field", "n", "median")
+    groups = df.select(F.col(group).cast("string").alias("grp")).where("grp is not null").distinct()
+    every = groups.withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields])))
+
+    def paired(t: DataFrame, *columns: str) -> DataFrame:
+        before = Window.partitionBy("field").orderBy(F.col("grp").cast("long"))  # one row a group
+        j = every.join(t.select("grp", "field", *columns), ["grp", "field"], "left")
+        return j.select("*", F.lag("grp").over(before).alias("p_grp"), *[F.lag(c).over(before).alias(f"p_{c}") for c in columns])
+
+    b = paired(brackets, "lo", "hi").where("lo is not null and p_lo is not null")
+    clamp = lambda x, lo, hi: F.greatest(F.col(lo), F.least(F.col(hi), x))
+    # the change is linear between these points, so its extremes over both brackets are among them
+    ps = [F.col("p_lo"), F.col("p_hi"), clamp(F.lit(0.0), "p_lo", "p_hi"), clamp(F.col("lo"), "p_lo", "p_hi"), clamp(F.col("hi"), "p_lo", "p_hi")]
+    all_ = [_change(m, p, ratio) for p in ps for m in (F.col("lo"), F.col("hi"), clamp(p, "lo", "hi"))]
+    judged = stage(b.select("grp", "p_grp", "field", (F.least(*all_) > 0).alias("surely"), (F.greatest(*all_) > 0).alias("maybe")), "judged")
+    sure = judged.where("surely").select("grp", "field")
+    unclear = judged.where("maybe and not surely")
+    if not unclear.isEmpty():
+        need = unclear.select("grp", "field").unionByName(unclear.select(F.col("p_grp").alias("grp"), "field")).distinct()
+        exact = exact_medians(df, group, fields, brackets.join(need, ["grp", "field"]))
+        open_ = paired(exact, "median").join(unclear.select("grp", "field"), ["grp", "field"], "left_semi")
+        sure = sure.unionByName(open_.where(_change(F.col("median"), F.col("p_median"), ratio) > 0).select("grp", "field"))
+    return sure.select(F.col("grp").cast(dict(df.dtypes)[group]).alias(group), "field")

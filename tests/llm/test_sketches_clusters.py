@@ -53,6 +53,40 @@ def test_medians_are_exact(spark):
     assert medians(two, "g", ["x"]).first()["median"] == 2.5
 
 
+def test_medians_where_brackets_miss_or_values_heap_up(spark, monkeypatch):
+    from cohortex.llm import sketches
+
+    monkeypatch.setattr(sketches, "FEW", 20)
+    rng = random.Random(12)
+    values = {"1": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(501)], "2": [5.0] * 400 + [rng.gauss(5, 1e-6) for _ in range(300)], "3": [0.0] * 10, "4": [1.0, 2.0], "5": [rng.lognormvariate(8, 3) for _ in range(1000)]}
+    df = spark.createDataFrame([(int(g), x) for g, xs in values.items() for x in xs], "g int, x double")
+    wrong = spark.createDataFrame([(g, "x", lo, hi) for g, (lo, hi) in {"1": (-1e308, 1e308), "2": (70.0, 80.0), "3": (1.0, 2.0), "4": (-3.0, 1.5), "5": (0.0, 1.0)}.items()], "grp string, field string, lo double, hi double")
+    got = {r["grp"]: (r["n"], r["median"]) for r in sketches.exact_medians(df, "g", ["x"], wrong).collect()}
+    assert got == {g: (len(xs), pytest.approx(median(xs), rel=1e-12)) for g, xs in values.items()}
+
+
+def test_jumps_against_exact_medians(spark, monkeypatch):
+    from cohortex.llm import sketches
+
+    rng = random.Random(13)
+    rows, centre = [], {1: 100.0, 2: 149.0, 3: 75.5, 4: -75.0, 5: -74.0, 7: 0.0, 8: 0.0, 9: 3.0, 10: None, 11: 3.0, 12: 4.4999, 13: 6.7499}
+    for g, c in centre.items():
+        rows += [(g, None if c is None else c + rng.gauss(0, 1.0) * (abs(c) > 0), float(g)) for _ in range(301)]
+    rows.append((None, 1e9, 1e9))
+    df = spark.createDataFrame(rows, "g int, x double, y double").withColumn("field", F.lit("clash"))
+    med = {(g, f): median([r[k] for r in rows if r[0] == g]) for g in centre for k, f in ((1, "x"), (2, "y")) if g != 10 or f == "y"}
+    want = set()
+    for f in ("x", "y"):
+        for p, g in zip(list(centre), list(centre)[1:]):
+            if (g, f) in med and (p, f) in med and abs(med[g, f] - med[p, f]) > abs(med[p, f]) / 2:
+                want.add((g, f))
+    measured = []
+    monkeypatch.setattr(sketches, "exact_medians", lambda d, g, f, b, keep=sketches.exact_medians: measured.append(b.count()) or keep(d, g, f, b))
+    got = {(r["g"], r["field"]) for r in sketches.median_jumps(df, "g", ["x", "y"], 0.5).collect()}
+    assert got == want and 0 < sum(measured) < 2 * len(centre)
+    assert sketches.median_jumps(df.limit(0), "g", ["x"], 0.5).count() == 0
+
+
 def test_sketches_merge_and_forget(spark):
     df, _ = frame(spark)
     whole = {(r["grp"], r["field"]): (r["n"], bytes(r["cells"])) for r in sketch_fields(df, "g", ["x"]).collect()}
