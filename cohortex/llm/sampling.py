@@ -54,23 +54,23 @@ def reservoirs(df: DataFrame, category: str, key: str, goals: dict[str, Goal], f
         lowest: dict[str, np.ndarray] = {}
         total = 0
         for batch in batches:
-            parts = dict(tuple(batch.groupby("category", sort=False)))
-            total += len(batch)
-            for cat, part in parts.items():
-                seen[cat] = seen.get(cat, 0) + len(part)
+            codes, cats = pd.factorize(batch["category"])
+            u, total = batch["u"].to_numpy(), total + len(batch)
+            limit = np.full(len(cats), -1.0)
+            for k, (cat, n) in enumerate(zip(cats, np.bincount(codes))):
+                seen[cat] = seen.get(cat, 0) + int(n)
                 g = goals.get(cat)
                 if g is None:
                     continue
-                u = part["u"].to_numpy()
                 need = (1.25 + 5 / np.sqrt(seen[cat])) * g.share * fraction * total / seen[cat] if total >= SETTLED else 1.0
                 if g.minimum:
-                    few = np.sort(np.concatenate((lowest.get(cat, np.zeros(0)), u)))[: g.minimum]
+                    few = np.sort(np.concatenate((lowest.get(cat, np.zeros(0)), u[codes == k])))[: g.minimum]
                     lowest[cat] = few
                     need = max(need, few[-1] if len(few) == g.minimum else 1.0)
-                bound[cat] = min(bound.get(cat, 1.0), need)
-                kept = part[u <= bound[cat]]
-                if len(kept):
-                    yield kept.assign(seen=pd.array([None] * len(kept), dtype="Int64"))
+                limit[k] = bound[cat] = min(bound.get(cat, 1.0), need)
+            kept = batch[u <= limit[codes]]
+            if len(kept):
+                yield kept.assign(seen=pd.array([None] * len(kept), dtype="Int64"))
         for cat, n in seen.items():
             yield pd.DataFrame({"category": [cat], "key": pd.array([None], dtype="Int64"), "u": [bound.get(cat, 1.0)], "seen": pd.array([n], dtype="Int64")})
 
