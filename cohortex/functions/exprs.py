@@ -17,9 +17,10 @@ def safe_sum(*cols: Column | str) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(_c(c), F.lit(0)) for c in cols])
 
 
-def safe_ratio(a: Column | str, b: Column | str) -> Column:
-    """a / b; null where b is 0 or either is null."""
-    return _c(a) / F.nullif(_c(b).cast("double"), F.lit(0.0))
+def safe_ratio(a: Column | str, b: Column | str, null_as_zero: bool = False) -> Column:
+    """a / b; null where b is 0 or either is null; with ``null_as_zero`` a null numerator is 0."""
+    top = F.coalesce(_c(a), F.lit(0)) if null_as_zero else _c(a)
+    return top / F.nullif(_c(b).cast("double"), F.lit(0.0))
 
 
 def delta_pct(now: Column | str, before: Column | str) -> Column:
@@ -60,27 +61,37 @@ def is_infinite(x: Column | str) -> Column:
     return F.abs(_c(x)) == F.lit(float("inf"))
 
 
+#: How entity and period are joined into one number, and the constants of splitmix64.
+ENTITY_FACTOR = 1_000_003
+GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
 def splitmix64_uniform(entity: Column | str, period: Column | str, seed: int) -> Column:
-    """A number in [0, 1) from entity, period and seed by the splitmix64 finaliser, exact in 64 bits.
+    """A number in [0, 1) from entity, period and seed: splitmix64 of (entity * ENTITY_FACTOR + period) xor seed, its upper 53 bits.
 
-    Its products wrap modulo 2**64, which ANSI longs refuse, so it runs in
-    Arrow batches on unsigned integers.  Null where entity or period is null.
+    Products wrap modulo 2**64, which ANSI longs refuse, so it runs in Arrow
+    batches on unsigned integers.  Null where entity or period is null.
     """
     import numpy as np
     import pandas as pd
 
-    golden = 0x9E3779B97F4A7C15
-
     def draw(e: pd.Series, p: pd.Series) -> pd.Series:
         known = (e.notna() & p.notna()).to_numpy()
-        x = e.fillna(0).to_numpy(np.int64).view(np.uint64)
-        y = p.fillna(0).to_numpy(np.int64).view(np.uint64)
+        a, b = (c.fillna(0).to_numpy(np.int64).view(np.uint64) for c in (e, p))
         with np.errstate(over="ignore"):
-            z = (x ^ (y * np.uint64(golden))) + np.uint64((seed * golden + golden) % (1 << 64))
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z = z ^ (z >> np.uint64(31))
-        return pd.Series(np.where(known, (z >> np.uint64(11)).astype(np.float64) / float(1 << 53), np.nan)).where(known)
+            z = ((a * np.uint64(ENTITY_FACTOR) + b) ^ np.uint64(seed)) + np.uint64(GOLDEN)
+            for shift, factor in ((30, MIX_1), (27, MIX_2)):
+                z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+            z ^= z >> np.uint64(31)
+        return pd.Series((z >> np.uint64(11)) * 2.0**-53).where(known)
 
     draw.__annotations__ = {"e": pd.Series, "p": pd.Series, "return": pd.Series}
     return F.pandas_udf(draw, "double")(_c(entity).cast("long"), _c(period).cast("long"))
+
+
+def normal(*keys: Column | str, seed: int = 0) -> Column:
+    """A standard normal draw from the hash of ``keys``, the same on every run (Box and Muller's transform of two uniform ones)."""
+    from cohortex.operators.ranking import uniform
+
+    radius = F.sqrt(-2 * F.log(1 - uniform(*keys, seed=2 * seed)))
+    return radius * F.cos(2 * F.pi() * uniform(*keys, seed=2 * seed + 1))

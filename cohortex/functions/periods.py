@@ -20,28 +20,29 @@ def month_key(index: Column | str) -> Column:
     return (F.floor(c / 12) * 100 + c % 12 + 1).cast("int")
 
 
+def _number(yyyymm: int) -> int:
+    year, month = divmod(yyyymm, 100)
+    return 12 * year + month - 1
+
+
+def _keys(numbers: range) -> list[int]:
+    return [100 * (i // 12) + i % 12 + 1 for i in numbers]
+
+
 def offset(yyyymm: int, n: int) -> int:
-    """``yyyymm`` moved by ``n`` calendar months."""
-    i = yyyymm // 100 * 12 + yyyymm % 100 - 1 + n
-    return i // 12 * 100 + i % 12 + 1
+    """The key ``n`` calendar months after ``yyyymm``."""
+    at = _number(yyyymm) + n
+    return _keys(range(at, at + 1))[0]
 
 
 def month_range(first: int, last: int) -> list[int]:
-    """All periods from ``first`` to ``last``, both included; empty when reversed."""
-    out = []
-    while first <= last:
-        out.append(first)
-        first = offset(first, 1)
-    return out
+    """Keys of all months from ``first`` to ``last``, both included; none if they are the wrong way round."""
+    return _keys(range(_number(first), _number(last) + 1))
 
 
 def derive_folds(target: int, gap: int, n_train: int, n_folds: int) -> list[dict]:
-    """Folds before ``target``: valid = target - gap - k, train = the ``n_train`` months ending ``gap`` before valid."""
-    if gap < 1 or n_train < 1 or n_folds < 1:
+    """``n_folds`` folds before ``target``, the latest first: a validation month ``gap`` or more before the target, and the ``n_train`` months that end ``gap`` before it."""
+    if min(gap, n_train, n_folds) < 1:
         raise ValueError("gap, n_train and n_folds must be at least 1")
-    folds = []
-    for k in range(n_folds):
-        valid = offset(target, -gap - k)
-        end = offset(valid, -gap)
-        folds.append({"valid": valid, "train": month_range(offset(end, 1 - n_train), end)})
-    return folds
+    latest = _number(target) - gap
+    return [{"valid": _keys(range(v, v + 1))[0], "train": _keys(range(v - gap - n_train + 1, v - gap + 1))} for v in range(latest, latest - n_folds, -1)]

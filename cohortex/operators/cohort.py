@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortex.functions.periods import month_index
+from cohortex.operators.ranking import _join, quantiles
+from cohortex.staging import stage
 
 
 def _long(df: DataFrame, keep: list[str], fields: list[str]) -> DataFrame:
@@ -23,12 +25,72 @@ def cohens_d(df: DataFrame, group: str, a, b, fields: list[str]) -> DataFrame:
     return s.select("field", d.alias("d")).withColumn("magnitude", F.when(size >= 0.8, "grande").when(size >= 0.5, "mediano").when(size.isNotNull(), "chico"))
 
 
-def lifts(df: DataFrame, group: str, fields: list[str], accuracy: int | None = None) -> DataFrame:
-    """``group, field, lift``: share of a group's values above the population's median, over a half."""
-    med = F.percentile_approx("x", 0.5, accuracy) if accuracy else F.median("x")
-    long = _long(df, [group], fields)
-    m = long.groupBy("field").agg(med.alias("m"))
-    return long.join(F.broadcast(m), "field").where("x is not null").groupBy(group, "field").agg((F.avg((F.col("x") > F.col("m")).cast("double")) / 0.5).alias("lift"))  # one row a field
+def lifts(df: DataFrame, group: str, fields: list[str], accuracy: int | None = 10_000, higher: bool = True) -> DataFrame:
+    """``group, field, lift``: share of a group's values above (or below) the population's median, over a half; accuracy: as in ``quantiles``."""
+    long = _long(df, [group], fields).where("x is not null")
+    m = quantiles(long, ["field"], "x", [0.5], accuracy).select("field", F.col("q")[0].alias("m"))
+    beyond = F.col("x") > F.col("m") if higher else F.col("x") < F.col("m")
+    return long.join(F.broadcast(m), "field").groupBy(group, "field").agg((F.avg(beyond.cast("double")) / 0.5).alias("lift"))  # one row a field
+
+
+def profile_lifts(df: DataFrame, group: str, binary: list[str], higher: list[str], lower: list[str], accuracy: int | None = 10_000) -> DataFrame:
+    """``group, field, lift`` of fields of every kind: the mean over the population's for ``binary`` ones, ``lifts`` above or below the median for the others."""
+    long = _long(df, [group], binary).where("x is not null")
+    all_ = long.groupBy("field").agg(F.avg("x").alias("base"))
+    out = long.groupBy(group, "field").agg(F.avg("x").alias("rate")).join(F.broadcast(all_), "field").select(group, "field", F.try_divide(F.col("rate"), F.col("base")).alias("lift"))  # one row a field
+    for fields, up in ((higher, True), (lower, False)):
+        out = out.unionByName(lifts(df, group, fields, accuracy, up)) if fields else out
+    return out
+
+
+def rule_lifts(df: DataFrame, rules: dict[str, str], positive: str, least: int = 30) -> DataFrame:
+    """``alert_rules`` with at least ``least`` rows and their ``odds``: the rate where a rule holds over the rate where it does not."""
+    r = alert_rules(df, rules, positive)
+    tot = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(positive).cast("int")).alias("pos"))
+    j = r.where(F.col("n") >= least).crossJoin(F.broadcast(tot))  # one row
+    return j.withColumn("odds", F.try_divide(F.col("precision"), (F.col("pos") - F.col("hits")) / (F.col("rows") - F.col("n")))).drop("rows", "pos")
+
+
+def risk_score(df: DataFrame, key: list[str], rules: dict[str, tuple[str, int]], levels: list[tuple[int, str]]) -> DataFrame:
+    """``key, score, level``: points of the rules (SQL condition, points) that hold, and the name of the highest level whose points are reached."""
+    total = F.lit(0)
+    for condition, points in rules.values():
+        total = total + F.when(F.expr(condition), points).otherwise(0)
+    level = F.lit(None).cast("string")
+    for points, name in sorted(levels):
+        level = F.when(F.col("score") >= points, name).otherwise(level)
+    return df.withColumn("score", total.cast("int")).withColumn("level", level).select(*key, "score", "level")
+
+
+def anchor_products(df: DataFrame, products: list[str], positive: str) -> DataFrame:
+    """``product, holders, others, rate_holders, rate_others, ratio``: the rate of positives with and without each product (a count above 0)."""
+    has = _long(df, [positive], products).select("field", F.coalesce(F.col("x") > 0, F.lit(False)).alias("has"), F.col(positive).cast("double").alias("y"))
+    g = has.groupBy(F.col("field").alias("product")).agg(
+        F.sum(F.col("has").cast("long")).alias("holders"), F.sum((~F.col("has")).cast("long")).alias("others"), F.avg(F.when(F.col("has"), F.col("y"))).alias("rate_holders"), F.avg(F.when(~F.col("has"), F.col("y"))).alias("rate_others")
+    )
+    return g.withColumn("ratio", F.try_divide(F.col("rate_holders"), F.col("rate_others")))
+
+
+def offer_sizes(df: DataFrame, segment: str, offers: dict[str, str], value: str) -> DataFrame:
+    """``segment, offer, rows, value``: how many rows of each segment lack what an offer sells (SQL condition), and what they are worth."""
+    parts = F.array(*[F.struct(F.lit(n).alias("offer"), F.coalesce(F.expr(c), F.lit(False)).alias("fits")) for n, c in offers.items()])
+    long = df.select(segment, value, F.explode(parts).alias("v")).select(segment, value, "v.*").where("fits")
+    return long.groupBy(segment, "offer").agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("value"))
+
+
+def cohort_profit(df: DataFrame, cohort: str, entity: str, period: str, amount: str, loyal: Column, skip: int = 2) -> DataFrame:
+    """``cohort, entities, monthly, yearly, total, ratio, category``: what an amount brings per cohort without each entity's last ``skip`` periods, against the loyal rows of ``df``.
+
+    Cohorts are the rows where ``loyal`` is not true.  ratio: yearly mean over
+    that of the loyal; categories end at .5, 1 and 1.5 (right-closed).
+    """
+    kept = skip_last_periods(df.where(~F.coalesce(loyal, F.lit(False))), entity, period, skip)
+    g = kept.groupBy(cohort).agg(F.countDistinct(entity).alias("entities"), F.avg(amount).alias("monthly"))
+    base = df.where(loyal).agg((F.avg(amount) * 12).alias("base"))
+    j = g.crossJoin(F.broadcast(base)).withColumn("yearly", F.col("monthly") * 12)  # one row
+    j = j.select(cohort, "entities", "monthly", "yearly", (F.col("yearly") * F.col("entities")).alias("total"), F.try_divide(F.col("yearly"), F.col("base")).alias("ratio"))
+    r = F.col("ratio")
+    return j.withColumn("category", F.when(r <= 0.5, "Bajo valor").when(r <= 1.0, "Medio-bajo").when(r <= 1.5, "Medio-alto").when(r.isNotNull(), "Alto valor"))
 
 
 def binary_lift(df: DataFrame, group: str, condition: Column) -> DataFrame:
@@ -62,13 +124,14 @@ def relative_period(df: DataFrame, entity: str, period: str) -> DataFrame:
     return df.withColumn("rel", i - (F.max(i).over(Window.partitionBy(entity)) + 1))
 
 
-def trends(df: DataFrame, by: list[str], field: str, band: str = "ic95") -> DataFrame:
-    """``by, n, centre, low, high``: mean and band (``ic95``, ``desvio`` or, around the median, ``iqr``), clipped to the observed range."""
-    g = df.where(F.col(field).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(field).alias("mean"), F.stddev_samp(field).alias("sd"), F.min(field).alias("lo"), F.max(field).alias("hi"), F.percentile(field, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    )
+def trends(df: DataFrame, by: list[str], field: str, band: str = "ic95", accuracy: int | None = 10_000) -> DataFrame:
+    """``by, n, centre, low, high``: mean and band (``ic95``, ``desvio`` or, around the median, ``iqr``), clipped to the observed range; accuracy: as in ``quantiles``."""
+    known = df.where(F.col(field).isNotNull())
     if band == "iqr":
-        return g.select(*by, "n", F.col("q")[1].alias("centre"), F.col("q")[0].alias("low"), F.col("q")[2].alias("high"))
+        d = known.select(*by, field) if accuracy else stage(known.select(*by, field), "trend")
+        q, n = quantiles(d, by, field, [0.25, 0.5, 0.75], accuracy), d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        return _join(n, q, by).select(*by, "n", F.col("q")[1].alias("centre"), F.col("q")[0].alias("low"), F.col("q")[2].alias("high"))
+    g = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(field).alias("mean"), F.stddev_samp(field).alias("sd"), F.min(field).alias("lo"), F.max(field).alias("hi"))
     half = F.coalesce(1.96 * F.col("sd") / F.sqrt("n") if band == "ic95" else F.col("sd"), F.lit(0.0))
     return g.select(*by, "n", F.col("mean").alias("centre"), F.greatest(F.col("mean") - half, "lo").alias("low"), F.least(F.col("mean") + half, "hi").alias("high"))
 
@@ -87,17 +150,16 @@ def group_mix(df: DataFrame, period: str, group: str) -> DataFrame:
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(period)))  # one row per period and group
 
 
-def box(df: DataFrame, group: str, field: str) -> DataFrame:
-    """``group, min, q1, median, q3, max``."""
-    q = F.percentile(field, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = df.where(F.col(field).isNotNull()).groupBy(group).agg(F.min(field).alias("min"), q.alias("q"), F.max(field).alias("max"))
-    return g.select(group, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
+def box(df: DataFrame, group: str, field: str, accuracy: int | None = 10_000) -> DataFrame:
+    """``group, min, q1, median, q3, max``; accuracy: as in ``quantiles``."""
+    g = quantiles(df.select(group, F.col(field).cast("double").alias(field)), [group], field, [0.0, 0.25, 0.5, 0.75, 1.0], accuracy)
+    return g.select(group, *[F.col("q")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))])
 
 
-def histogram(df: DataFrame, field: str, bins: int = 30, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """``bin, n``: equal bins between two percentiles, the last one closed; values outside are left out."""
+def histogram(df: DataFrame, field: str, bins: int = 30, lo: float = 0.01, hi: float = 0.99, accuracy: int | None = 10_000) -> DataFrame:
+    """``bin, n``: equal bins between two percentiles, the last one closed; values outside are left out; accuracy: as in ``quantiles``."""
     x = F.col(field).cast("double")
-    q = df.where(x.isNotNull()).agg(F.percentile(x, F.array(F.lit(lo), F.lit(hi))).alias("q")).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
+    q = quantiles(df.select(x.alias("x")), [], "x", [lo, hi], accuracy).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
     d = df.select(x.alias("x")).crossJoin(F.broadcast(q)).where(F.col("x").between(F.col("a"), F.col("b")))  # one row
     k = F.least(F.floor(F.try_divide(F.col("x") - F.col("a"), (F.col("b") - F.col("a"))) * bins), F.lit(bins - 1))
     return d.select(F.coalesce(k, F.lit(0)).cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

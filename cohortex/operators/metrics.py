@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortex.operators.ranking import running_by_order, with_ranks
+from cohortex.operators.ranking import _join, _small, running_by_order, with_ranks
+from cohortex.staging import stage
+
 
 def gain_of(positive: Column | str, hit: int, miss: int) -> Column:
     """What sending one row brings: ``hit`` for a positive, ``-miss`` for any other."""
@@ -19,26 +21,41 @@ def gain_at_threshold(df: DataFrame, groups: list[str], score: str, positive: st
 
 
 def gain_curve(df: DataFrame, groups: list[str], score: str, positive: str, tie: str, hit: int, miss: int) -> DataFrame:
-    """``groups, k, gain``: gain of sending the k best, best score first, ties by ``tie``; rows without a score must be filtered before."""
-    g = df.withColumn("__g", gain_of(positive, hit, miss))
+    """``groups, k, gain``: gain of sending the k best, best score first, ties by ``tie``; a null or NaN score is an error."""
+    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    g = df.withColumns({"__g": gain_of(positive, hit, miss), score: F.when(known, F.col(score)).otherwise(F.raise_error(F.lit("a score is null or NaN")))})
     r = running_by_order(g, groups, [F.col(score).desc(), F.col(tie).asc()], ["__g"])
     return r.select(*groups, F.col("pos").cast("long").alias("k"), F.col("cum___g").cast("long").alias("gain"))
 
 
 def plateau(curve: DataFrame, groups: list[str], window: int = 401) -> DataFrame:
-    """``groups, k, smoothed``: centred means over full windows only; an even window is made odd.
+    """``groups, k, smoothed``: centred means over full windows only.
 
-    Means are differences of prefix sums joined at distance ``window``, so the
-    curve is not gathered in one task; the places k are 1, 2, 3, ...
+    The window is no longer than the curve, and one less where it is even.
+    Means are differences of prefix sums joined at the distance of the window,
+    so the curve is not gathered in one task; the places k are 1, 2, 3, ...
     """
-    w = window if window % 2 else window + 1
-    c = running_by_order(curve, groups, [F.col("k").asc()], ["gain"]).select(*groups, "k", F.col("cum_gain").alias("upto"))
-    low = c.select(*[F.col(g).alias(f"__{g}") for g in groups], (F.col("k") + w).alias("__k"), F.col("upto").alias("before"))
+    c = stage(running_by_order(curve, groups, [F.col("k").asc()], ["gain"]).select(*groups, "k", F.col("cum_gain").alias("upto")), "prefix")
+    w = F.greatest(F.lit(1), F.least(F.lit(window).cast("long"), F.max("k")))
+    c = _join(c, _small(c.groupBy(*groups).agg((w - (w + 1) % 2).alias("w"))), groups) if groups else c.crossJoin(F.broadcast(c.agg((w - (w + 1) % 2).alias("w"))))  # one row
+    low = c.select(*[F.col(g).alias(f"__{g}") for g in groups], (F.col("k") + F.col("w")).alias("__k"), F.col("upto").alias("before"))
     cond = F.col("k") == F.col("__k")
     for g in groups:
         cond = cond & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    full = c.where(F.col("k") >= w).join(low, cond, "left")
-    return full.select(*groups, (F.col("k") - w // 2).cast("long").alias("k"), ((F.col("upto") - F.coalesce("before", F.lit(0))) / float(w)).alias("smoothed"))
+    full = c.where("k >= w").join(low, cond, "left")
+    return full.select(*groups, (F.col("k") - F.floor(F.col("w") / 2)).cast("long").alias("k"), ((F.col("upto") - F.coalesce("before", F.lit(0))) / F.col("w").cast("double")).alias("smoothed"))
+
+
+def trial_objective(folds: DataFrame, groups: list[str], gain: str, rows: str) -> DataFrame:
+    """``groups, objective``: mean gain of the folds, each brought to the size of a mean fold.  folds: one row per fold with its plateau gain and number of rows."""
+    return folds.groupBy(*groups).agg((F.avg(F.try_divide(F.col(gain).cast("double"), F.col(rows).cast("double"))) * F.avg(rows)).alias("objective"))
+
+
+def score_summary(df: DataFrame, groups: list[str], score: str) -> DataFrame:
+    """``groups, n, min, max, mean, p50, p90, p99``: a score table in one line; the percentiles are of rank error 1 / 10,000."""
+    q = F.percentile_approx(score, [0.5, 0.9, 0.99], 10_000)
+    g = df.groupBy(*groups).agg(F.count(score).alias("n"), F.min(score).alias("min"), F.max(score).alias("max"), F.avg(score).alias("mean"), q.alias("q"))
+    return g.select(*groups, "n", "min", "max", "mean", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((50, 90, 99))])
 
 
 def best_cut(smoothed: DataFrame, groups: list[str]) -> DataFrame:
@@ -47,6 +64,12 @@ def best_cut(smoothed: DataFrame, groups: list[str]) -> DataFrame:
     return top.select(*groups, F.col("t.smoothed").alias("smoothed"), (-F.col("t.k")).cast("long").alias("k"))
 
 
+def auc_scan(df: DataFrame, groups: list[str], score: str, positive: str, least: int = 30) -> DataFrame:
+    """``auc`` of single variables with their ``direction`` (1: higher is likelier positive, -1: lower) and ``strength``, the AUC in that direction; groups with fewer than ``least`` rows of a class are left out."""
+    a = auc(df, groups, score, positive).where((F.col("positives") >= least) & (F.col("negatives") >= least))
+    return a.select("*", F.when(F.col("auc") >= 0.5, 1).otherwise(-1).alias("direction"), F.greatest(F.col("auc"), 1 - F.col("auc")).alias("strength"))
+
+
 def auc(df: DataFrame, groups: list[str], score: str, positive: str) -> DataFrame:
     """``groups, auc, positives, negatives`` by rank sums with ties averaged; null where a class is missing."""
     d = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
@@ -100,9 +123,21 @@ def top_n(scores: DataFrame, entity: str, score: str, n: int) -> DataFrame:
     return scores.orderBy(F.col(score).desc(), F.col(entity).asc()).limit(n)
 
 
-def auto_cut(optimal: list[float], target_rows: int, valid_rows: list[int], step: int = 500) -> int:
-    """Median of the folds' best cuts, each scaled to the target's size, rounded to ``step`` (half to even), at least ``step``."""
+def auto_cut(optimal: list[float], target_rows: int, valid_rows: int, step: int = 500) -> int:
+    """The median of the folds' best cuts, scaled to the target's size, rounded to ``step`` (half to even), at least ``step``."""
     from statistics import median
 
-    scaled = median(o * target_rows / v for o, v in zip(optimal, valid_rows))
-    return max(step, int(round(scaled / step)) * step)
+    if not optimal or target_rows < 1 or valid_rows < 1:
+        raise ValueError("the best cuts of the folds and both sizes are needed")
+    return max(step, round(median(optimal) * target_rows / valid_rows / step) * step)
+
+
+def resolve_cuts(wanted: str | int | list[int], optimal: list[float] | None = None, target_rows: int = 0, valid_rows: int = 0) -> list[int]:
+    """The cuts to send: one number, a list (in order, each once), or ``auto``."""
+    if isinstance(wanted, int):
+        return [wanted]
+    if isinstance(wanted, list):
+        return sorted(set(wanted))
+    if wanted != "auto":
+        raise ValueError(f"unknown cut {wanted!r}: a number, a list or 'auto'")
+    return [auto_cut(optimal or [], target_rows, valid_rows)]

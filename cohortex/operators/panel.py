@@ -39,7 +39,7 @@ def churn_target(fact: DataFrame, entity: str, period: str, calendar: str = "obs
     p = dense_panel(fact.select(entity, period).distinct(), entity, period, calendar)
     p = p.select(entity, period, "present", F.lead("present", 1).over(w).alias("next"), F.lead("present", 2).over(w).alias("after"))
     stay, one, two = labels
-    target = F.when(F.col("after") == 1, stay).when((F.col("next") == 1) & (F.col("after") == 0), two).when((F.col("next") == 0) & (F.col("after") == 0), one).when(F.col("next") == 0, one)
+    target = F.when(F.col("after") == 1, stay).when((F.col("next") == 1) & (F.col("after") == 0), two).when(F.col("next") == 0, one)
     return p.where("present = 1").select(entity, period, target.alias("target"))
 
 

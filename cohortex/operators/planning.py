@@ -19,16 +19,36 @@ def is_prime(n: int) -> bool:
     return True
 
 
-def seeds(given: list[int], n: int) -> list[int]:
-    """``n`` seeds: the given primes, then the primes above the largest of them; a given seed that is not prime is an error."""
-    if bad := [s for s in given if not is_prime(s)]:
-        raise ValueError(f"not prime: {bad}")
-    out, at = list(given[:n]), max(given, default=1)
-    while len(out) < n:
-        at += 1
-        if is_prime(at):
-            out.append(at)
-    return out
+#: The range that seeds must come from.
+LOWEST_SEED, HIGHEST_SEED = 100_003, 999_983
+
+
+def check_seed(seed: int) -> None:
+    """Raise unless ``seed`` is a prime in the allowed range."""
+    if isinstance(seed, bool) or not isinstance(seed, int):
+        raise TypeError(f"a seed must be an integer, not {seed!r}")
+    if not (LOWEST_SEED <= seed <= HIGHEST_SEED and is_prime(seed)):
+        raise ValueError(f"{seed} is no prime between {LOWEST_SEED} and {HIGHEST_SEED}")
+
+
+def seeds(given: list[int], n: int, master: int = 0) -> list[int]:
+    """``n`` different seeds: the given ones, in order, then primes of the range drawn with ``master``; longer lists extend shorter ones."""
+    import random
+
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    for s in given:
+        check_seed(s)
+    more = n - len(given)
+    if more <= 0:
+        return list(given[:n])
+    others = [p for p in range(LOWEST_SEED, HIGHEST_SEED + 1) if p not in given and is_prime(p)]
+    return [*given, *random.Random(master).sample(others, more)]
+
+
+def min_data_for_all_rows(min_data: int, rate: float) -> int:
+    """A leaf's minimum tuned on a part ``rate`` of the rows, for all of them; unchanged from rate 1 on, at least 1."""
+    return max(1, round(min_data / rate)) if rate < 1 else min_data
 
 
 def scaled_min_data(min_data: int, rows: int, full_rows: int) -> int:
@@ -51,4 +71,4 @@ def canaries(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
     return df.withColumns({f"canarito_{i}": F.pmod(F.xxhash64(*keys, F.lit(seed + i)), F.lit(1_000_003)) / F.lit(1_000_003.0) for i in range(1, n + 1)})
 
 
-__all__ = ["canaries", "derive_folds", "is_prime", "scaled_min_data", "seeds", "validate_folds"]
+__all__ = ["canaries", "check_seed", "derive_folds", "is_prime", "min_data_for_all_rows", "scaled_min_data", "seeds", "validate_folds"]

@@ -90,13 +90,30 @@ def value_ranks(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     (below + same) / n, average rank = below + (same + 1) / 2.  Equal values
     are counted map-side, so only distinct values are ordered.
     """
-    per = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("same"))
+    per = stage(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("same")), "values")  # read three times
     run = running_by_order(per, groups, [F.col(value).asc()], ["same"])
     n = _small(per.groupBy(*groups).agg(F.sum("same").alias("n")))
     out = run.select(*groups, value, (F.col("cum_same") - F.col("same")).alias("below"), "same")
     return _join(out, n, groups) if groups else out.crossJoin(F.broadcast(n))  # n is one row
 
 
+def quantiles(df: DataFrame, groups: list[str], value: str, ps: list[float], accuracy: int | None = 10_000) -> DataFrame:
+    """``groups, q``: the values at the shares ``ps`` of the non-null values of each group; no row for a group without values.
+
+    With ``accuracy`` from summaries that are merged map-side, each value being
+    a true one whose rank is off by at most 1 / accuracy of the group.  Without,
+    exactly, between two places interpolated: distinct values are counted
+    map-side and ordered over all tasks, so no group is ordered in one.
+    """
+    if accuracy:
+        return df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.percentile_approx(value, list(ps), accuracy).alias("q"))
+    at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("same")), F.col(value).cast("double")))
+    places = [(F.col("n") - 1) * F.lit(float(p)) for p in ps]
+    r = value_ranks(df, groups, value).groupBy(*groups).agg(F.max("n").alias("n"), *[at(F.floor(k)).alias(f"lo{i}") for i, k in enumerate(places)], *[at(F.ceil(k)).alias(f"hi{i}") for i, k in enumerate(places)])
+    part = [k - F.floor(k) for k in places]
+    return r.where("n is not null").select(*groups, F.array(*[F.col(f"lo{i}") + part[i] * (F.col(f"hi{i}") - F.col(f"lo{i}")) for i in range(len(ps))]).alias("q"))
+
+
 def with_ranks(df: DataFrame, groups: list[str], value: str, prefix: str = "") -> DataFrame:
     """``df`` with ``<prefix>below, <prefix>same, <prefix>n`` of ``value``; null values get nulls."""
     r = value_ranks(df, groups, value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortex.operators.ranking import _join, _small, value_ranks, with_ranks
+from cohortex.operators.ranking import _join, _small, quantiles, value_ranks, with_ranks
 from cohortex.staging import stage
 
 
@@ -29,21 +29,27 @@ def signed_ranks(df: DataFrame, group: str, fields: list[str], key: list[str]) -
     The share of the same sign's values that are no further from zero.
     """
     df = stage(df.select(*key, group, *fields), "ranked")
-    long = _unpivot(df, group, fields, key).withColumn("sign", F.signum("x").cast("int")).withColumn("size", F.abs("x"))
-    r = with_ranks(long, [group, "field", "sign"], "size")
+    long = _unpivot(df, group, fields, key).withColumn("sign", F.signum("x").cast("int"))
+    r = with_ranks(long.withColumn("size", F.when(F.col("sign") != 0, F.abs("x"))), [group, "field", "sign"], "size")  # zeros, often a third of all, need no rank
     sr = F.when(F.col("sign") == 0, F.lit(0.0)).otherwise(F.col("sign") * (F.col("below") + F.col("same")) / F.col("n"))
     return _widen(r.select(*key, group, "field", F.when(F.col("x").isNotNull(), sr).alias("sr")), key, group, fields, {"sr": F.col("sr")})
 
 
-def deflated(df: DataFrame, group: str, fields: list[str], accuracy: int | None = None) -> DataFrame:
+def deflated(df: DataFrame, group: str, fields: list[str], accuracy: int | None = 10_000) -> DataFrame:
     """``df`` with ``df_<f>``: the amount over the group's median positive amount; null where no amount is positive.
 
-    The medians are one aggregate of one row per group, joined back; with
-    ``accuracy`` they are merged from bounded summaries instead of exact counts.
+    The medians of all fields are one table of one row per group, joined back;
+    merged from summaries of rank error 1 / ``accuracy``, or exact without
+    (``quantiles``: no group is ordered in one task).
     """
-    med = (lambda c: F.percentile_approx(c, 0.5, accuracy)) if accuracy else F.median
-    m = _small(df.groupBy(group).agg(*[med(F.when(F.col(f) > 0, F.col(f))).alias(f"__m_{f}") for f in fields]))
-    out = _join(df, m, [group])
+    groups = df.select(group).distinct()
+    if accuracy:
+        m = df.groupBy(group).agg(*[F.percentile_approx(F.when(F.col(f) > 0, F.col(f).cast("double")), 0.5, accuracy).alias(f"__m_{f}") for f in fields])
+    else:
+        q = quantiles(_unpivot(df, group, fields, []).where("x > 0"), [group, "field"], "x", [0.5], None)
+        m = q.groupBy(group).agg(*[F.max(F.when(F.col("field") == f, F.col("q")[0])).alias(f"__m_{f}") for f in fields])
+        m = groups.join(m.withColumnRenamed(group, "__mg"), F.col(group).eqNullSafe(F.col("__mg")), "left").drop("__mg")
+    out = _join(df, _small(m), [group])
     return out.withColumns({f"df_{f}": F.col(f) / F.nullif(F.col(f"__m_{f}"), F.lit(0.0)) for f in fields}).drop(*[f"__m_{f}" for f in fields])
 
 

@@ -35,14 +35,25 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
 def _swap(spark: SparkSession, tmp: str, path: str) -> None:
     fs, t = _fs(spark, tmp)
     _, p = _fs(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
+    _, old = _fs(spark, f"{path}.old-{uuid.uuid4().hex[:8]}")
+    had = fs.exists(p)
+    if had and not fs.rename(p, old):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(t, p):
+        if had:
+            fs.rename(old, p)
         raise OSError(f"{tmp} could not be renamed to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """zstd Parquet, written beside the target and renamed: readers see the old table or the new one."""
+    """zstd Parquet, written beside the target and renamed.
+
+    The old table is moved aside, the new one moved in, and only then is the
+    old one deleted: a failure puts it back, and after a crash between the two
+    renames both tables still exist under their own names beside the target.
+    """
     tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*by) if by else w).parquet(tmp)

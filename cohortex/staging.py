@@ -3,7 +3,8 @@
 ``stage`` writes a table to the folder that ``spark.checkpoint.dir`` names and
 reads it back.  Unlike ``localCheckpoint`` the copy is on shared storage, and
 unlike ``checkpoint`` it is columnar, compressed and prunable.  A folder of our
-own is set only where the session has none (tests, notebooks).
+own is set only where the session has none and runs in one process (tests,
+notebooks); on a cluster a missing folder is an error.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,10 +21,12 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one where none is set."""
+    """The checkpoint folder of the session; a temporary one where none is set and the session is local."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cohortex-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/cohortex-{_RUN}"
@@ -54,6 +58,18 @@ def release(*dfs: DataFrame) -> None:
             fs.delete(p, True)
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Everything staged inside the block is deleted when it ends: wrap a query and the action on its result."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p, s in _made.items() if p not in before and s is spark]:
+            fs, p = _fs(_made.pop(path), path)
+            fs.delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for path, spark in list(_made.items()):
