@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortex.operators.ranking import uniform
+from cohortex.operators.ranking import running_in_groups, uniform
+from cohortex.staging import stage
 
 
 def trial_stability(values: DataFrame, trial: str, value: str, how: str = "median", penalty: float = 1.0) -> DataFrame:
-    """``trial, n, mean, median, std, min, max, score, chosen``: population deviation over seeds; the best score wins, ties to the lowest trial."""
+    """``trial, n, mean, median, std, min, max, score, optimism, chosen``: population deviation over seeds; the best score wins, ties to the lowest trial.
+
+    optimism: how far the trial's best seed is above its median, what choosing by a single seed may promise too much.
+    """
     s = values.groupBy(trial).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     score = F.col("median") if how == "median" else F.col("mean") - penalty * F.col("std")
-    s = s.withColumn("score", score)
+    s = s.withColumns({"score": score, "optimism": F.col("max") - F.col("median")})
     best = s.agg(F.max(F.struct(F.col("score"), (-F.col(trial)).alias("t"))).alias("b")).select((-F.col("b.t")).alias("__best"))
     return s.crossJoin(F.broadcast(best)).withColumn("chosen", F.col(trial) == F.col("__best")).drop("__best")  # one row
 
@@ -48,21 +52,40 @@ def noise_by_block(tested: DataFrame, block: str) -> DataFrame:
     return tested.groupBy(block).agg(F.count(F.lit(1)).alias("features"), (F.avg(F.col("noise").cast("double")) * 100).alias("noise_pct"))
 
 
-def simulate_public_private(sent: DataFrame, model: str, entity: str, gain: str, sims: int, share: float, seed: int) -> DataFrame:
-    """``model, wins, wins_private, regret``: how a choice by the public part fares on the private one.
+def public_parts(population: DataFrame, entity: str, positive: str, sims: int, share: float, seed: int) -> DataFrame:
+    """``sim, entity, positive, public``: in every simulation, of the positives and of the others each exactly ``share`` (rounded, half to even) are public, by hash order."""
+    e = population.select(F.col(entity).alias("entity"), F.col(positive).alias("positive")).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).withColumn("u", uniform("entity", "sim", seed=seed))
+    r = running_in_groups(stage(e, "simulated"), ["sim", "positive"], "u", ["entity"])
+    return r.select("sim", F.col("entity").alias(entity), F.col("positive").alias(positive), (F.col("pos") <= F.bround(F.col("n") * F.lit(float(share)), 0)).alias("public"))
+
+
+def simulate_public_private(population: DataFrame, sent: DataFrame, model: str, entity: str, positive: str, hit: int, miss: int, sims: int, share: float, seed: int) -> DataFrame:
+    """``model, public_mean, public_std, private_mean, private_std, wins, wins_private, regret``: how a choice by the public part fares on the private one.
 
-    sent: one row per model and sent entity with its gain.  In each simulation
-    an entity falls into the public part with probability ``share`` by a hash
-    that all models share; gains are scaled to the whole.  A simulation's
-    public winner is counted, whether it also wins the private part, and its
-    mean regret there.
+    population: one row per entity that was scored, with its label; sent: one
+    row per model and entity sent.  ``public_parts`` splits the population, the
+    gains of either part are divided by the share really reached.  wins: how
+    often the model is the public winner (ties to the first name), wins_private:
+    how often it then has the best private gain too, regret: what it then lacks
+    to the best private gain, on average.
     """
-    e = sent.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).withColumn("pub", uniform(entity, "sim", seed=seed) < share)
-    g = e.groupBy("sim", model).agg(F.sum(F.when(F.col("pub"), F.col(gain)).otherwise(0)).alias("a"), F.sum(F.when(~F.col("pub"), F.col(gain)).otherwise(0)).alias("b"))
-    g = g.select("sim", model, (F.col("a") / share).alias("a"), (F.col("b") / (1 - share)).alias("b"))
-    w = Window.partitionBy("sim")
-    r = g.withColumns({"best": F.max("b").over(w), "r": F.row_number().over(w.orderBy(F.col("a").desc(), model))}).where("r = 1")
-    return r.groupBy(model).agg(F.count(F.lit(1)).alias("wins"), F.sum((F.col("b") == F.col("best")).cast("long")).alias("wins_private"), F.avg(F.col("best") - F.col("b")).alias("regret"))
+    parts = stage(public_parts(population, entity, positive, sims, share, seed), "parts")
+    reached = parts.groupBy("sim").agg(F.avg(F.col("public").cast("double")).alias("p"))
+    g = F.when(F.col(positive), F.lit(hit)).otherwise(F.lit(-miss))
+    sums = parts.join(sent.select(model, entity), entity).groupBy("sim", model).agg(F.sum(F.when(F.col("public"), g).otherwise(0)).alias("a"), F.sum(F.when(~F.col("public"), g).otherwise(0)).alias("b"))
+    both = sums.join(reached, "sim").select("sim", model, F.try_divide(F.col("a"), F.col("p")).alias("a"), F.try_divide(F.col("b"), 1 - F.col("p")).alias("b"))
+    w = Window.partitionBy("sim")  # one row a model
+    r = both.withColumns({"best": F.max("b").over(w), "won": F.row_number().over(w.orderBy(F.col("a").desc(), model)) == 1})
+    won = F.col("won")
+    return r.groupBy(model).agg(
+        F.avg("a").alias("public_mean"), F.stddev_pop("a").alias("public_std"), F.avg("b").alias("private_mean"), F.stddev_pop("b").alias("private_std"), F.sum(won.cast("long")).alias("wins"),
+        F.sum((won & (F.col("b") == F.col("best"))).cast("long")).alias("wins_private"), F.avg(F.when(won, F.col("best") - F.col("b"))).alias("regret"),
+    )
+
+
+def winner_risk(simulated: DataFrame) -> DataFrame:
+    """``sims, loses, regret`` over all models: the share of simulations whose public winner does not win the private part, and the mean regret."""
+    return simulated.agg(F.sum("wins").alias("sims"), (1 - F.sum("wins_private") / F.sum("wins")).alias("loses"), (F.sum(F.coalesce(F.col("regret") * F.col("wins"), F.lit(0.0))) / F.sum("wins")).alias("regret"))
 
 
 def shooters(n_shooters: int, shots: int, rate_best: float, rate_rest: float, sims: int, seed: int, spark) -> DataFrame:

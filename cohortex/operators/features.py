@@ -17,70 +17,130 @@ from cohortex.staging import stage
 
 @dataclass(frozen=True)
 class RowSpec:
-    """Row features by name: sums, extremes, counts of positives, ratios, and flags (SQL conditions)."""
+    """Row features by name.
+
+    sums, differences, counts of positives take nulls as 0; least and greatest
+    skip nulls, greatest_or_zero takes them as 0.  ratios: numerator and
+    denominator, the latter a column, a tuple of columns to add up, or a column
+    and a factor.  flags: an SQL condition (null is false), or one with the
+    columns it needs.  Column names are compared in any case.  absent: sums and
+    counts that lack a source are left out (``omit``) or made of the others
+    (``partial``); everything else that lacks one is left out.
+    """
 
     sums: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    differences: dict[str, tuple[str, str]] = field(default_factory=dict)
     least: dict[str, tuple[str, ...]] = field(default_factory=dict)
     greatest: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    greatest_or_zero: dict[str, tuple[str, ...]] = field(default_factory=dict)
     positives: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    ratios: dict[str, tuple[str, str]] = field(default_factory=dict)
-    flags: dict[str, str] = field(default_factory=dict)
+    ratios: dict[str, tuple] = field(default_factory=dict)
+    flags: dict[str, str | tuple[str, tuple[str, ...]]] = field(default_factory=dict)
+    absent: str = "omit"
 
 
 def add_row_features(df: DataFrame, spec: RowSpec, catalog: Catalog) -> DataFrame:
-    """Two projections: sums, extremes and counts; then ratios and flags, which may use them.  Features with absent sources are left out."""
-    have = set(df.columns)
+    """Two projections: sums, differences, extremes and counts; then ratios and flags, which may use them."""
+    have = {c.lower() for c in df.columns}
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     first: dict[str, Column] = {}
+
+    def usable(cols: tuple[str, ...]) -> tuple[str, ...]:
+        there = tuple(c for c in cols if c.lower() in have)
+        return there if len(there) == len(cols) or spec.absent == "partial" else ()
+
+    def whole(cols: tuple[str, ...]) -> bool:
+        return have.issuperset(c.lower() for c in cols)
+
     for name, cols in spec.sums.items():
-        if have.issuperset(cols):
-            first[catalog.add("sumas", name, " + ".join(cols), ",".join(cols))] = safe_sum(*cols)
+        if there := usable(cols):
+            first[catalog.add("sumas", name, " + ".join(there), ",".join(there))] = safe_sum(*there)
+    for name, (a, b) in spec.differences.items():
+        if whole((a, b)):
+            first[catalog.add("sumas", name, f"{a} - {b}", f"{a},{b}")] = zero(a) - zero(b)
     for how, kind, fn in (("least", spec.least, F.least), ("greatest", spec.greatest, F.greatest)):
         for name, cols in kind.items():
-            if have.issuperset(cols):
+            if whole(cols):
                 first[catalog.add("extremos", name, f"{how}({', '.join(cols)})", ",".join(cols))] = fn(*cols)
+    for name, cols in spec.greatest_or_zero.items():
+        if whole(cols):
+            first[catalog.add("extremos", name, f"greatest({', '.join(cols)}), nulls 0", ",".join(cols))] = F.greatest(*[zero(c) for c in cols])
     for name, cols in spec.positives.items():
-        if have.issuperset(cols):
-            first[catalog.add("conteos", name, f"positives of {', '.join(cols)}", ",".join(cols))] = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in cols), F.lit(0))
+        if there := usable(cols):
+            first[catalog.add("conteos", name, f"positives of {', '.join(there)}", ",".join(there))] = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in there), F.lit(0))
     base = df.withColumns(first) if first else df
-    have |= set(first)
+    have |= {c.lower() for c in first}
     second: dict[str, Column] = {}
-    for name, (a, b) in spec.ratios.items():
-        if {a, b} <= have:
-            second[catalog.add("ratios", name, f"{a} / {b}", f"{a},{b}")] = safe_ratio(a, b)
-    for name, condition in spec.flags.items():
-        second[catalog.add("banderas", name, condition, "")] = F.coalesce(F.expr(condition), F.lit(False)).cast("int")
+    for name, (a, b, *factor) in spec.ratios.items():
+        below = b if isinstance(b, tuple) else (b,)
+        if whole((a, *below)):
+            bottom = sum((F.col(c) for c in below[1:]), F.col(below[0])) * (factor[0] if factor else 1)
+            second[catalog.add("ratios", name, f"{a} / ({' + '.join(below)}){f' * {factor[0]}' if factor else ''}", ",".join(dict.fromkeys((a, *below))))] = safe_ratio(a, bottom)
+    for name, flag in spec.flags.items():
+        condition, needs = (flag, ()) if isinstance(flag, str) else flag
+        if whole(needs):
+            second[catalog.add("banderas", name, condition, ",".join(needs))] = F.coalesce(F.expr(condition), F.lit(False)).cast("int")
     return base.withColumns(second) if second else base
 
 
-def add_behaviour(panel: DataFrame, entity: str, period: str, payroll: str, products: str, status: dict[str, str], recency: dict[str, str], balance: str, activity: str, catalog: Catalog) -> DataFrame:
+@dataclass(frozen=True)
+class Behaviour:
+    """Sources of the behaviour events: payroll counts, products held, card status by feature, recencies (condition and columns it needs), balances by feature, and (feature, column) of the activity whose falls are counted."""
+
+    payroll: tuple[str, ...] = ()
+    products: str | None = None
+    status: dict[str, str] = field(default_factory=dict)
+    recency: dict[str, tuple[str, tuple[str, ...]]] = field(default_factory=dict)
+    balances: dict[str, str] = field(default_factory=dict)
+    activity: tuple[str, str] | None = None
+
+
+def fitted_behaviour(spec: Behaviour, columns: list[str]) -> Behaviour:
+    """``spec`` without what needs a column that is not among ``columns``."""
+    have = {c.lower() for c in columns}
+    keep = lambda d: {k: c for k, c in d.items() if c.lower() in have}
+    return Behaviour(
+        payroll=tuple(c for c in spec.payroll if c.lower() in have), products=spec.products if spec.products and spec.products.lower() in have else None, status=keep(spec.status),
+        recency={k: (c, needs) for k, (c, needs) in spec.recency.items() if have.issuperset(n.lower() for n in needs)}, balances=keep(spec.balances), activity=spec.activity if spec.activity and spec.activity[1].lower() in have else None,
+    )
+
+
+def add_behaviour(panel: DataFrame, entity: str, period: str, spec: Behaviour, catalog: Catalog) -> DataFrame:
     """Events over the current and the two periods before, on the dense panel.
 
     lost payroll, products lost against the best of the two before, status
     worse than before, periods since a condition last held (3 if the window is
-    full and it never did, null if the window is not full), balance against the
+    full and it never did, null if the window is not full), balances against the
     window's best, and the length (0..2) of the run of falling activity.
     """
     order = Window.partitionBy(entity).orderBy(period)
     before, three = order.rowsBetween(-2, -1), order.rowsBetween(-2, 0)
     idx = month_index(period)
-    paid = (F.coalesce(F.col(payroll), F.lit(0)) > 0).cast("int")
     full = F.count(F.lit(1)).over(three) == 3
-    out = {
-        catalog.add("comportamiento", "f_perdio_payroll", "payroll before, none now", payroll): F.when((F.max(paid).over(before) == 1) & (paid == 0), 1).otherwise(0),
-        catalog.add("comportamiento", "n_productos_perdidos", "best of the two before minus now, at least 0", products): F.greatest(F.max(products).over(before) - F.col(products), F.lit(0)),
-    }
-    for name, c in status.items():
+    out: dict[str, Column] = {}
+
+    def put(name: str, expression: str, origin: str, value: Column) -> None:
+        out[catalog.add("comportamiento", name, expression, origin)] = value
+
+    if spec.payroll:
+        paid = (safe_sum(*spec.payroll) > 0).cast("int")
+        put("f_perdio_payroll", "payroll in the two before, none now", ",".join(spec.payroll), F.when((F.max(paid).over(before) == 1) & (paid == 0), 1).otherwise(0))
+    if spec.products:
+        put("n_productos_perdidos", "best of the two before minus now, at least 0", spec.products, F.greatest(F.max(spec.products).over(before) - F.col(spec.products), F.lit(0)))
+    for name, c in spec.status.items():
         now = F.coalesce(F.col(c), F.lit(0))
-        out[catalog.add("comportamiento", name, f"{c} above its best of the two before", c)] = F.when(now > F.max(now).over(before), 1).otherwise(0)
-    for name, cond in recency.items():
+        put(name, f"{c} above its best of the two before", c, F.when(now > F.max(now).over(before), 1).otherwise(0))
+    for name, (cond, needs) in spec.recency.items():
         last = F.max(F.when(F.expr(cond), idx)).over(three)
-        out[catalog.add("comportamiento", name, f"periods since {cond}", "")] = F.when(last.isNotNull(), idx - last).when(full, F.lit(3))
-    peak = F.greatest(F.max(balance).over(three), F.lit(0.0))
-    out[catalog.add("comportamiento", "r_saldo_vs_max", f"{balance} / best of the window", balance)] = safe_ratio(balance, peak)
-    l1, l2 = F.lag(activity, 1).over(order), F.lag(activity, 2).over(order)
-    fell = F.coalesce(F.col(activity) < l1, F.lit(False))
-    out[catalog.add("comportamiento", "racha_caida", f"run of falling {activity}", activity)] = fell.cast("int") + (fell & F.coalesce(l1 < l2, F.lit(False))).cast("int")
-    return panel.withColumns(out)
+        put(name, f"periods since {cond}", ",".join(needs), F.when(last.isNotNull(), idx - last).when(full, F.lit(3)))
+    for name, c in spec.balances.items():
+        put(name, f"{c} / best of the window", c, safe_ratio(c, F.greatest(F.max(c).over(three), F.lit(0.0))))
+    if spec.activity:
+        name, c = spec.activity
+        l1, l2 = F.lag(c, 1).over(order), F.lag(c, 2).over(order)
+        fell = F.coalesce(F.col(c) < l1, F.lit(False))
+        put(name, f"run of falling {c}", c, fell.cast("int") + (fell & F.coalesce(l1 < l2, F.lit(False))).cast("int"))
+    return panel.withColumns(out) if out else panel
 
 
 def rfm_score(df: DataFrame, period: str, key: list[str], recency: str, frequency: str, money: str) -> DataFrame:
@@ -108,35 +168,74 @@ def rescale(df: DataFrame, period: str, amounts: list[str], key: list[str], meth
 
 @dataclass(frozen=True)
 class FeaturePlan:
+    """What to build: row features, series of ``series_fields``, behaviour, percent ranks of ``rank_fields`` (and deciles of ``decile_fields`` among them), rescaled amounts, and RFM from (recency, frequency, money) columns."""
+
     rows: RowSpec
     series_fields: tuple[str, ...]
     series: SeriesSpec = SeriesSpec()
     rank_fields: tuple[str, ...] = ()
+    decile_fields: tuple[str, ...] | None = None
     rescaled: tuple[str, ...] = ()
     method: str = "signed_rank"
     calendar: str = "full"
+    behaviour: Behaviour | None = None
+    rfm: tuple[str, str, str] | None = None
+
+
+def _over_time(base: DataFrame, panel: DataFrame, entity: str, period: str, plan: FeaturePlan, cat: Catalog) -> DataFrame:
+    """Series and behaviour of the fields that ``base`` has, on ``panel``."""
+    have = {c.lower() for c in base.columns}
+    out = add_series(panel, entity, period, [c for c in plan.series_fields if c.lower() in have], plan.series, cat)
+    return add_behaviour(out, entity, period, fitted_behaviour(plan.behaviour, base.columns), cat) if plan.behaviour else out
+
+
+def _rank_names(base: DataFrame, plan: FeaturePlan, cat: Catalog) -> tuple[list[str], list[str]]:
+    """The rank fields that ``base`` has and the rank columns to publish."""
+    fields = [f for f in plan.rank_fields if f in base.columns]
+    deciles = fields if plan.decile_fields is None else [f for f in plan.decile_fields if f in fields]
+    names = [cat.add("rankings", f"pr_{f}", f"percent_rank of {f} in the period", f) for f in fields]
+    return fields, names + [cat.add("rankings", f"dec_{f}", f"decile of {f} in the period", f) for f in deciles]
+
+
+def plan_catalog(fact: DataFrame, entity: str, period: str, plan: FeaturePlan) -> Catalog:
+    """The catalog of the table that ``build_features`` would make of a table with the columns of ``fact``; runs no job."""
+    cat = Catalog()
+    base = add_row_features(fact, plan.rows, cat)
+    _over_time(base, base.withColumn("present", F.lit(1)), entity, period, plan, cat)
+    _rank_names(base, plan, cat)
+    if plan.rfm:
+        cat.add("comportamiento", "rfm_score", "quintiles of recency, frequency and money", ",".join(plan.rfm))
+    return cat
 
 
 def build_features(fact: DataFrame, entity: str, period: str, plan: FeaturePlan) -> tuple[DataFrame, Catalog]:
-    """rescale, row features, dense panel, series, real rows, ranks: the feature table and its catalog.
+    """dense panel, row features, rescaling, series and behaviour, real rows, ranks, RFM: the feature table and its catalog.
 
-    Series see ghost rows, ranks do not.  The table is refused if any series
-    looks ahead.
+    Row features are made on the panel, so that a ghost row's sums are 0 while
+    its plain fields are null; amounts, sums of them too, are rescaled over
+    real rows before anything looks back at them.  Series see ghost rows, ranks
+    do not.  The table is refused if any series looks ahead.  Fields that the
+    table lacks are left out.
     """
     cat = Catalog()
-    base = add_row_features(stage(fact, "fact"), plan.rows, cat)
+    panel = add_row_features(dense_panel(stage(fact, "fact"), entity, period, plan.calendar), plan.rows, cat)
+    if plan.rescaled or plan.rank_fields:
+        panel = stage(panel, "panel")
+    base = panel.where("present = 1").drop("present")
     if plan.rescaled:
-        base = stage(rescale(base, period, list(plan.rescaled), [entity], plan.method), "base")
-    series = add_series(dense_panel(base, entity, period, plan.calendar), entity, period, list(plan.series_fields), plan.series, cat)
+        base = stage(rescale(base, period, list(plan.rescaled), [entity], plan.method), "rescaled")
+        panel = panel.drop(*plan.rescaled).join(base.select(entity, period, *plan.rescaled), [entity, period], "left")
+    series = _over_time(base, panel, entity, period, plan, cat)
     check_no_future(series)
     real = series.where("present = 1").drop("present")
-    if not plan.rank_fields:
-        return real, cat
-    ranks = percent_ranks(base, period, list(plan.rank_fields), [entity])
-    for f in plan.rank_fields:
-        cat.add("rankings", f"pr_{f}", f"percent_rank of {f} in the period", f)
-        cat.add("rankings", f"dec_{f}", f"decile of {f} in the period", f)
-    return real.join(ranks, [entity, period]), cat
+    fields, names = _rank_names(base, plan, cat)
+    if fields:
+        real = real.join(percent_ranks(base, period, fields, [entity]).select(entity, period, *names), [entity, period])
+    if plan.rfm:
+        real = stage(real, "unscored")  # cuts the plan, whose hundreds of expressions would be optimised again with every later step
+        cat.add("comportamiento", "rfm_score", "quintiles of recency, frequency and money", ",".join(plan.rfm))
+        real = real.join(rfm_score(real, period, [entity], *plan.rfm), [entity, period])
+    return real, cat
 
 
 def resolve_fields(df: DataFrame, spec: str | list[str], curated: list[str], excluded: frozenset[str] = frozenset()) -> list[str]:

@@ -20,6 +20,16 @@ def profile(df: DataFrame, fields: list[str], accuracy: int = 10_000) -> DataFra
     return a.select("field", "rows", "count", (F.col("rows") - F.col("count")).alias("nulls"), ((F.col("rows") - F.col("count")) / F.col("rows")).alias("null_share"), "min", "max", "mean", "std", "approx_unique", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
 
 
+def profile_strings(df: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per string field: rows, count, nulls, blanks, shortest and longest, first and last in order, approximate distinct values."""
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("x")) for f in fields])
+    a = df.select(F.explode(parts).alias("v")).select("v.*").groupBy("field").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("x").alias("count"), F.sum((F.trim("x") == "").cast("long")).alias("blanks"), F.min(F.length("x")).alias("shortest"), F.max(F.length("x")).alias("longest"),
+        F.min("x").alias("first"), F.max("x").alias("last"), F.approx_count_distinct("x").alias("approx_unique"),
+    )
+    return a.select("field", "rows", "count", (F.col("rows") - F.col("count")).alias("nulls"), F.coalesce("blanks", F.lit(0)).alias("blanks"), "shortest", "longest", "first", "last", "approx_unique")
+
+
 def null_shares(df: DataFrame, group: str | None, fields: list[str]) -> DataFrame:
     """``[group], field, null_pct, zero_pct``: shares in percent of null and of zero values."""
     g = [group] if group else []
@@ -54,6 +64,12 @@ def gates(df: DataFrame, key: list[str], target: str, domain: list[str], amounts
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("violations")) for n in names])).alias("g")).select("g.*")
 
 
+def target_gates(df: DataFrame, period: str, target: str, positive: str, least_rows: int, lowest: float, highest: float) -> DataFrame:
+    """``period, rows, rate, few_rows, odd_target``: periods with fewer rows than wanted, and labelled periods whose rate of ``positive`` is out of bounds."""
+    g = df.groupBy(period).agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col(target) == positive).cast("double")).alias("rate"))
+    return g.select(period, "rows", "rate", (F.col("rows") < least_rows).alias("few_rows"), F.coalesce(~F.col("rate").between(lowest, highest), F.lit(False)).alias("odd_target"))
+
+
 def require_columns(df: DataFrame, types: dict[str, str]) -> None:
     """Raise unless every column is there with its type."""
     have = dict(df.dtypes)

@@ -43,6 +43,13 @@ def stratified_blocks(df: DataFrame, stratum: list[str], keys: list[str], parts:
     return r.withColumn("block", block.cast("int")).drop("__u", "pos", "n")
 
 
+def repeated_splits(df: DataFrame, stratum: list[str], keys: list[str], share: float, repetitions: int, seed: int) -> DataFrame:
+    """``df`` once per repetition with ``repetition`` and ``part`` (1: the share, rounded half to even, of every stratum; 2: the rest), each repetition by a hash order of its own."""
+    many = df.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.lit(repetitions)))).withColumn("__u", uniform(*keys, "repetition", seed=seed))
+    r = running_in_groups(many, ["repetition", *stratum], "__u", keys)
+    return r.withColumn("part", F.when(F.col("pos") <= F.bround(F.col("n") * F.lit(float(share)), 0), 1).otherwise(2)).drop("__u", "pos", "n")
+
+
 def top_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group; Spark limits each map task to n rows a group before the shuffle."""
     from pyspark.sql import Window

@@ -6,34 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortex.functions.exprs import delta_pct, safe_ratio, safe_sum
-from cohortex.operators.features import FeaturePlan, RowSpec, add_behaviour, add_row_features, build_features, rfm_score
+from cohortex.operators import features
+from cohortex.operators.families import RANK_FIELDS, SERIES_FIELDS, behaviour_spec, row_spec
+from cohortex.operators.features import Behaviour, FeaturePlan, RowSpec, add_behaviour, add_row_features, build_features, rfm_score
 from cohortex.operators.panel import churn_target, churn_target_by_gaps, dense_panel, gaps
 from cohortex.operators.ranks import average_rank, deflated, ntiles, percent_ranks, signed_ranks
 from cohortex.operators.series import Catalog, SeriesSpec, add_series
-from cohortex.plans.base import M_SQL, monthly, scores
+from cohortex.plans.base import M_SQL, V_SQL, monthly, scores, valid
 from cohortex.plans.catalog import query, table
+from cohortex.plans.sql_parts import counted, placed, plan_sql
+from cohortex.staging import stage
 
 #: Added before rounding in query and SQL: the engines round exact halves differently.
 OFF_TIES = 3e-11
 
 EVENTS_SQL = "ev AS (SELECT user_id AS c, CAST(strftime(CAST(ts AS DATE), '%Y%m') AS INTEGER) * 100 + CAST(strftime(CAST(ts AS DATE), '%d') AS INTEGER) AS t FROM events GROUP BY 1, 2)"
 PANEL_SQL = M_SQL + ", per AS (SELECT DISTINCT t FROM m), cli AS (SELECT DISTINCT c FROM m), grid AS (SELECT c, t FROM cli CROSS JOIN per), pan AS (SELECT grid.c, grid.t, m.* EXCLUDE (c, t), CAST(m.c IS NOT NULL AS INTEGER) AS present FROM grid LEFT JOIN m ON m.c = grid.c AND m.t = grid.t)"
-TARGET_SQL = """, w AS (SELECT c, t, present, lead(present, 1) OVER (PARTITION BY c ORDER BY t) AS n1, lead(present, 2) OVER (PARTITION BY c ORDER BY t) AS n2 FROM pan),
-y AS (SELECT c, t, CASE WHEN n2 = 1 THEN 'CONTINUA' WHEN n1 = 1 AND n2 = 0 THEN 'BAJA+2' WHEN n1 = 0 THEN 'BAJA+1' END AS target FROM w WHERE present = 1)"""
 
 
-@query(sql=f"WITH {PANEL_SQL} SELECT c, t, present, saldo, prod FROM pan")
-def d3_dense_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return dense_panel(monthly(spark, sf, "saldo", "prod"), "c", "t").select("c", "t", "present", "saldo", "prod")
+def _target_sql(rows: str) -> str:
+    """The target by definition: every row against the rows of its client one and two periods on."""
+    return f"""pos AS (SELECT t, row_number() OVER (ORDER BY t) AS k FROM (SELECT DISTINCT t FROM {rows})), found AS (SELECT r.c, r.t, p.k FROM {rows} r JOIN pos p USING (t)), fin AS (SELECT max(k) AS last FROM pos),
+y AS (SELECT a.c, a.t, CASE WHEN two.c IS NOT NULL THEN 'CONTINUA' WHEN a.k < last AND one.c IS NULL THEN 'BAJA+1' WHEN a.k + 1 < last THEN 'BAJA+2' END AS target
+  FROM found a CROSS JOIN fin LEFT JOIN found one ON one.c = a.c AND one.k = a.k + 1 LEFT JOIN found two ON two.c = a.c AND two.k = a.k + 2)"""
 
 
-@query(sql=f"WITH {PANEL_SQL} {TARGET_SQL} SELECT c, t, target FROM y")
+@query(sql=f"WITH {M_SQL}, {_target_sql('m')} SELECT c, t, target FROM y")
 def m1_target(spark: SparkSession, sf: str) -> DataFrame:
     return churn_target(monthly(spark, sf, "prod"), "c", "t")
 
 
-_EVENT_TARGET = f"""WITH {EVENTS_SQL}, per AS (SELECT DISTINCT t FROM ev), cli AS (SELECT DISTINCT c FROM ev),
-pan AS (SELECT cli.c, per.t, CAST(ev.c IS NOT NULL AS INTEGER) AS present FROM cli CROSS JOIN per LEFT JOIN ev ON ev.c = cli.c AND ev.t = per.t) {TARGET_SQL}"""
+_EVENT_TARGET = f"WITH {EVENTS_SQL}, {_target_sql('ev')}"
 
 
 @query(sql=_EVENT_TARGET + " SELECT t, count(*) FILTER (WHERE target = 'CONTINUA') AS continua, count(*) FILTER (WHERE target = 'BAJA+1') AS baja1, count(*) FILTER (WHERE target = 'BAJA+2') AS baja2, count(*) FILTER (WHERE target IS NULL) AS sin_target FROM y GROUP BY t")
@@ -100,7 +103,7 @@ def w2_series(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     sql=f"""WITH {PANEL_SQL}, z AS (SELECT c, t, present, regr_slope(saldo, CAST(antig AS DOUBLE)) OVER k AS b, count(CASE WHEN saldo IS NOT NULL AND antig IS NOT NULL THEN 1 END) OVER k AS n, min(CASE WHEN saldo IS NOT NULL THEN antig END) OVER k AS lo, max(CASE WHEN saldo IS NOT NULL THEN antig END) OVER k AS hi FROM pan {_WK})
-SELECT c, t, CASE WHEN n > 1 AND lo < hi THEN round(sign(b) * ln(abs(b) + 1), 6) END AS pendiente FROM z WHERE present = 1 AND c <> 40000001"""
+SELECT c, t, CASE WHEN n > 1 AND lo < hi THEN round(sign(b) * ln(abs(b) + 1), 6) END AS pendiente FROM z WHERE present = 1"""
 )
 def w8_trend(spark: SparkSession, sf: str) -> DataFrame:
     """Slope of the balance against the client's age over the window (signed log scale), for every client of the panel; a client number shared by many has its largest age of the month."""
@@ -124,10 +127,14 @@ def w22_naive_lag_errors(spark: SparkSession, sf: str) -> DataFrame:
     return naive.join(dense, ["c", "t"]).where(~F.col("a").eqNullSafe(F.col("b"))).select("c", "t")
 
 
-_PR = "CASE WHEN {f} IS NULL THEN NULL ELSE percent_rank() OVER (PARTITION BY t, ({f} IS NULL) ORDER BY {f}) END"
+_RANKED = {"saldo": "saldo", "rent": "rent", "trx": "CAST(trx AS DOUBLE)"}
 
 
-@query(sql=f"WITH {M_SQL}, r AS (SELECT c, t, {_PR.format(f='saldo')} AS a, {_PR.format(f='rent')} AS b, {_PR.format(f='CAST(trx AS DOUBLE)')} AS d FROM m) SELECT c, t, round(a, 8) AS pr_saldo, round(b, 8) AS pr_rent, round(d, 8) AS pr_trx, CASE WHEN a IS NOT NULL THEN CAST(least(1 + floor(10 * a + 1e-9), 10) AS INTEGER) END AS dec_saldo, CASE WHEN b IS NOT NULL THEN CAST(least(1 + floor(10 * b + 1e-9), 10) AS INTEGER) END AS dec_rent, CASE WHEN d IS NOT NULL THEN CAST(least(1 + floor(10 * d + 1e-9), 10) AS INTEGER) END AS dec_trx FROM r")
+@query(
+    sql=f"WITH {M_SQL}, " + ", ".join(counted(f"r_{f}", e) for f, e in _RANKED.items()) + ", z AS (SELECT m.c, m.t, " + ", ".join(f"{placed(f'r_{f}')} AS {f}" for f in _RANKED) + " FROM m "
+    + " ".join(f"LEFT JOIN r_{f} ON r_{f}.t = m.t AND r_{f}.x = {e.replace(f, 'm.' + f)}" for f, e in _RANKED.items()) + ") SELECT c, t, "
+    + ", ".join(f"round({f}, 8) AS pr_{f}, CASE WHEN {f} IS NOT NULL THEN CAST(least(1 + floor(10 * {f} + 1e-9), 10) AS INTEGER) END AS dec_{f}" for f in _RANKED) + " FROM z"
+)
 def w9_percent_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """Null-safe percent ranks and deciles of several fields in one ordering."""
     r = percent_ranks(monthly(spark, sf, "saldo", "rent", "trx"), "t", ["saldo", "rent", "trx"], ["c"])
@@ -139,10 +146,17 @@ def w11_ntiles(spark: SparkSession, sf: str) -> DataFrame:
     return ntiles(monthly(spark, sf, "saldo"), "t", "saldo", "c", [10, 4]).select("c", "t", F.col("place").cast("long").alias("place"), "ntile_10", "ntile_4")
 
 
-_SR = "CASE WHEN {f} > 0 THEN cume_dist() OVER (PARTITION BY t, sign({f}) ORDER BY {f}) WHEN {f} = 0 THEN 0.0 WHEN {f} < 0 THEN -cume_dist() OVER (PARTITION BY t, sign({f}) ORDER BY {f} DESC) END"
+def _signed_sql(f: str, rows: str = "m") -> tuple[str, str, str]:
+    """Tables of the sizes on either side of zero, the joins to them, and the signed share."""
+    sides = ", ".join(counted(f"{side}_{f}", f"CASE WHEN {test} THEN abs({f}) END", rows) for side, test in (("up", f"{f} > 0"), ("down", f"{f} < 0")))
+    joins = f"LEFT JOIN up_{f} ON {rows}.{f} > 0 AND up_{f}.t = {rows}.t AND up_{f}.x = {rows}.{f} LEFT JOIN down_{f} ON {rows}.{f} < 0 AND down_{f}.t = {rows}.t AND down_{f}.x = -{rows}.{f}"
+    return sides, joins, f"CASE WHEN {rows}.{f} = 0 THEN 0.0::DOUBLE ELSE coalesce(up_{f}.upto::DOUBLE / up_{f}.n, -(down_{f}.upto::DOUBLE / down_{f}.n)) END"
+
+
+_SIGNED = {f: _signed_sql(f) for f in ("saldo", "rent")}
 
 
-@query(sql=f"WITH {M_SQL} SELECT c, t, round({_SR.format(f='saldo')}, 8) AS sr_saldo, round({_SR.format(f='rent')}, 8) AS sr_rent FROM m")
+@query(sql=f"WITH {M_SQL}, " + ", ".join(s for s, _, _ in _SIGNED.values()) + " SELECT m.c, m.t, " + ", ".join(f"round({e}, 8) AS sr_{f}" for f, (_, _, e) in _SIGNED.items()) + " FROM m " + " ".join(j for _, j, _ in _SIGNED.values()))
 def w12_signed_ranks(spark: SparkSession, sf: str) -> DataFrame:
     r = signed_ranks(monthly(spark, sf, "saldo", "rent"), "t", ["saldo", "rent"], ["c"])
     return r.select("c", "t", F.round("sr_saldo", 8).alias("sr_saldo"), F.round("sr_rent", 8).alias("sr_rent"))
@@ -150,32 +164,37 @@ def w12_signed_ranks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql=f"WITH {M_SQL}, d AS (SELECT t, median(CASE WHEN saldo > 0 THEN saldo END) AS a, median(CASE WHEN payroll > 0 THEN payroll END) AS b FROM m GROUP BY t) SELECT c, t, round(saldo / nullif(a, 0), 6) AS df_saldo, round(payroll / nullif(b, 0), 6) AS df_payroll FROM m JOIN d USING (t)")
 def w13_deflated(spark: SparkSession, sf: str) -> DataFrame:
-    d = deflated(monthly(spark, sf, "saldo", "payroll"), "t", ["saldo", "payroll"])
+    d = deflated(stage(monthly(spark, sf, "saldo", "payroll"), "months"), "t", ["saldo", "payroll"], accuracy=None)
     return d.select("c", "t", F.round("df_saldo", 6).alias("df_saldo"), F.round("df_payroll", 6).alias("df_payroll"))
 
 
-_IDX = "(t // 100 * 12 + t % 100)"
-
-
 @query(
-    sql=f"""WITH {PANEL_SQL}, b AS (SELECT *, CAST(coalesce(nomina, 0) > 0 AS INTEGER) AS paid FROM pan),
-z AS (SELECT c, t, present, CASE WHEN max(paid) OVER bef = 1 AND paid = 0 THEN 1 ELSE 0 END AS f_perdio_payroll, greatest(max(prod) OVER bef - prod, 0) AS n_productos_perdidos, CASE WHEN coalesce(vst, 0) > max(coalesce(vst, 0)) OVER bef THEN 1 ELSE 0 END AS f_visa_sube,
-CASE WHEN max(CASE WHEN trx > 0 THEN {_IDX} END) OVER thr IS NOT NULL THEN {_IDX} - max(CASE WHEN trx > 0 THEN {_IDX} END) OVER thr WHEN count(*) OVER thr = 3 THEN 3 END AS meses_desde_trx,
-round(saldo / nullif(greatest(max(saldo) OVER thr, 0), 0), 6) AS r_saldo_vs_max,
-CAST(coalesce(trx < lag(trx, 1) OVER o, false) AS INTEGER) + CAST(coalesce(trx < lag(trx, 1) OVER o AND lag(trx, 1) OVER o < lag(trx, 2) OVER o, false) AS INTEGER) AS racha_caida
-FROM b WINDOW o AS (PARTITION BY c ORDER BY t), bef AS (PARTITION BY c ORDER BY t ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), thr AS (PARTITION BY c ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-SELECT c, t, f_perdio_payroll, CAST(n_productos_perdidos AS INTEGER) AS n_productos_perdidos, f_visa_sube, CAST(meses_desde_trx AS INTEGER) AS meses_desde_trx, r_saldo_vs_max, CAST(racha_caida AS INTEGER) AS racha_caida FROM z WHERE present = 1"""
+    sql=f"""WITH {M_SQL}, pos AS (SELECT t, t // 100 * 12 + t % 100 AS i, row_number() OVER (ORDER BY t) AS k FROM (SELECT DISTINCT t FROM m)), a AS (SELECT m.*, i, k, coalesce(nomina, 0) > 0 AS paid FROM m JOIN pos USING (t)),
+cal AS (SELECT o.t, p1.i AS i1, p2.i AS i2 FROM pos o LEFT JOIN pos p1 ON p1.k = o.k - 1 LEFT JOIN pos p2 ON p2.k = o.k - 2)
+SELECT a.c, a.t, CAST(NOT a.paid AND (coalesce(b.paid, false) OR coalesce(d.paid, false)) AS INTEGER) AS f_perdio_payroll, CAST(greatest(greatest(b.prod, d.prod) - a.prod, 0) AS INTEGER) AS n_productos_perdidos,
+CAST(a.k > 1 AND coalesce(a.vst, 0) > greatest(coalesce(b.vst, 0), CASE WHEN a.k > 2 THEN coalesce(d.vst, 0) ELSE coalesce(b.vst, 0) END) AS INTEGER) AS f_visa_sube,
+CAST(a.k > 1 AND coalesce(a.mst, 0) > greatest(coalesce(b.mst, 0), CASE WHEN a.k > 2 THEN coalesce(d.mst, 0) ELSE coalesce(b.mst, 0) END) AS INTEGER) AS f_master_sube,
+CAST(CASE WHEN a.trx > 0 THEN 0 WHEN b.trx > 0 THEN a.i - i1 WHEN d.trx > 0 THEN a.i - i2 WHEN a.k > 2 THEN 3 END AS INTEGER) AS meses_desde_trx, CAST(CASE WHEN a.visa > 0 THEN 0 WHEN b.visa > 0 THEN a.i - i1 WHEN d.visa > 0 THEN a.i - i2 WHEN a.k > 2 THEN 3 END AS INTEGER) AS meses_desde_consumo,
+round(a.saldo / nullif(greatest(a.saldo, b.saldo, d.saldo, 0), 0), 6) AS r_saldo_vs_max, round(a.limite / nullif(greatest(a.limite, b.limite, d.limite, 0), 0), 6) AS r_limite_vs_max,
+CASE WHEN coalesce(a.trx < b.trx, false) THEN 1 + coalesce(b.trx < d.trx, false)::INTEGER ELSE 0 END AS racha_caida
+FROM a JOIN cal ON cal.t = a.t LEFT JOIN a b ON b.c = a.c AND b.k = a.k - 1 LEFT JOIN a d ON d.c = a.c AND d.k = a.k - 2"""
 )
 def w14_behaviour(spark: SparkSession, sf: str) -> DataFrame:
-    p = dense_panel(monthly(spark, sf, "nomina", "prod", "vst", "trx", "saldo"), "c", "t")
-    b = add_behaviour(p, "c", "t", "nomina", "prod", {"f_visa_sube": "vst"}, {"meses_desde_trx": "trx > 0"}, "saldo", "trx", Catalog()).where("present = 1")
-    return b.select("c", "t", "f_perdio_payroll", "n_productos_perdidos", "f_visa_sube", "meses_desde_trx", F.round("r_saldo_vs_max", 6).alias("r_saldo_vs_max"), "racha_caida")
-
-
-_Q5 = "least(1 + floor(5 * percent_rank() OVER (PARTITION BY t ORDER BY {e}) + 1e-9), 5)"
+    """The behaviour events against self-joins on the place of the month."""
+    spec = Behaviour(
+        payroll=("nomina",), products="prod", status={"f_visa_sube": "vst", "f_master_sube": "mst"}, recency={"meses_desde_trx": ("trx > 0", ("trx",)), "meses_desde_consumo": ("visa > 0", ("visa",))},
+        balances={"r_saldo_vs_max": "saldo", "r_limite_vs_max": "limite"}, activity=("racha_caida", "trx"),
+    )
+    p = dense_panel(monthly(spark, sf, "nomina", "prod", "vst", "mst", "trx", "visa", "saldo", "limite"), "c", "t")
+    b = add_behaviour(p, "c", "t", spec, Catalog()).where("present = 1")
+    rounded = [F.round(r, 6).alias(r) for r in ("r_saldo_vs_max", "r_limite_vs_max")]
+    return b.select("c", "t", "f_perdio_payroll", "n_productos_perdidos", "f_visa_sube", "f_master_sube", "meses_desde_trx", "meses_desde_consumo", *rounded, "racha_caida")
 
 
-@query(sql=f"WITH {M_SQL} SELECT c, t, CAST({_Q5.format(e='coalesce(antig, 3) DESC')} + {_Q5.format(e='coalesce(trx, 0)')} + {_Q5.format(e='coalesce(saldo, 0)')} AS INTEGER) AS rfm_score FROM m")
+@query(
+    sql=f"WITH {M_SQL}, e AS (SELECT c, t, -coalesce(antig, 3) AS r, coalesce(trx, 0) AS f, coalesce(saldo, 0) AS a FROM m), " + ", ".join(counted(f"q_{k}", k, "e") for k in "rfa") + " SELECT e.c, e.t, CAST("
+    + " + ".join(f"least(1 + floor(5 * ({placed(f'q_{k}')}) + 1e-9), 5)" for k in "rfa") + " AS INTEGER) AS rfm_score FROM e " + " ".join(f"JOIN q_{k} ON q_{k}.t = e.t AND q_{k}.x = e.{k}" for k in "rfa")
+)
 def w15_rfm(spark: SparkSession, sf: str) -> DataFrame:
     return rfm_score(monthly(spark, sf, "antig", "trx", "saldo"), "t", ["c"], "antig", "trx", "saldo")
 
@@ -185,22 +204,66 @@ def w19_average_rank(spark: SparkSession, sf: str) -> DataFrame:
     return average_rank(scores(spark, sf), ["modelo", "foto_mes"], "prob").select("modelo", "foto_mes", "numero_de_cliente", "avg_rank")
 
 
+# The feature table under the pipeline's own names: amounts and counts of a client and month added up, of the rest the largest.
+_SUMMED = (
+    "mrentabilidad", "mrentabilidad_annual", "mcomisiones", "mactivos_margen", "mpasivos_margen", "mcuenta_corriente", "mcaja_ahorro", "mcuentas_saldo", "mautoservicio", "mtarjeta_visa_consumo", "mpayroll",
+    "master_mlimitecompra", "master_msaldototal", "visa_mlimitecompra", "visa_msaldototal",
+)
+_ADDED = ("ctrx_quarter", "cpayroll_trx", "ctarjeta_debito_transacciones", "ctarjeta_visa_transacciones", "chomebanking_transacciones")
+_LARGEST = ("cproductos", "cliente_edad", "cliente_antiguedad", "master_status", "visa_status", "master_fechaalta", "visa_fechaalta", "active_quarter", "cliente_vip", "internet", "tcuentas", "tmobile_app")
+_WIDE_SQL = (
+    V_SQL + ", w AS (SELECT numero_de_cliente AS c, foto_mes AS t, " + ", ".join(f"CAST(sum(CAST({c} AS DECIMAL(27, 2))) AS DOUBLE) AS {c}" for c in _SUMMED) + ", " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _ADDED) + ", "
+    + ", ".join(f"max({c}) AS {c}" for c in _LARGEST) + " FROM v WHERE numero_de_cliente IS NOT NULL AND foto_mes IS NOT NULL GROUP BY 1, 2)"
+)
+
+
+def wide_months(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per client and month with all numeric columns of the landing table, under their names."""
+    v = valid(spark, sf, "numero_de_cliente", "foto_mes", *_SUMMED, *_ADDED, *_LARGEST).where("numero_de_cliente is not null and foto_mes is not null")
+    return v.groupBy(F.col("numero_de_cliente").alias("c"), F.col("foto_mes").alias("t")).agg(
+        *[F.sum(F.col(x).cast("decimal(27,2)")).cast("double").alias(x) for x in _SUMMED], *[F.sum(x).cast("long").alias(x) for x in _ADDED], *[F.max(x).alias(x) for x in _LARGEST]
+    )
+
+
+DECILES = ("mrentabilidad", "mcuentas_saldo", "ctrx_quarter", "cproductos")
 PLAN = FeaturePlan(
-    rows=RowSpec(sums={"tc_saldo": ("msaldo", "vsaldo")}, ratios={"uso": ("tc_saldo", "limite")}, flags={"rojo": "saldo < 0"}), series_fields=("saldo", "trx", "prod", "tc_saldo"),
-    series=SeriesSpec(), rank_fields=("saldo", "trx"), rescaled=("rent",), method="signed_rank",
+    rows=row_spec("partial"), series_fields=SERIES_FIELDS, series=SeriesSpec(trend_against="cliente_antiguedad"), rank_fields=RANK_FIELDS, decile_fields=DECILES, calendar="observed", behaviour=behaviour_spec(),
+    rfm=("meses_desde_trx", "ctrx_quarter", "mcuentas_saldo"),
 )
 
 
-@query
+def _compressed(df: DataFrame) -> DataFrame:
+    """Doubles on a signed log scale with four decimals: sums of doubles depend on their order."""
+    log = lambda c: F.round(F.signum(c) * F.log1p(F.abs(c)), 4) + F.lit(0.0)
+    return df.select(*[log(F.col(c)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in df.dtypes])
+
+
+@query(sql=plan_sql(_WIDE_SQL))
 def plan_features(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole feature table: rescaled amounts, row features, series, ranks, with the guard against looking ahead."""
-    return build_features(monthly(spark, sf).drop("clase"), "c", "t", PLAN)[0]
+    """The whole feature table of the pipeline's families as far as the landing table has their sources, doubles on a log scale."""
+    return _compressed(build_features(wide_months(spark, sf), "c", "t", PLAN)[0])
 
 
 @query
 def plan_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    """The catalog of the feature table."""
-    return build_features(monthly(spark, sf).drop("clase"), "c", "t", PLAN)[1].to_df(spark)
+    """The catalog of the feature table, without reading it."""
+    return features.plan_catalog(wide_months(spark, sf), "c", "t", PLAN).to_df(spark)
+
+
+RESCALED = FeaturePlan(rows=RowSpec(sums={"suma": ("saldo", "rent")}), series_fields=("saldo", "suma"), series=SeriesSpec(lags=(1,), deltas=(1,), delta_pcts=(), stats=("max",), ratio=False), rescaled=("saldo", "suma"), calendar="observed")
+_RESCALED_SQL = {f: _signed_sql(f, "e") for f in ("saldo", "suma")}
+
+
+@query(
+    sql=f"WITH {M_SQL}, e AS (SELECT c, t, saldo, coalesce(saldo, 0) + coalesce(rent, 0) AS suma FROM m), " + ", ".join(s for s, _, _ in _RESCALED_SQL.values()) + ", pos AS (SELECT t, row_number() OVER (ORDER BY t) AS k FROM (SELECT DISTINCT t FROM m)), a AS (SELECT e.c, e.t, k, "
+    + ", ".join(f"{x} AS {f}" for f, (_, _, x) in _RESCALED_SQL.items()) + " FROM e JOIN pos ON pos.t = e.t " + " ".join(j for _, j, _ in _RESCALED_SQL.values()) + ") SELECT a.c, a.t, round(a.saldo, 8) AS saldo, round(a.suma, 8) AS suma, round(b.saldo, 8) AS lag_1_saldo, "
+    "round(a.suma - b.suma + 3e-11, 8) AS delta_1_suma, round(greatest(a.saldo, b.saldo, d.saldo, g.saldo), 8) AS max_3_saldo FROM a LEFT JOIN a b ON b.c = a.c AND b.k = a.k - 1 LEFT JOIN a d ON d.c = a.c AND d.k = a.k - 2 LEFT JOIN a g ON g.c = a.c AND g.k = a.k - 3"
+)
+def plan_rescaled(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts rescaled before sums and series are made of them."""
+    d = build_features(monthly(spark, sf, "saldo", "rent").drop("clase", "n"), "c", "t", RESCALED)[0]
+    r = lambda c, e=0.0: F.round(F.col(c) + F.lit(e), 8).alias(c)
+    return d.select("c", "t", r("saldo"), r("suma"), r("lag_1_saldo"), r("delta_1_suma", OFF_TIES), r("max_3_saldo"))
 
 
 @query(sql="SELECT bloque, feature, expresion, origen FROM catalogo")

@@ -98,6 +98,18 @@ def schema_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema], "column string, type string, nullable boolean")
 
 
-def append_run(spark: SparkSession, path: str, run: str, params: dict) -> None:
-    """One more row of the ledger of runs."""
-    spark.createDataFrame([(run, json.dumps(params, sort_keys=True))], "run string, params string").withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """``file, bytes, sha256`` of all files below ``path``; every file is hashed in its task."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return f.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def append_run(spark: SparkSession, path: str, run: str, params: dict, state: str = "ok", outputs: str | None = None) -> None:
+    """One more row of the ledger of runs: its parameters as JSON, how it ended, and the hashes of the files below ``outputs``."""
+    row = spark.createDataFrame([(run, json.dumps(params, sort_keys=True), state)], "run string, params string, state string").withColumn("at", F.current_timestamp())
+    if outputs:
+        hashes = file_hashes(spark, outputs).agg(F.sort_array(F.collect_list(F.struct("file", "bytes", "sha256"))).alias("files"))  # the files of one output
+        row = row.crossJoin(hashes)  # one row each
+    else:
+        row = row.withColumn("files", F.expr("cast(array() as array<struct<file:string,bytes:bigint,sha256:string>>)"))
+    row.write.mode("append").parquet(path)
