@@ -60,19 +60,19 @@ _EDGES = ", ".join(f"quantile_cont(f, {i / 10})" for i in range(11))
 
 @query(sql=f"WITH {M_SQL}, x AS (SELECT t, rent AS f FROM m WHERE t IN (202104, 202107)), {_PSI.format(edges=_EDGES)} SELECT CAST(bin AS INTEGER) AS bin, n1 AS expected, n2 AS actual, round(p1, 8) AS expected_prop, round(p2, 8) AS actual_prop FROM s")
 def m16_psi_bins(spark: SparkSession, sf: str) -> DataFrame:
-    p = drift.psi_table(monthly(spark, sf, "rent"), "t", 202104, 202107, "rent")
+    p = drift.psi_table(monthly(spark, sf, "rent"), "t", 202104, 202107, "rent", accuracy=None)
     return p.select(F.col("bin").cast("int").alias("bin"), "expected", "actual", F.round("expected_prop", 8).alias("expected_prop"), F.round("actual_prop", 8).alias("actual_prop"))
 
 
 @query(sql=f"WITH {M_SQL}, x AS (SELECT t, rent AS f FROM m WHERE t IN (202104, 202107)), {_PSI.format(edges=_EDGES)} SELECT 'rent' AS field, round(sum((p2 - p1) * ln(greatest(p2, 1e-10) / greatest(p1, 1e-10))), 6) AS psi FROM s")
 def m16_psi(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.psi(monthly(spark, sf, "rent"), "t", 202104, 202107, ["rent"]).withColumn("psi", F.round("psi", 6))
+    return drift.psi(monthly(spark, sf, "rent"), "t", 202104, 202107, ["rent"], accuracy=None).withColumn("psi", F.round("psi", 6))
 
 
 @query(sql=f"WITH {M_SQL}, x AS (SELECT t, rent AS f, {LEFT} AS y FROM m WHERE t IN (202104, 202107)), e AS (SELECT list_sort(list_distinct(list_value({_EDGES}))) AS e FROM x), b AS (SELECT t, y, CASE WHEN f IS NULL THEN -1 WHEN f = list_extract(e, len(e)) THEN len(e) - 2 ELSE len(list_filter(e, lambda q: q <= f)) - 1 END AS bin FROM x, (SELECT e FROM e)) SELECT CAST(bin AS INTEGER) AS bin, round(avg(y::INT) FILTER (WHERE t = 202104), 8) AS base_rate, round(avg(y::INT) FILTER (WHERE t = 202107), 8) AS now_rate FROM b GROUP BY 1")
 def m17_target_by_bin(spark: SparkSession, sf: str) -> DataFrame:
     m = monthly(spark, sf, "rent").withColumn("y", F.coalesce(F.col("clase").startswith("BAJA"), F.lit(False)))
-    r = drift.target_by_bin(m, "t", 202104, 202107, "rent", "y")
+    r = drift.target_by_bin(m, "t", 202104, 202107, "rent", "y", accuracy=None)
     return r.select(F.col("bin").cast("int").alias("bin"), F.round("base_rate", 8).alias("base_rate"), F.round("now_rate", 8).alias("now_rate"))
 
 
@@ -87,7 +87,7 @@ def m18_cohens_d(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql=f"WITH {M_SQL}, l AS ({_long_sql(FIELDS, LEFT + ' AS baja, ')}), md AS (SELECT field, median(x) AS md FROM l GROUP BY 1) SELECT baja, field, round(avg((x > md)::INT) / 0.5::DOUBLE, 8) AS lift FROM l JOIN md USING (field) WHERE x IS NOT NULL GROUP BY 1, 2")
 def m19_lifts(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.lifts(_labelled(spark, sf, *FIELDS), "baja", FIELDS).withColumn("lift", F.round("lift", 8))
+    return cohort.lifts(stage(_labelled(spark, sf, *FIELDS), "labelled"), "baja", FIELDS, accuracy=None).withColumn("lift", F.round("lift", 8))
 
 
 RULES = {"sin_movimientos": "trx = 0", "pocos_productos": "prod <= 2", "saldo_rojo": "saldo < 0", "sin_sueldo": "payroll is null or payroll = 0"}
@@ -178,12 +178,12 @@ def m27_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql=f"WITH {M_SQL} SELECT prod, min(rent) AS min, quantile_cont(rent, 0.25) AS q1, median(rent) AS median, quantile_cont(rent, 0.75) AS q3, max(rent) AS max FROM m WHERE rent IS NOT NULL GROUP BY prod")
 def m43_box(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.box(monthly(spark, sf, "rent", "prod"), "prod", "rent")
+    return cohort.box(monthly(spark, sf, "rent", "prod"), "prod", "rent", accuracy=None)
 
 
 @query(sql=f"WITH {M_SQL}, q AS (SELECT quantile_cont(rent, 0.01) AS a, quantile_cont(rent, 0.99) AS b FROM m) SELECT CAST(least(floor((rent - a) / (b - a) * 30), 29) AS INTEGER) AS bin, count(*) AS n FROM m, q WHERE rent BETWEEN a AND b GROUP BY 1")
 def m43_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.histogram(monthly(spark, sf, "rent"), "rent")
+    return cohort.histogram(stage(monthly(spark, sf, "rent"), "months"), "rent", accuracy=None)
 
 
 @query(sql=f"WITH {M_SQL}, x AS (SELECT coalesce(saldo <= 0, NULL) AS a, saldo <= 10000 AS b FROM m) SELECT 0.0::DOUBLE AS value, round(avg(a::INT) * 100, 8) AS pct FROM x UNION ALL SELECT 10000.0::DOUBLE, round(avg(b::INT) * 100, 8) FROM x")
@@ -274,7 +274,7 @@ def f11_canaries(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql=f"WITH {M_SQL} SELECT prod, count(*) AS n, median(rent) AS centre, quantile_cont(rent, 0.25) AS low, quantile_cont(rent, 0.75) AS high FROM m WHERE rent IS NOT NULL GROUP BY prod")
 def m23_iqr_bands(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.trends(monthly(spark, sf, "rent", "prod"), ["prod"], "rent", "iqr")
+    return cohort.trends(monthly(spark, sf, "rent", "prod"), ["prod"], "rent", "iqr", accuracy=None)
 
 
 @query

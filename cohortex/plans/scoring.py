@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortex.functions.exprs import ENTITY_FACTOR, GOLDEN, MIX_1, MIX_2
 from cohortex.operators import compare, ensemble, metrics, sampling
+from cohortex.operators.ranking import running_by_order
 from cohortex.plans.base import M_SQL, S_SQL, monthly, scores
 from cohortex.plans.catalog import query, table
+from cohortex.staging import stage
 
 HIT, MISS, THRESHOLD = 39, 1, 0.025
 G = ["modelo", "foto_mes"]
 _CURVE = f"""WITH {S_SQL}, k AS (SELECT modelo, foto_mes, row_number() OVER w AS k, CAST(sum(CASE WHEN y THEN {HIT} ELSE -{MISS} END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS gain FROM s WINDOW w AS (PARTITION BY modelo, foto_mes ORDER BY prob DESC, numero_de_cliente))"""
-_SMOOTH = _CURVE + ", p AS (SELECT modelo, foto_mes, k, avg(gain) OVER c AS smoothed, count(*) OVER c AS n FROM k WINDOW c AS (PARTITION BY modelo, foto_mes ORDER BY k ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING))"
+
+
+def _smooth_sql(curve: str, by: str, window: int) -> str:
+    """Centred means as differences of running sums, over the window or, where shorter, the curve, one less if even."""
+    return f"""{curve}, u AS (SELECT {by}, k, sum(gain) OVER (PARTITION BY {by} ORDER BY k) AS upto, least({window}, max(k) OVER (PARTITION BY {by})) AS w0 FROM k), w AS (SELECT * EXCLUDE (w0), w0 - (w0 + 1) % 2 AS w FROM u),
+p AS (SELECT {', '.join('a.' + c.strip() for c in by.split(','))}, a.k - a.w // 2 AS k, CAST(a.upto - coalesce(b.upto, 0) AS DOUBLE) / a.w AS smoothed FROM w a LEFT JOIN w b ON {' AND '.join(f'b.{c.strip()} = a.{c.strip()}' for c in by.split(','))} AND b.k = a.k - a.w WHERE a.k >= a.w)"""
 
 
 @query(sql=f"WITH {S_SQL} SELECT modelo, foto_mes, CAST(sum(CASE WHEN prob >= {THRESHOLD} THEN CASE WHEN y THEN {HIT} ELSE -{MISS} END ELSE 0 END) AS BIGINT) AS gain, CAST(sum((prob >= {THRESHOLD})::INT) AS BIGINT) AS sent FROM s GROUP BY 1, 2")
@@ -25,16 +33,54 @@ def m4_gain_curve(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.gain_curve(scores(spark, sf), G, "prob", "y", "numero_de_cliente", HIT, MISS)
 
 
-@query(sql=_SMOOTH + " SELECT modelo, foto_mes, k, round(smoothed, 6) AS smoothed FROM p WHERE n = 41")
+def _plateau(spark: SparkSession, sf: str, window: int) -> DataFrame:
+    return metrics.plateau(metrics.gain_curve(scores(spark, sf), G, "prob", "y", "numero_de_cliente", HIT, MISS), G, window).withColumn("smoothed", F.round("smoothed", 6))
+
+
+@query(sql=_smooth_sql(_CURVE, "modelo, foto_mes", 401) + " SELECT modelo, foto_mes, CAST(k AS BIGINT) AS k, round(smoothed, 6) AS smoothed FROM p")
 def m5_plateau(spark: SparkSession, sf: str) -> DataFrame:
-    """Centred means of the gain curve, full windows only."""
-    return metrics.plateau(metrics.gain_curve(scores(spark, sf), G, "prob", "y", "numero_de_cliente", HIT, MISS), G, 41).withColumn("smoothed", F.round("smoothed", 6))
+    """Centred means of the gain curve; curves shorter than the window have a window of their length."""
+    return _plateau(spark, sf, 401)
+
 
+@query(sql=_smooth_sql(_CURVE, "modelo, foto_mes", 40) + " SELECT modelo, foto_mes, CAST(k AS BIGINT) AS k, round(smoothed, 6) AS smoothed FROM p")
+def m5_plateau_even(spark: SparkSession, sf: str) -> DataFrame:
+    """An even window is one less."""
+    return _plateau(spark, sf, 40)
 
-@query(sql=_SMOOTH + " SELECT modelo, foto_mes, k, round(smoothed, 6) AS smoothed FROM p WHERE n = 41 QUALIFY row_number() OVER (PARTITION BY modelo, foto_mes ORDER BY round(smoothed, 6) DESC, k) = 1")
+
+@query(sql=_smooth_sql(_CURVE, "modelo, foto_mes", 401) + ", r AS (SELECT modelo, foto_mes, k, round(smoothed, 6) AS smoothed FROM p) SELECT modelo, foto_mes, smoothed, CAST(k AS BIGINT) AS k FROM r QUALIFY row_number() OVER (PARTITION BY modelo, foto_mes ORDER BY smoothed DESC, k) = 1")
 def m5_best_cut(spark: SparkSession, sf: str) -> DataFrame:
-    p = metrics.plateau(metrics.gain_curve(scores(spark, sf), G, "prob", "y", "numero_de_cliente", HIT, MISS), G, 41).withColumn("smoothed", F.round("smoothed", 6))
-    return metrics.best_cut(p, G)
+    return metrics.best_cut(_plateau(spark, sf, 401), G)
+
+
+_FOLD_CURVE = "WITH k AS (SELECT fold, row_number() OVER (PARTITION BY fold ORDER BY envios) AS k, ganancia AS gain FROM curva_ganancia)"
+
+
+@query(
+    sql=_smooth_sql(_FOLD_CURVE, "fold", 11) + """, g AS (SELECT fold, max(smoothed) AS gain FROM p GROUP BY 1), n AS (SELECT fold, max(envios) AS rows FROM curva_ganancia GROUP BY 1)
+SELECT round(avg(gain / rows) * avg(rows), 4) AS objective FROM g JOIN n USING (fold)"""
+)
+def m8_objective(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean plateau gain of the stored curves, each fold brought to the mean size."""
+    c = table(spark, sf, "curva_ganancia")
+    curve = running_by_order(c, ["fold"], [F.col("envios").asc()]).select("fold", F.col("pos").alias("k"), F.col("ganancia").alias("gain"))
+    best = metrics.best_cut(metrics.plateau(curve, ["fold"], 11), ["fold"]).select("fold", F.col("smoothed").alias("gain"))
+    folds = best.join(c.groupBy("fold").agg(F.max("envios").alias("rows")), "fold")
+    return metrics.trial_objective(folds, [], "gain", "rows").select(F.round("objective", 4).alias("objective"))
+
+
+@query(
+    sql=f"""WITH {S_SQL}, n AS (SELECT foto_mes, count(DISTINCT numero_de_cliente) AS n FROM s GROUP BY 1), b AS (SELECT envios FROM curva_ganancia QUALIFY row_number() OVER (PARTITION BY fold ORDER BY ganancia DESC, envios) = 1),
+x AS (SELECT (SELECT median(envios) FROM b) * max_by(n, foto_mes) / min_by(n, foto_mes) / 500.0 AS x FROM n)
+SELECT 'auto' AS kind, CAST(greatest(500, round_even(x, 0) * 500) AS BIGINT) AS cut FROM x UNION ALL SELECT 'list', unnest([100, 200, 900])::BIGINT UNION ALL SELECT 'one', 700"""
+)
+def m9_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Cuts given as a number, as a list, and found: the folds' best cuts brought from the first scored month's size to the last's."""
+    sizes = {r["foto_mes"]: r["n"] for r in scores(spark, sf).groupBy("foto_mes").agg(F.countDistinct("numero_de_cliente").alias("n")).collect()}  # one row a month
+    best = [r["envios"] for r in m8_best_per_fold(spark, sf).collect()]  # one row a fold
+    kinds = {"auto": metrics.resolve_cuts("auto", best, sizes[max(sizes)], sizes[min(sizes)]), "list": metrics.resolve_cuts([900, 100, 200, 100]), "one": metrics.resolve_cuts(700)}
+    return spark.createDataFrame([(k, c) for k, cuts in kinds.items() for c in cuts], "kind string, cut long")
 
 
 @query(
@@ -46,10 +92,16 @@ def m6_auc(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.auc(scores(spark, sf), G, "prob", "y").withColumn("auc", F.round("auc", 8))
 
 
-@query(sql=_CURVE + " SELECT * FROM k WHERE k % 100 = 0")
+@query(sql=_CURVE + " SELECT * FROM k WHERE k % 100 = 0 AND k <= 30000")
 def m7_sampled_curve(spark: SparkSession, sf: str) -> DataFrame:
-    """Every 100th point: the form in which curves are kept."""
-    return metrics.gain_curve(scores(spark, sf), G, "prob", "y", "numero_de_cliente", HIT, MISS).where("k % 100 = 0")
+    """Every 100th point up to 30,000: the form in which curves are kept."""
+    return metrics.gain_curve(scores(spark, sf), G, "prob", "y", "numero_de_cliente", HIT, MISS).where("k % 100 = 0 and k <= 30000")
+
+
+@query(sql=f"WITH {S_SQL} SELECT modelo, foto_mes, count(*) AS n, min(prob) AS min, max(prob) AS max, round(avg(prob), 8) AS mean FROM s GROUP BY 1, 2")
+def m7_score_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores in one line each; the approximate percentiles are tested apart."""
+    return metrics.score_summary(scores(spark, sf), G, "prob").select(*G, "n", "min", "max", F.round("mean", 8).alias("mean"))
 
 
 @query(sql="SELECT fold, valid, envios, ganancia FROM curva_ganancia QUALIFY row_number() OVER (PARTITION BY fold ORDER BY ganancia DESC, envios) = 1")
@@ -78,13 +130,14 @@ def d10_score_contract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    sql=f"""WITH {S_SQL}, l AS (SELECT * FROM s WHERE foto_mes = (SELECT max(foto_mes) FROM s)), r AS (SELECT modelo, numero_de_cliente, (rank() OVER (PARTITION BY modelo ORDER BY prob) + (count(*) OVER (PARTITION BY modelo, prob) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY modelo) AS x FROM l)
-SELECT numero_de_cliente, round(least(greatest(avg(x), 0), 1), 8) AS prob FROM r GROUP BY 1"""
+    sql=f"""WITH {S_SQL}, d AS (SELECT foto_mes, count(DISTINCT modelo) AS models FROM s GROUP BY 1), ok AS (SELECT foto_mes, numero_de_cliente FROM s JOIN d USING (foto_mes) GROUP BY ALL HAVING count(DISTINCT modelo) = max(models)),
+l AS (SELECT s.* FROM s JOIN ok USING (foto_mes, numero_de_cliente)), x AS (SELECT foto_mes, modelo, prob, (sum(count(*)) OVER (PARTITION BY foto_mes, modelo ORDER BY prob) - (count(*) - 1) / 2.0::DOUBLE) / sum(count(*)) OVER (PARTITION BY foto_mes, modelo) AS r FROM l GROUP BY 1, 2, 3)
+SELECT foto_mes, numero_de_cliente, round(least(greatest(avg(r), 0), 1), 8) AS prob FROM l JOIN x USING (foto_mes, modelo, prob) GROUP BY 1, 2"""
 )
 def m10_rank_ensemble(spark: SparkSession, sf: str) -> DataFrame:
-    s = scores(spark, sf)
-    last = s.where(F.col("foto_mes") == s.agg(F.max("foto_mes")).first()[0])
-    return ensemble.combine(last, "modelo", "numero_de_cliente", "prob", "rank", strict=False).withColumn("prob", F.round("prob", 8))
+    """Every month's models over the clients that all of them scored."""
+    s = stage(ensemble.common_entities(scores(spark, sf), "modelo", "numero_de_cliente", ("foto_mes",)), "common")
+    return ensemble.combine(s, "modelo", "numero_de_cliente", "prob", "rank", groups=("foto_mes",)).withColumn("prob", F.round("prob", 8))
 
 
 @query(sql=f"WITH {S_SQL} SELECT foto_mes, numero_de_cliente, round(avg(prob), 8) AS prob FROM s GROUP BY 1, 2")
@@ -92,14 +145,15 @@ def m11_mean_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scores(spark, sf).groupBy("foto_mes", "numero_de_cliente").agg(F.round(F.avg("prob"), 8).alias("prob"))
 
 
-_TOP = f"WITH {S_SQL}, t AS (SELECT modelo, numero_de_cliente FROM s WHERE foto_mes = (SELECT max(foto_mes) FROM s) QUALIFY row_number() OVER (PARTITION BY modelo ORDER BY prob DESC, numero_de_cliente) <= 100), n AS (SELECT modelo, count(*) AS n FROM t GROUP BY 1)"
-
-
-@query(sql=_TOP + " SELECT x.modelo AS a, z.modelo AS b, count(*) AS both, round(count(*)::DOUBLE / (max(na.n) + max(nb.n) - count(*)), 8) AS jaccard FROM t x JOIN t z ON x.numero_de_cliente = z.numero_de_cliente AND x.modelo < z.modelo JOIN n na ON na.modelo = x.modelo JOIN n nb ON nb.modelo = z.modelo GROUP BY 1, 2")
+@query(
+    sql=f"""WITH {S_SQL}, t AS (SELECT foto_mes, modelo, numero_de_cliente FROM s QUALIFY row_number() OVER (PARTITION BY foto_mes, modelo ORDER BY prob DESC, numero_de_cliente) <= 100), n AS (SELECT foto_mes, modelo, count(*) AS n FROM t GROUP BY 1, 2)
+SELECT x.foto_mes, x.modelo AS a, z.modelo AS b, count(*) AS both, round(count(*)::DOUBLE / (max(na.n) + max(nb.n) - count(*)), 8) AS jaccard FROM t x JOIN t z ON x.foto_mes = z.foto_mes AND x.numero_de_cliente = z.numero_de_cliente AND x.modelo < z.modelo
+JOIN n na ON na.foto_mes = x.foto_mes AND na.modelo = x.modelo JOIN n nb ON nb.foto_mes = z.foto_mes AND nb.modelo = z.modelo GROUP BY 1, 2, 3"""
+)
 def u5_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    s = scores(spark, sf)
-    last = s.where(F.col("foto_mes") == s.agg(F.max("foto_mes")).first()[0])
-    return ensemble.jaccard(ensemble.top_sets(last, "modelo", "numero_de_cliente", "prob", 100), "modelo", "numero_de_cliente").withColumn("jaccard", F.round("jaccard", 8))
+    """How far the 100 best of every two models agree, month by month."""
+    top = ensemble.top_sets(scores(spark, sf), "modelo", "numero_de_cliente", "prob", 100, ("foto_mes",))
+    return ensemble.jaccard(top, "modelo", "numero_de_cliente", ("foto_mes",)).withColumn("jaccard", F.round("jaccard", 8))
 
 
 @query(sql=f"WITH {S_SQL}, p AS (SELECT DISTINCT modelo, numero_de_cliente FROM s) SELECT modelo, (SELECT count(DISTINCT numero_de_cliente) FROM p) - count(*) AS missing FROM p GROUP BY 1")
@@ -114,10 +168,35 @@ def t6_minority_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample_with_minority(monthly(spark, sf, "prod").select("c", "t", "clase"), ["c", "t"], F.col("clase") == "BAJA+2", 500, 11)
 
 
-@query
+_W64 = "18446744073709551616::UHUGEINT"
+
+
+def _mix_sql(e: str, steps: list[tuple[int, int]]) -> str:
+    """The wrapping products of splitmix64 in 128-bit integers, one nested query a step."""
+    q = f"SELECT c, t, clase, {e} AS z FROM m"
+    for shift, factor in steps:
+        q = f"SELECT c, t, clase, (xor(z, z // {1 << shift}::UHUGEINT) * {factor}::UHUGEINT) % {_W64} AS z FROM ({q})"
+    return q
+
+
+_SEED = 104729
+_DRAWN = _mix_sql(f"(xor((c::UHUGEINT * {ENTITY_FACTOR} + t::UHUGEINT) % {_W64}, {_SEED}::UHUGEINT) + {GOLDEN}::UHUGEINT) % {_W64}", [(30, MIX_1), (27, MIX_2)])
+
+
+@query(sql=f"WITH {M_SQL} SELECT c, t, clase FROM ({_DRAWN}) WHERE coalesce(clase LIKE 'BAJA%', false) OR (xor(z, z // {1 << 31}::UHUGEINT) // 2048)::DOUBLE / 9007199254740992.0 <= 0.1")
 def t7_undersample(spark: SparkSession, sf: str) -> DataFrame:
     """Leavers, and a tenth of the others by the splitmix64 number of client, month and seed."""
-    return sampling.undersample(monthly(spark, sf, "prod").select("c", "t", "clase"), "c", "t", F.col("clase").startswith("BAJA"), 0.1, 104729)
+    return sampling.undersample(monthly(spark, sf, "prod").select("c", "t", "clase"), "c", "t", F.col("clase").startswith("BAJA"), 0.1, _SEED)
+
+
+@query(
+    sql=f"WITH {M_SQL}, n AS (SELECT clase, count(*) AS n FROM m WHERE clase IS NOT NULL GROUP BY 1), r AS (SELECT clase, n, unnest(range(1, 6)) AS repetition, CAST(round_even(n * 0.7::DOUBLE, 0) AS BIGINT) AS first FROM n) "
+    "SELECT CAST(repetition AS INTEGER) AS repetition, clase, 1 AS part, first AS n FROM r UNION ALL SELECT CAST(repetition AS INTEGER), clase, 2, n - first FROM r"
+)
+def t10_repeated_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of five stratified 70/30 splits: exact in every class."""
+    m = monthly(spark, sf, "prod").where("clase is not null").select("c", "t", "clase")
+    return sampling.repeated_splits(m, ["clase"], ["c", "t"], 0.7, 5, 29).groupBy("repetition", "clase", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(sql=f"WITH {M_SQL} SELECT count(*) FILTER (WHERE coalesce(clase LIKE 'BAJA%', false)) AS kept, count(*) FILTER (WHERE NOT coalesce(clase LIKE 'BAJA%', false)) AS others, CAST(round(count(*) FILTER (WHERE coalesce(clase LIKE 'BAJA%', false)) + 0.1::DOUBLE * count(*) FILTER (WHERE NOT coalesce(clase LIKE 'BAJA%', false))) AS BIGINT) AS expected FROM m")
@@ -145,12 +224,12 @@ _TRIALS = "x AS (SELECT CAST(envios // 2000 AS BIGINT) AS trial, fold, ganancia
 
 @query(
     sql=f"""WITH {_TRIALS}, g AS (SELECT trial, count(*) AS n, avg(ganancia) AS mean, median(ganancia) AS median, stddev_pop(ganancia) AS std, min(ganancia) AS min, max(ganancia) AS max FROM x GROUP BY 1)
-SELECT trial, n, round(mean, 3) AS mean, median, round(std, 2) AS std, min, max, median AS score, trial = (SELECT trial FROM g ORDER BY median DESC, trial LIMIT 1) AS chosen FROM g"""
+SELECT trial, n, round(mean, 3) AS mean, median, round(std, 2) AS std, min, max, median AS score, round(max - median, 2) AS optimism, trial = (SELECT trial FROM g ORDER BY median DESC, trial LIMIT 1) AS chosen FROM g"""
 )
 def m13_trial_stability(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "curva_ganancia").where("envios > 0").select(F.expr("envios div 2000").alias("trial"), "ganancia")
     s = compare.trial_stability(x, "trial", "ganancia")
-    return s.withColumns({"mean": F.round("mean", 3), "std": F.round("std", 2)})
+    return s.withColumns({"mean": F.round("mean", 3), "std": F.round("std", 2), "optimism": F.round("optimism", 2)})
 
 
 @query(
@@ -177,13 +256,27 @@ def m15_canary_test(spark: SparkSession, sf: str) -> DataFrame:
     return compare.canary_test(c.unionByName(fake), "feature", "bloque", "gain")
 
 
+def _population(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every scored client and month with its label, and the 300 best of every model and month."""
+    s = stage(scores(spark, sf).withColumn("row", F.struct("foto_mes", "numero_de_cliente")), "scored")
+    return s.groupBy("row").agg(F.max("y").alias("y")), ensemble.top_sets(s, "modelo", "row", "prob", 300, ("foto_mes",)).select("modelo", "row")
+
+
+@query(
+    sql=f"""WITH {S_SQL}, e AS (SELECT foto_mes, numero_de_cliente, max(y::INT) AS y FROM s GROUP BY 1, 2), n AS (SELECT y, count(*) AS n FROM e GROUP BY 1)
+SELECT CAST(sim AS INTEGER) AS sim, y = 1 AS y, n, CAST(round_even(0.3::DOUBLE * n, 0) AS BIGINT) AS public FROM n, (SELECT unnest(range(0, 50)) AS sim)"""
+)
+def m12_public_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of the public part among positives and others: exact in every simulation."""
+    p = compare.public_parts(_population(spark, sf)[0], "row", "y", 50, 0.3, 17)
+    return p.groupBy("sim", "y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("public").cast("long")).alias("public"))
+
+
 @query
 def m12_public_private(spark: SparkSession, sf: str) -> DataFrame:
-    """How often the best model of a simulated public part wins the private one."""
-    s = scores(spark, sf)
-    sent = s.join(ensemble.top_sets(s.where("foto_mes = 202107"), "modelo", "numero_de_cliente", "prob", 300), ["modelo", "numero_de_cliente"], "left_semi").where("foto_mes = 202107")
-    g = sent.select("modelo", "numero_de_cliente", metrics.gain_of("y", HIT, MISS).alias("g"))
-    return compare.simulate_public_private(g, "modelo", "numero_de_cliente", "g", 50, 0.3, 17)
+    """How the models do on simulated public and private parts of all months, and how a choice by the public part fares."""
+    people, sent = _population(spark, sf)
+    return compare.simulate_public_private(people, sent, "modelo", "row", "y", HIT, MISS, 50, 0.3, 17)
 
 
 @query
