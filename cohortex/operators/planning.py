@@ -42,7 +42,10 @@ def seeds(given: list[int], n: int, master: int = 0) -> list[int]:
     more = n - len(given)
     if more <= 0:
         return list(given[:n])
-    others = [p for p in range(LOWEST_SEED, HIGHEST_SEED + 1) if p not in given and is_prime(p)]
+    prime = bytearray([1]) * (HIGHEST_SEED + 1)
+    for p in range(2, int(HIGHEST_SEED**0.5) + 1):
+        prime[p * p :: p] = bytes(len(range(p * p, HIGHEST_SEED + 1, p)))
+    others = [p for p in range(LOWEST_SEED, HIGHEST_SEED + 1) if prime[p] and p not in given]
     return [*given, *random.Random(master).sample(others, more)]
 
 

@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 #: Modules that register queries when imported.
-MODULES = ("rolling", "relational", "features", "scoring", "analysis", "io")
+MODULES = ("rolling", "relational", "features", "scoring", "analysis", "workflow", "io")
 
 
 def query(f=None, *, sql: str | None = None):

@@ -84,26 +84,36 @@ def s14_schema(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("column", F.regexp_replace("type", "timestamp_ntz", "timestamp").alias("type"))
 
 
-@query
+@query(sql="SELECT 'run_' || k AS run, 'ok' AS state, CASE WHEN k = 1 THEN 0 ELSE 1 END AS has_files FROM (VALUES (1), (2)) x(k)")
 def s18_run_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Two runs appended to the ledger."""
-    p = _place(spark, "corridas")
-    for k in (1, 2):
-        io.append_run(spark, p, f"run_{k}", {"semilla": 104729 + k})
-    return spark.read.parquet(p).select("run", "params")
-
-
-@query(sql="SELECT CAST(ts AS DATE) AS day, user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+    """Two runs appended to the ledger, the second with the hashes of what it wrote."""
+    p, out = _place(spark, "corridas"), _place(spark, "salida")
+    io.write_csv(table(spark, sf, "division_objetivo"), out)
+    io.append_run(spark, p, "run_1", {"semilla": 104729})
+    io.append_run(spark, p, "run_2", {"semilla": 104729}, outputs=out)
+    hashed = F.size(F.filter("files", lambda f: F.length(f["sha256"]) == 64))
+    return spark.read.parquet(p).select("run", "state", (hashed > 0).cast("int").alias("has_files"))
+
+
+@query(
+    sql="""WITH e AS (SELECT CAST(ts AS DATE) AS day, user_id, value FROM events WHERE ts IS NOT NULL), h AS (SELECT max(day) AS last FROM e)
+SELECT day, user_id, count(*) AS n, round(sum(value), 4) AS total FROM e, h WHERE day < last - 2 GROUP BY 1, 2"""
+)
 def stream_daily_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a stream of files into finished days; a sentinel far ahead closes the last window."""
+    """Events as a stream of daily files in order into the days that the watermark of two days has finished; a row of a finished day that comes late is left out."""
     from cohortex.streaming.panel_stream import daily_totals, landing_stream, run_to_table
 
     src, out, at = _place(spark, "stream-in"), _place(spark, "stream-out"), _place(spark, "stream-at")
-    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
-    e.write.parquet(src)
-    q = run_to_table(daily_totals(landing_stream(spark, src, e.schema), "ts", "user_id", "value", "4000 days"), out, at)
-    end = spark.createDataFrame([(None, 0.0)], "user_id long, value double").select(F.timestamp_seconds(F.lit(4102444800)).alias("ts"), "user_id", "value")
-    end.write.mode("append").parquet(src)
-    q = run_to_table(daily_totals(landing_stream(spark, src, e.schema), "ts", "user_id", "value", "4000 days"), out, at)
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value").where("ts is not null")
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    e.where(F.col("ts") < F.lit(last)).write.parquet(src)
+    run_to_table(daily_totals(landing_stream(spark, src, e.schema, 1_000), "ts", "user_id", "value", "2 days"), out, at)
+    late = spark.createDataFrame([(-1, 1e9)], "user_id long, value double").select(F.lit(first).alias("ts"), "user_id", "value")
+    e.where(F.col("ts") >= F.lit(last)).write.mode("append").parquet(src)
+    run_to_table(daily_totals(landing_stream(spark, src, e.schema, 1_000), "ts", "user_id", "value", "2 days"), out, at)
+    late.write.mode("append").parquet(src)  # its day is finished
+    q = run_to_table(daily_totals(landing_stream(spark, src, e.schema, 1_000), "ts", "user_id", "value", "2 days"), out, at)
     assert q.exception() is None
-    return spark.read.schema("day date, user_id long, n long, total double").parquet(out).where("user_id is not null").select("day", "user_id", "n", F.round("total", 4).alias("total"))
+    done = spark.read.schema("day date, user_id long, n long, total double").parquet(out)
+    end = F.date_sub(F.lit(last).cast("date"), 2)
+    return done.where(F.col("day") < end).select("day", "user_id", "n", F.round("total", 4).alias("total"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cohortex.functions.exprs import splitmix64_uniform
+from cohortex.functions.exprs import normal, splitmix64_uniform
 from cohortex.operators import compare, ensemble, metrics, sampling
 from cohortex.operators.quality import gates, require_columns, require_periods, same_summary
 from cohortex.operators.ranking import running_by_order, running_in_groups, uniform
@@ -35,7 +35,12 @@ def test_curve_and_plateau(spark):
     got = [r["gain"] for r in metrics.gain_curve(d, [], "s", "y", "id", 39, 1).orderBy("k").collect()]
     assert got == want
     sm = {r["k"]: r["smoothed"] for r in metrics.plateau(metrics.gain_curve(d, [], "s", "y", "id", 39, 1), [], 10).collect()}
-    assert set(sm) == set(range(6, 396)) and sm[6] == pytest.approx(sum(want[:11]) / 11) and sm[395] == pytest.approx(sum(want[-11:]) / 11)
+    assert set(sm) == set(range(5, 397)) and sm[5] == pytest.approx(sum(want[:9]) / 9) and sm[396] == pytest.approx(sum(want[-9:]) / 9)  # an even window is one less
+    short = spark.createDataFrame([("a", k, want[k - 1]) for k in range(1, 46)] + [("b", k, want[k - 1]) for k in range(1, 3)] + [(None, 1, 7)], "g string, k long, gain long")
+    got = {(r["g"], r["k"]): r["smoothed"] for r in metrics.plateau(short, ["g"], 401).collect()}
+    assert got == {("a", 23): pytest.approx(sum(want[:45]) / 45), ("b", 1): want[0], ("b", 2): want[1], (None, 1): 7.0}
+    with pytest.raises(Exception, match="null or NaN"):
+        metrics.gain_curve(spark.createDataFrame([(1, float("nan"), True)], "id long, s double, y boolean"), [], "s", "y", "id", 39, 1).collect()
     cut = metrics.best_cut(spark.createDataFrame(list(sm.items()), "k long, smoothed double"), []).first()
     assert cut["k"] == min(k for k, v in sm.items() if v == max(sm.values()))
 
@@ -66,7 +71,7 @@ def test_top_cut_and_contract(spark):
     for bad in (0, 4):
         with pytest.raises(ValueError):
             metrics.top_n(d, "id", "s", bad)
-    assert metrics.auto_cut([10_000, 12_000], 200, [100, 100]) == 22_000 and metrics.auto_cut([1], 1, [1]) == 500
+    assert metrics.auto_cut([10_000, 12_000], 200, 100) == 22_000 and metrics.auto_cut([1], 1, 1) == 500 and metrics.resolve_cuts([3, 1, 3]) == [1, 3] and metrics.auto_cut([750], 1, 1) == 1000
     v = metrics.contract_violations(spark.createDataFrame([("a", None, 0.1), ("a", 1, float("nan")), ("a", 1, 2.0), ("a", 2, None)], "m string, id long, s double"), ["m"], "id", "s").first()
     assert (v["null_ids"], v["repeated_ids"], v["missing_scores"], v["outside_scores"]) == (1, 1, 2, 1)
 
@@ -76,8 +81,13 @@ def test_ensemble(spark):
     d = spark.createDataFrame(rows, "m string, id long, s double")
     got = {r["id"]: r["prob"] for r in ensemble.combine(d, "m", "id", "s").collect()}
     assert got[1] == pytest.approx(1 / 3) and got[2] == pytest.approx((2.5 / 3 + 2 / 3) / 2) and got[3] == pytest.approx((2.5 / 3 + 1) / 2)
-    with pytest.raises(ValueError):
-        ensemble.combine(d.where("not (m = 'b' and id = 3)"), "m", "id", "s")
+    for bad, how in ((d.where("not (m = 'b' and id = 3)"), {}), (d.where("m = 'a'"), {}), (d, {"weights": {"a": 1.0}}), (d, {"weights": {"a": 1.0, "b": 0.0}}), (d, {"method": "max"})):
+        with pytest.raises(ValueError):
+            ensemble.combine(bad, "m", "id", "s", **how)
+    three = {r["id"]: r["prob"] for r in ensemble.combine(d, "m", "id", "s", weights={"a": 3.0, "b": 1.0}).collect()}
+    assert three[1] == pytest.approx(1 / 3) and three[3] == pytest.approx((3 * 2.5 / 3 + 1) / 4)
+    apart = d.unionByName(d.where("id < 3").withColumn("id", F.col("id") + 10)).withColumn("g", (F.col("id") > 5).cast("int"))
+    assert ensemble.combine(apart, "m", "id", "s", groups=("g",)).count() == 5 and ensemble.common_entities(d.where("not (m = 'b' and id = 3)"), "m", "id").count() == 4
     j = ensemble.jaccard(spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3)], "m string, id long"), "m", "id").first()
     assert (j["both"], j["jaccard"]) == (1, pytest.approx(1 / 3))
 
@@ -94,6 +104,33 @@ def test_samples(spark):
     assert b == {("BAJA+2", 1): 280, ("BAJA+2", 2): 120, ("CONTINUA", 1): 13720, ("CONTINUA", 2): 5880}
 
 
+def plain_splitmix(entity, period, seed):
+    """The number by Python's whole integers."""
+    full = (1 << 64) - 1
+    z = (((entity * 1_000_003 + period) & full) ^ seed) + 0x9E3779B97F4A7C15 & full
+    z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & full
+    z = ((z ^ z >> 27) * 0x94D049BB133111EB) & full
+    return ((z ^ z >> 31) >> 11) / (1 << 53)
+
+
+def test_named_numbers(spark):
+    rows = [(1, 202106), (48_000_123, 202101), (999_999_999_999, 202112), (None, 202101), (5, None)]
+    got = [r["u"] for r in spark.createDataFrame(rows, "c long, t int").select(splitmix64_uniform("c", "t", 104729).alias("u")).collect()]
+    assert got[:3] == [plain_splitmix(c, t, 104729) for c, t in rows[:3]] and got[3:] == [None, None]
+    n = spark.range(20_000).select(normal("id", seed=3).alias("x")).agg(F.avg("x"), F.stddev("x"), F.max("x")).first()
+    assert abs(n[0]) < 0.03 and abs(n[1] - 1) < 0.02 and 3 < n[2] < 7
+
+
+def test_public_parts_are_exact(spark):
+    people = spark.range(103).select(F.col("id"), (F.col("id") < 13).alias("y"))
+    p = compare.public_parts(people, "id", "y", 4, 0.3, 7)
+    assert {(r["sim"], r["y"]): r["public"] for r in p.groupBy("sim", "y").agg(F.sum(F.col("public").cast("int")).alias("public")).collect()} == {(k, y): n for k in range(4) for y, n in ((True, 4), (False, 27))}
+    sent = spark.createDataFrame([(m, i) for m, ids in (("a", range(0, 20)), ("b", range(90, 103))) for i in ids], "m string, id long")
+    r = {x["m"]: x for x in compare.simulate_public_private(people, sent, "m", "id", "y", 39, 1, 4, 0.3, 7).collect()}
+    assert (r["a"]["wins"], r["a"]["wins_private"], r["a"]["regret"], r["b"]["wins"]) == (4, 4, 0.0, 0) and r["a"]["private_mean"] > 300
+    assert compare.winner_risk(spark.createDataFrame([(2, 1, 5.0), (2, 2, 0.0), (0, 0, None)], "wins long, wins_private long, regret double")).first().asDict() == {"sims": 4, "loses": 0.25, "regret": 2.5}
+
+
 def test_comparisons(spark):
     rows = [(v, s, f, base + 0.01 * s) for v, base in (("ref", 1.0), ("better", 2.0), ("same", 1.0)) for s in range(5) for f in (0, 1)]
     got = {r["v"]: r["verdict"] for r in compare.paired_comparison(spark.createDataFrame(rows, "v string, s long, f long, x double"), "v", "ref", "s", "f", "x").collect()}
