@@ -22,7 +22,7 @@ def _tree(k: dict) -> dict:
 MODELS = {
     "tree": lambda **k: DecisionTreeClassifier(**_tree(k)),
     "forest": lambda **k: RandomForestClassifier(numTrees=k.get("trees", 20), featureSubsetStrategy=k.get("features", "auto"), subsamplingRate=k.get("rows", 1.0), **_tree({"depth": 6} | k)),
-    "boosting": lambda **k: GBTClassifier(maxIter=k.get("trees", 10), stepSize=k.get("rate", 0.1), subsamplingRate=k.get("rows", 1.0), validationIndicatorCol=k.get("stop_on"), **_tree({"depth": 3} | k)),
+    "boosting": lambda **k: GBTClassifier(maxIter=k.get("trees", 10), stepSize=k.get("rate", 0.1), subsamplingRate=k.get("rows", 1.0), **({"validationIndicatorCol": k["stop_on"]} if k.get("stop_on") else {}), **_tree({"depth": 3} | k)),
 }
 
 
