@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from cohortex.functions.exprs import safe_ratio, safe_sum
 from cohortex.functions.periods import month_index
-from cohortex.operators.panel import dense_panel
-from cohortex.operators.ranks import deflated, percent_ranks, signed_ranks
+from cohortex.operators.panel import calendar_periods, ghost_rows
+from cohortex.operators.ranks import deflated, percent_ranks, rank_counts, signed_ranks, with_percent_ranks
 from cohortex.operators.series import Catalog, SeriesSpec, add_series, check_no_future
-from cohortex.staging import stage
+from cohortex.staging import release, released, stage
 
 
 @dataclass(frozen=True)
@@ -216,26 +216,65 @@ def build_features(fact: DataFrame, entity: str, period: str, plan: FeaturePlan)
     real rows before anything looks back at them.  Series see ghost rows, ranks
     do not.  The table is refused if any series looks ahead.  Fields that the
     table lacks are left out.
+
+    The disk holds narrow rows only: the fact and the counts behind its ranks
+    are staged, and brought together by entity in one shuffle of the result's
+    plan.  All features are made after it.
     """
     cat = Catalog()
-    panel = add_row_features(dense_panel(stage(fact, "fact"), entity, period, plan.calendar), plan.rows, cat)
-    if plan.rescaled or plan.rank_fields:
-        panel = stage(panel, "panel")
-    base = panel.where("present = 1").drop("present")
+    fact = stage(fact, "fact")
+    entities, periods = F.col(entity).isNotNull(), calendar_periods(fact, period, plan.calendar)
+    real = fact.where(entities & F.col(period).isin(periods))
+    ghosts = ghost_rows(real, entity, period, periods)
     if plan.rescaled:
-        base = stage(rescale(base, period, list(plan.rescaled), [entity], plan.method), "rescaled")
-        panel = panel.drop(*plan.rescaled).join(base.select(entity, period, *plan.rescaled), [entity, period], "left")
+        rows = stage(rescale(add_row_features(real, plan.rows, cat), period, list(plan.rescaled), [entity], plan.method), "rescaled")
+        none = {f: F.lit(None).cast(dict(rows.dtypes)[f]) for f in plan.rescaled}
+        unseen = add_row_features(_with_nulls(ghosts, real), plan.rows, Catalog()).withColumns(none)
+        panel, base = _union(rows, unseen), rows
+        derived = lambda df, _: df
+    else:
+        panel, base = _union(real, _with_nulls(ghosts, real)), add_row_features(real, plan.rows, Catalog())
+        derived = lambda df, cat: add_row_features(df, plan.rows, cat)
+    fields = [f for f in plan.rank_fields if f in base.columns]
+    added = None  # what the ranking adds to the rows: staged, and as small as it can be
+    if fields:
+        added, sizes = rank_counts(base, period, fields, [entity])
+    if plan.rfm:
+        with released(fact.sparkSession) as kept:
+            now = _over_time(base, derived(panel.repartition(entity), Catalog()), entity, period, plan, Catalog())
+            score = stage(rfm_score(stage(now.where("present = 1").select(entity, period, *plan.rfm), "unscored"), period, [entity], *plan.rfm), "scored")
+            merged = stage(added.join(score, [entity, period]), "added") if fields else score
+            kept.append(merged)
+        if fields:
+            release(added)
+        added = merged
+    # Joined by the entity alone (the periods only have to be equal), rows are where the windows want them: wide rows are never shuffled.
+    before = [c for c in panel.columns if c not in (entity, period, "present")]
+    if added is not None:
+        r = added.select(F.col(entity).alias("__e"), F.col(period).alias("__p"), *[c for c in added.columns if c not in (entity, period)]).hint("merge")
+        panel = panel.join(r, (F.col(entity) == F.col("__e")) & (F.col(period) <= F.col("__p")) & (F.col(period) >= F.col("__p")), "left").drop("__e", "__p")
+    else:
+        panel = panel.repartition(entity)
+    panel = derived(panel, cat)
     series = _over_time(base, panel, entity, period, plan, cat)
     check_no_future(series)
-    real = series.where("present = 1").drop("present")
     fields, names = _rank_names(base, plan, cat)
+    out = series.where("present = 1").drop("present")
     if fields:
-        real = real.join(percent_ranks(base, period, fields, [entity]).select(entity, period, *names), [entity, period])
+        out = with_percent_ranks(out, sizes, period, fields)
     if plan.rfm:
-        real = stage(real, "unscored")  # cuts the plan, whose hundreds of expressions would be optimised again with every later step
         cat.add("comportamiento", "rfm_score", "quintiles of recency, frequency and money", ",".join(plan.rfm))
-        real = real.join(rfm_score(real, period, [entity], *plan.rfm), [entity, period])
-    return real, cat
+        names = [*names, "rfm_score"]
+    made = {f"{k}_{f}" for f in fields for k in ("pr", "dec")} | ({"rfm_score"} if plan.rfm else set())
+    return out.select(entity, period, *before, *[c for c in out.columns if c not in {entity, period, *before, *made}], *names), cat
+
+
+def _with_nulls(ghosts: DataFrame, rows: DataFrame) -> DataFrame:
+    return ghosts.select(*[F.col(c) if c in ghosts.columns else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+
+
+def _union(rows: DataFrame, ghosts: DataFrame) -> DataFrame:
+    return rows.withColumn("present", F.lit(1)).unionByName(ghosts.withColumn("present", F.lit(0)))
 
 
 def resolve_fields(df: DataFrame, spec: str | list[str], curated: list[str], excluded: frozenset[str] = frozenset()) -> list[str]:

@@ -13,6 +13,21 @@ def observed_periods(df: DataFrame, period: str) -> list[int]:
     return sorted(r[0] for r in df.select(period).where(F.col(period).isNotNull()).distinct().collect())
 
 
+def calendar_periods(fact: DataFrame, period: str, calendar: str) -> list[int]:
+    """``observed``: the periods that occur in the table; ``full``: all months from the first to the last."""
+    periods = observed_periods(fact, period)
+    return month_range(periods[0], periods[-1]) if calendar == "full" and periods else periods
+
+
+def _grid(fact: DataFrame, entity: str, period: str, periods: list[int]) -> DataFrame:
+    return fact.select(entity).where(F.col(entity).isNotNull()).distinct().withColumn(period, F.explode(F.array(*[F.lit(p) for p in periods]).cast("array<int>")))
+
+
+def ghost_rows(fact: DataFrame, entity: str, period: str, periods: list[int]) -> DataFrame:
+    """``entity, period`` of the panel's rows that the fact lacks; only these two columns are shuffled, not the fact."""
+    return _grid(fact, entity, period, periods).join(fact.select(entity, period), [entity, period], "left_anti")
+
+
 def dense_panel(fact: DataFrame, entity: str, period: str, calendar: str = "observed") -> DataFrame:
     """Every entity in every period: the fact's rows, and ghost rows with ``present`` 0 and nulls.
 
@@ -21,10 +36,7 @@ def dense_panel(fact: DataFrame, entity: str, period: str, calendar: str = "obse
     array that every entity is exploded with; there is no join of entities and
     periods.  The fact must hold one row per entity and period.
     """
-    periods = observed_periods(fact, period)
-    if calendar == "full" and periods:
-        periods = month_range(periods[0], periods[-1])
-    grid = fact.select(entity).where(F.col(entity).isNotNull()).distinct().withColumn(period, F.explode(F.array(*[F.lit(p) for p in periods]).cast("array<int>")))
+    grid = _grid(fact, entity, period, calendar_periods(fact, period, calendar))
     return grid.join(fact.withColumn("present", F.lit(1)), [entity, period], "left").withColumn("present", F.coalesce("present", F.lit(0)))
 
 

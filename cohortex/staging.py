@@ -38,11 +38,26 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what runs inside the block are deleted as it ends, not when the driver happens to collect its garbage."""
+    was = spark.conf.get(_DROP, None)
+    spark.conf.set(_DROP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_DROP) if was is None else spark.conf.set(_DROP, was)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to shared storage; the result reads that copy."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:10]}"
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     _made[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -60,12 +75,16 @@ def release(*dfs: DataFrame) -> None:
 
 @contextmanager
 def released(spark: SparkSession):
-    """Everything staged inside the block is deleted when it ends: wrap a query and the action on its result."""
-    before = set(_made)
+    """Everything staged inside the block is deleted when it ends: wrap a query and the action on its result.
+
+    The block gets a list; staged copies that are put into it stay.
+    """
+    before, kept = set(_made), []
     try:
-        yield
+        yield kept
     finally:
-        for path in [p for p, s in _made.items() if p not in before and s is spark]:
+        stay = before | {getattr(d, "_staged_path", None) for d in kept}
+        for path in [p for p, s in _made.items() if p not in stay and s is spark]:
             fs, p = _fs(_made.pop(path), path)
             fs.delete(p, True)
 
