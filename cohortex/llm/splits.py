@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import isqrt
+from math import gcd, isqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,26 +19,14 @@ def persons(counts: DataFrame, entity: str, links: DataFrame, a: str, b: str) ->
     return stage(sizes.join(comp, "entity", "left").select("entity", F.coalesce("component", "entity").alias("person"), "n"), "persons")
 
 
-LARGE = 4096
-
-
-def plan_splits(sizes: dict[int, int], shares: dict[str, float], max_bits: int = 1 << 24) -> dict[str, dict[int, int]]:
+def plan_splits(sizes: dict[int, int], shares: dict[str, float], max_bits: int = 1 << 12) -> dict[str, dict[int, int]]:
     """How many groups of each size go to each split so that the split totals come closest to ``shares``.
 
     sizes: how often each group size occurs.  Splits are filled from the
-    smallest share to the largest, which takes the rest.  For each, a bitset
-    holds all totals that the remaining multiplicities can sum to (bit t: total
-    t is reachable; a multiplicity m is m's binary parts, each one shift-or);
-    the reachable total nearest to the target is chosen (the lower of two
-    equally near) and walked back through the bitsets.  Of P bitsets only every
-    sqrt(P)-th is kept; the walk makes those of one stretch again at a time, so
-    the driver holds 2 * sqrt(P) of them, not P.
-
-    Totals above ``max_bits`` would make the bitsets large; then groups of more
-    than 1 / LARGE of the total (at most LARGE) are first placed one by one,
-    most groups of frequent sizes are dealt out in proportion to what is still
-    missing, and only the rest goes through the bitset, in units coarse enough
-    for ``max_bits``: the totals are then closest up to one unit per group.
+    smallest share to the largest, which takes the rest; each gets the reachable
+    total nearest to its target (the lower of two equally near).  That holds for
+    any number of records: see ``_closest``.  max_bits: the width of the first
+    bitset that is tried; wider ones follow as long as they are needed.
     """
     total = sum(s * m for s, m in sizes.items())
     left = {s: m for s, m in sizes.items() if m > 0 and s > 0}
@@ -47,54 +35,82 @@ def plan_splits(sizes: dict[int, int], shares: dict[str, float], max_bits: int =
         raise ValueError("shares must not be negative and must have a positive sum")
     order = sorted(shares, key=lambda k: (shares[k], k))
     plan: dict[str, dict[int, int]] = {k: {} for k in shares}
-    targets = {k: total * shares[k] / weight for k in shares}
-    if total > max_bits:
-        _deal(left, plan, targets, order, total)
     for k in order[:-1]:
-        rest = sum(s * m for s, m in left.items())
-        goal = max(0.0, targets[k] - sum(s * m for s, m in plan[k].items()))
-        unit = max(1, -(-rest // max_bits))
+        plan[k] = _closest(left, total * shares[k] / weight, max_bits)
+        for s, n in plan[k].items():
+            left[s] -= n
+    plan[order[-1]] = {s: m for s, m in left.items() if m}
+    return plan
+
+
+def _closest(left: dict[int, int], goal: float, bits: int) -> dict[int, int]:
+    """How many groups of each size to take for the reachable total nearest to ``goal``.
+
+    A first choice takes of every size its share, then whatever still fits, the
+    largest first, and is off by less than the largest size S.  It is changed
+    by a few groups of few sizes, by a bitset of the totals that this can reach.
+    No total is nearer than the nearest multiple of the sizes' common divisor g;
+    where that isn't reached, more groups of more sizes may change, until 4 S / g
+    of each do.  That is enough: of more than 3 S / g changes, put in an order
+    that keeps their running sum within 3 S, two running sums are equal, and
+    what is between them can be left out without changing the total.
+    """
+    rest = sum(s * m for s, m in left.items())
+    take = {s: min(m, int(m * goal / rest)) for s, m in left.items()} if rest else {}
+    at = sum(s * n for s, n in take.items())
+    for s, m in sorted(left.items(), reverse=True):
+        more = max(0, min(m - take[s], int((goal - at) // s)))
+        take[s] += more
+        at += s * more
+    off = abs(goal - at)
+    useful = {s: m for s, m in sorted(left.items()) if m and s <= goal + off}  # a larger group alone is further off
+    g = gcd(*useful) or 1
+    most_at = sum(s * m for s, m in useful.items())
+    low = min(most_at, int(goal // g) * g)
+    best = low if goal - low <= low + g - goal or low + g > most_at else low + g
+    most = 4 * (max(useful, default=0) // g) + 2
+    while at != best:
+        change = _core(useful, take, bits * g, most)
+        base = at - sum(s * down for s, (down, _) in change.items())
         parts = []  # (size, count)
-        for s, m in sorted(left.items(), reverse=True):
-            step = 1
+        for s, (down, up) in sorted(change.items(), reverse=True):
+            m, step = down + up, 1
             while m > 0:
                 c = min(step, m)
                 parts.append((s, c))
                 m, step = m - c, step * 2
-        steps = [max(1, round(s * c / unit)) for s, c in parts]
-        for i in _walk(steps, goal / unit, max((s for s, _ in parts), default=0) // unit):
-            s, c = parts[i]
-            plan[k][s] = plan[k].get(s, 0) + c
-            left[s] -= c
-    for s, m in left.items():
-        plan[order[-1]][s] = plan[order[-1]].get(s, 0) + m
-    return plan
-
-
-def _deal(left: dict[int, int], plan: dict[str, dict[int, int]], targets: dict[str, float], order: list[str], total: int) -> None:
-    """Large groups one by one, each where most is missing; then, of frequent sizes, all but a reserve in proportion to what is missing."""
-    gap = dict(targets)
-    for s, m in sorted(left.items(), reverse=True):
-        if s * LARGE < total:
-            break
-        for _ in range(m):
-            k = max(order, key=lambda k: gap[k])
-            plan[k][s] = plan[k].get(s, 0) + 1
-            gap[k] -= s
-        left[s] = 0
-    room = {k: max(0.0, g) for k, g in gap.items()}
-    for s, m in left.items():
-        if m > 64 * len(order):
-            spare = m - 32 * len(order)
-            for k in order:
-                n = int(spare * room[k] / max(1e-9, sum(room.values())))
-                plan[k][s] = plan[k].get(s, 0) + n
-                left[s] -= n
-
-
-def _walk(steps: list[int], goal: float, slack: int) -> list[int]:
-    """Places of ``steps`` whose sum is the reachable one nearest to ``goal``; totals beyond twice the goal and ``slack`` are not followed."""
-    width = int(goal) * 2 + slack + 2
+        chosen = _walk([s * c // g for s, c in parts], (goal - base) / g, int((goal + off - base) // g) + 2)
+        moved = {s: take[s] - down for s, (down, _) in change.items()}
+        for i in chosen:
+            moved[parts[i][0]] += parts[i][1]
+        near = base + sum(parts[i][0] * parts[i][1] for i in chosen)
+        if near == best or all(c == (min(take[s], most), min(m - take[s], most)) for (s, m), c in zip(useful.items(), change.values())):
+            return {s: n for s, n in (take | moved).items() if n}
+        bits *= 4
+    return {s: n for s, n in take.items() if n}
+
+
+def _core(sizes: dict[int, int], take: dict[int, int], width: int, most: int) -> dict[int, tuple[int, int]]:
+    """Of every size how many taken groups may be given back and how many others taken: one of each, then two, four, and so on up to ``most``, as long as ``width`` holds all of them; small sizes first."""
+    change, n = dict.fromkeys(sizes, (0, 0)), 1
+    while True:
+        for s, m in sizes.items():
+            now, then = change[s], (min(take[s], n), min(m - take[s], n))
+            if (more := s * (sum(then) - sum(now))) <= width:
+                width -= more
+                change[s] = then
+        if n >= most or n >= max(sizes.values()):
+            return change
+        n = min(2 * n, most)
+
+
+def _walk(steps: list[int], goal: float, width: int) -> list[int]:
+    """Places of ``steps`` whose sum is the reachable one nearest to ``goal``; totals from ``width`` on are not followed.
+
+    Bit t of a bitset says that total t is reachable; a step is one shift-or.
+    Of P bitsets only every sqrt(P)-th is kept; the walk back makes those of
+    one stretch again at a time, so the driver holds 2 * sqrt(P) of them, not P.
+    """
     cap = (1 << width) - 1
     stretch = max(1, isqrt(len(steps)))
     kept, reach = [], 1

@@ -112,3 +112,36 @@ def test_leaks_between_splits(spark):
     rows = [(1, "train"), (1, " Train "), (2, "test"), (3, None), (4, "valid"), (5, "train"), (5, "test"), (None, "test")]
     got = leaking_entities(spark.createDataFrame(rows, "who long, part string"), "who", "part", spark.createDataFrame([(1, 99), (99, 2), (3, 4)], "a long, b long"), "a", "b")
     assert {r["who"] for r in got.collect()} == {1, 2, 5}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_of_many_records_is_as_close_as_one_of_few(seed):
+    """Totals far above 2**24 with few sizes, against all sums: reachable by residues of the smallest size."""
+    rng = random.Random(seed)
+    unit = rng.randrange(3, 60)
+    sizes = {unit: 40_000_000 // unit} | {rng.randrange(unit + 1, 4000): rng.randrange(1, 4) for _ in range(rng.randrange(1, 5))}
+    total = sum(s * m for s, m in sizes.items())
+    goal = total * 0.15
+    others = {0}
+    for s, m in sizes.items():
+        if s != unit:
+            others = {t + s * n for t in others for n in range(m + 1)}
+    best = min(abs(o + unit * k - goal) for o in others for k in (int((goal - o) // unit), int((goal - o) // unit) + 1))
+    plan = plan_splits(sizes, {"a": 0.15, "b": 0.85})
+    assert abs(sum(s * m for s, m in plan["a"].items()) - goal) == best
+    assert all(plan["a"].get(s, 0) + plan["b"].get(s, 0) == m for s, m in sizes.items())
+
+
+def test_plan_of_huge_tables_has_no_gap():
+    sizes = {s: 10**11 // s**2 for s in range(1, 5000, 7)} | {3 * 10**9: 1}
+    total = sum(s * m for s, m in sizes.items())
+    plan = plan_splits(sizes, SHARES)
+    assert all(abs(sum(s * m for s, m in plan[k].items()) - total * SHARES[k]) <= 1 for k in SHARES)
+
+
+@pytest.mark.parametrize("bits", [1, 64, 1 << 24])
+def test_first_width_does_not_change_how_close_a_plan_is(bits):
+    for sizes in ({6: 5, 10: 3, 15: 1}, {9: 100, 12: 40, 1000: 2, 4: 1}, {31: 7, 32: 7, 500: 1}):
+        plan = plan_splits(sizes, {"a": 0.3, "b": 0.7}, max_bits=bits)
+        goal = 0.3 * sum(s * m for s, m in sizes.items())
+        assert abs(sum(s * m for s, m in plan["a"].items()) - goal) == pytest.approx(brute_best(sizes, goal))
