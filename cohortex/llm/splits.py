@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import gcd, isqrt
+from math import gcd, isqrt, prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +49,9 @@ def _closest(left: dict[int, int], goal: float, bits: int) -> dict[int, int]:
     A first choice takes of every size its share, then whatever still fits, the
     largest first, and is off by less than the largest size S.  It is changed
     by a few groups of few sizes, by a bitset of the totals that this can reach.
-    No total is nearer than the nearest multiple of the sizes' common divisor g;
-    where that isn't reached, more groups of more sizes may change, until 4 S / g
-    of each do.  That is enough: of more than 3 S / g changes, put in an order
+    Common divisors of all sizes, or of all but a few groups, say which total
+    is the nearest that can be (``_best_possible``); where that isn't reached, more groups of more sizes may change, until 4 S / g
+    of each do, g being the divisor of all.  That is enough: of more than 3 S / g changes, put in an order
     that keeps their running sum within 3 S, two running sums are equal, and
     what is between them can be left out without changing the total.
     """
@@ -65,9 +65,7 @@ def _closest(left: dict[int, int], goal: float, bits: int) -> dict[int, int]:
     off = abs(goal - at)
     useful = {s: m for s, m in sorted(left.items()) if m and s <= goal + off}  # a larger group alone is further off
     g = gcd(*useful) or 1
-    most_at = sum(s * m for s, m in useful.items())
-    low = min(most_at, int(goal // g) * g)
-    best = low if goal - low <= low + g - goal or low + g > most_at else low + g
+    best = _best_possible(useful, goal, g)
     most = 4 * (max(useful, default=0) // g) + 2
     while at != best:
         change = _core(useful, take, bits * g, most)
@@ -90,6 +88,26 @@ def _closest(left: dict[int, int], goal: float, bits: int) -> dict[int, int]:
     return {s: n for s, n in take.items() if n}
 
 
+def _best_possible(sizes: dict[int, int], goal: float, g: int) -> int:
+    """A total that no reachable one is nearer to ``goal`` than: a sum of the few groups whose size isn't a multiple of G, and a multiple of G, the largest divisor found that leaves at most 4,096 such sums."""
+    big, ways = g, lambda d: prod(m + 1 for s, m in sizes.items() if s % d)
+    for s in sorted(sizes, key=lambda s: -sizes[s])[:3]:
+        rest, p = s // gcd(s, big), 2
+        while rest > 1:
+            p = p if p * p <= rest else rest
+            while rest % p == 0:
+                rest //= p
+                big *= p if ways(big * p) <= 4096 else 1
+            p += 1
+    sums = {0}
+    for s, m in sizes.items():
+        if s % big:
+            sums = {t + s * n for t in sums for n in range(m + 1)}
+    even = sum(s * m for s, m in sizes.items() if s % big == 0)
+    near = [o + big * min(even // big, max(0, int((goal - o) // big) + k)) for o in sums for k in (0, 1)]
+    return min(near, key=lambda t: (abs(goal - t), t))
+
+
 def _core(sizes: dict[int, int], take: dict[int, int], width: int, most: int) -> dict[int, tuple[int, int]]:
     """Of every size how many taken groups may be given back and how many others taken: one of each, then two, four, and so on up to ``most``, as long as ``width`` holds all of them; small sizes first."""
     change, n = dict.fromkeys(sizes, (0, 0)), 1

@@ -145,3 +145,10 @@ def test_first_width_does_not_change_how_close_a_plan_is(bits):
         plan = plan_splits(sizes, {"a": 0.3, "b": 0.7}, max_bits=bits)
         goal = 0.3 * sum(s * m for s, m in sizes.items())
         assert abs(sum(s * m for s, m in plan["a"].items()) - goal) == pytest.approx(brute_best(sizes, goal))
+
+
+def test_few_groups_off_the_common_divisor():
+    sizes = {1000 * i: 3 for i in range(1, 3000)} | {777: 1}
+    goal = 0.15 * sum(s * m for s, m in sizes.items())
+    plan = plan_splits(sizes, {"a": 0.15, "b": 0.85})
+    assert abs(sum(s * m for s, m in plan["a"].items()) - goal) == min(abs(goal - o - 1000 * round((goal - o) / 1000)) for o in (0, 777))
